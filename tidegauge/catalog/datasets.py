@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.moments import cmv_text
+from tidegauge.operators.moments import component_totals
 from tidegauge.operators.timeline import bucket_start, optimise_tick
+from tidegauge.operators.topology import allocation_counts
 from tidegauge.schemas import COMPLETE_LATENCY, DURATION, EMIT, EXECUTE, QUEUE_FIELDS, QUEUE_METRIC
 from tidegauge.session import utc, written
 
@@ -101,18 +103,24 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuple_events(spark, sf_dir).select("job", "component", "kind").distinct()
 
 
-def executors_from(comps: DataFrame) -> DataFrame:
-    """Four executors of two consecutive tasks for every component."""
+def executors_from(comps: DataFrame, idle: bool = False) -> DataFrame:
+    """Four executors of two consecutive tasks for every component.
+
+    With ``idle`` one more that no event belongs to, on tasks from 1000 on.
+    """
     index = F.lit(len(COMPONENTS) - 1)
     for i, name in enumerate(COMPONENTS[:-1]):
         index = F.when(F.col("component") == name, F.lit(i)).otherwise(index)
     slot = F.col("slot")
     return comps.select(
-        "job", "component", "kind", F.explode(F.sequence(F.lit(0), F.lit(EXECUTORS_EACH - 1))).alias("slot")
+        "job", "component", "kind",
+        F.explode(F.sequence(F.lit(0), F.lit(EXECUTORS_EACH - 1 + int(idle)))).alias("slot"),
+    ).withColumn(
+        "_base", index * 8 + F.when(slot < EXECUTORS_EACH, 0).otherwise(1000)
     ).select(
         "job", "component", "kind",
-        (index * 8 + 2 * slot).cast("int").alias("task_start"),
-        (index * 8 + 2 * slot + 1).cast("int").alias("task_end"),
+        (F.col("_base") + 2 * slot).cast("int").alias("task_start"),
+        (F.col("_base") + 2 * slot + 1).cast("int").alias("task_end"),
         F.concat(F.lit("h"), (slot % 3).cast("string")).alias("host"),
         (slot + 6700).cast("int").alias("port"),
     )
@@ -133,55 +141,62 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queue_samples(days: DataFrame, execs: DataFrame) -> DataFrame:
-    """One queue report per executor and day, from the executor's first task."""
-    tasks = execs.select("job", "task_start", F.explode(F.sequence("task_start", "task_end")).alias("task"))
-    return (
-        days.join(tasks, ["job", "task"])
-        .groupBy("job", "day", "component", "kind", "task_start")
-        .agg(F.sum("arrivals").alias("arrivals"), F.sum("total_ms").alias("total_ms"))
-        .select(
-            "job", "day", "component", "kind", F.col("task_start").alias("task"),
-            F.lit(DAY * 1000.0).alias("duration_ms"),
-            (F.col("arrivals") * RATE_SCALE / DAY).alias("recv_rate"),
-            F.lit(float(QUEUE_CAPACITY)).alias("recv_capacity"),
-            F.col("arrivals").cast("double").alias("recv_population"),
-            (F.col("total_ms") / F.col("arrivals")).alias("recv_sojourn"),
-            # an acknowledgement goes out with every tuple, so twice the arrivals leave
-            (F.col("arrivals") * 2 * RATE_SCALE / DAY).alias("send_rate"),
-            F.lit(float(QUEUE_CAPACITY)).alias("send_capacity"),
-            F.col("arrivals").cast("double").alias("send_population"),
-            (F.col("total_ms") / F.col("arrivals")).alias("send_sojourn"),
-        )
-    )
-
-
-def executor_reports(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Flat executor reports per day: moments, queue numbers and duration."""
-    days = task_days(spark, sf_dir, events)
-    tasks = executors(spark, sf_dir).select(
+def _queue_numbers():
+    arrivals, total = F.col("arrivals"), F.col("total_ms")
+    sojourn = total / arrivals
+    return [
+        F.lit(DAY * 1000.0).alias("duration_ms"),
+        (arrivals * RATE_SCALE / DAY).alias("recv_rate"),
+        F.lit(float(QUEUE_CAPACITY)).alias("recv_capacity"),
+        arrivals.cast("double").alias("recv_population"),
+        sojourn.alias("recv_sojourn"),
+        # an acknowledgement goes out with every tuple, so twice the arrivals leave
+        (arrivals * 2 * RATE_SCALE / DAY).alias("send_rate"),
+        F.lit(float(QUEUE_CAPACITY)).alias("send_capacity"),
+        arrivals.cast("double").alias("send_population"),
+        sojourn.alias("send_sojourn"),
+    ]
+
+
+def _per_executor_day(days: DataFrame, execs: DataFrame) -> DataFrame:
+    tasks = execs.select(
         "job", F.col("task_start").alias("executor"), F.explode(F.sequence("task_start", "task_end")).alias("task")
     )
-    arrivals, total = F.col("arrivals"), F.col("total_ms")
     return (
         days.join(tasks, ["job", "task"])
         .groupBy("job", "day", "component", "kind", "executor")
         .agg(*[F.sum(c).alias(c) for c in ("arrivals", "total_ms", "cnt", "s", "ss")])
-        .select(
-            "job", day_tick("day").alias("tick"), "component", "kind", "executor", "cnt", "s", "ss",
-            F.lit(DAY * 1000.0).alias("duration_ms"),
-            (arrivals * RATE_SCALE / DAY).alias("recv_rate"),
-            F.lit(float(QUEUE_CAPACITY)).alias("recv_capacity"),
-            arrivals.cast("double").alias("recv_population"),
-            (total / arrivals).alias("recv_sojourn"),
-            (arrivals * 2 * RATE_SCALE / DAY).alias("send_rate"),
-            F.lit(float(QUEUE_CAPACITY)).alias("send_capacity"),
-            arrivals.cast("double").alias("send_population"),
-            (total / arrivals).alias("send_sojourn"),
-        )
     )
 
 
+def queue_samples(days: DataFrame, execs: DataFrame) -> DataFrame:
+    """One queue report per executor and day, from the executor's first task."""
+    return _per_executor_day(days, execs).select(
+        "job", "day", "component", "kind", F.col("executor").alias("task"), *_queue_numbers()
+    )
+
+
+def reports_of_days(days: DataFrame, execs: DataFrame) -> DataFrame:
+    """Flat executor reports per day: moments, queue numbers and duration."""
+    return _per_executor_day(days, execs).select(
+        "job", day_tick("day").alias("tick"), "component", "kind", "executor", "cnt", "s", "ss", *_queue_numbers()
+    )
+
+
+def executor_reports(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return reports_of_days(task_days(spark, sf_dir, events), executors(spark, sf_dir))
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component totals per daily tick."""
+    return component_totals(executor_reports(spark, sf_dir))
+
+
+def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executors per component, written once as the small snapshot it stands for."""
+    return written(allocation_counts(executors(spark, sf_dir)), "allocation")
+
+
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw points as tasks report them, with the noise a collector has to drop."""
     days = written(task_days(spark, sf_dir), "task-days")

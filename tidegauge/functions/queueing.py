@@ -83,14 +83,14 @@ def complex_correction(lam: Column, mu: Column, k: Column, ca2: Column, cs2: Col
     servers = k.cast("double")
     rho = utilisation(lam, mu, k)
     slack = 1 - rho
-    spread = F.try_divide(slack * (servers - 1) * (F.sqrt(4 + 5 * servers) - 2), 16 * servers * rho)
-    gamma = F.when(spread < 0.24, spread).otherwise(F.when(spread.isNotNull(), F.lit(0.24)))
+    # least() skips NULL, so an idle station passes here and falls back at the end
+    gamma = F.least(
+        F.try_divide(slack * (servers - 1) * (F.sqrt(4 + 5 * servers) - 2), 16 * servers * rho), F.lit(0.24)
+    )
     busy = 1 + gamma
     light = (1 - 4 * gamma) * F.exp(F.try_divide(-2 * slack, 3 * rho))
-    blend = (busy + light) / 2
-    capped = F.when(blend < 1, blend).otherwise(F.when(blend.isNotNull(), F.lit(1.0)))
     variability = (ca2 + cs2) / 2
-    psi = F.when(variability < 1, F.pow(capped, 2 - 2 * variability)).otherwise(F.lit(1.0))
+    psi = F.when(variability < 1, F.pow(F.least((busy + light) / 2, F.lit(1.0)), 2 - 2 * variability)).otherwise(1.0)
     regular_service = (
         F.try_divide(busy * (ca2 - cs2), ca2 - 0.75 * cs2)
         + F.try_divide(psi * cs2, 4 * ca2 - 3 * cs2)
@@ -99,8 +99,8 @@ def complex_correction(lam: Column, mu: Column, k: Column, ca2: Column, cs2: Col
         F.try_divide(light * (cs2 - ca2) / 2, ca2 + cs2)
         + F.try_divide(psi * (cs2 + 3 * ca2) / 2, ca2 + cs2)
     )
-    factor = F.when(ca2 >= cs2, regular_service).otherwise(regular_arrival)
-    return variability * F.coalesce(F.nanvl(factor, F.lit(None).cast("double")), F.lit(1.0))
+    factor = F.when(rho > 0, F.when(ca2 >= cs2, regular_service).otherwise(regular_arrival))
+    return variability * F.coalesce(factor, F.lit(1.0))
 
 
 def no_correction(lam: Column, mu: Column, k: Column, ca2: Column, cs2: Column) -> Column:

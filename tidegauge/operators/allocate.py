@@ -183,12 +183,12 @@ def check_optimized(
     estimated = with_sojourn(spread(nodes, *scope), model, "_now").select(
         *nodes.columns,
         (F.sum(visit_time(F.col("_now"))).over(per_scope) * 1000.0).alias("_est_ms"),
-        F.bool_and(node_stable()).over(per_scope).alias("stable"),
+        F.bool_and(node_stable()).over(per_scope).alias("network_stable"),
     )
     ratio, error = calibrate(F.col("real_ms"), F.col("_est_ms"))
     limit = F.col("max_budget") * 2
     staged = estimated.select(
-        *nodes.columns, "stable",
+        *nodes.columns, "network_stable",
         F.when(F.col("_est_ms") < q.INFINITY, F.col("_est_ms")).alias("est_ms"),
         ratio.alias("ratio_real"), error.alias("error_pct"),
         F.greatest(F.col("current_budget"), F.col("max_budget"), limit - 1).alias("_top"),
@@ -196,7 +196,7 @@ def check_optimized(
     grid = ranked_grid(staged, "_top", scope, ranking)
     found = _with_qos_steps(grid, scope, F.lit(float(qos_ms)), F.col("ratio_real"), limit, 0.0)
     carried = [c for c in ("executors", "sources") if c in nodes.columns]
-    kept = ["real_ms", "est_ms", "ratio_real", "error_pct", "stable"]
+    kept = ["real_ms", "est_ms", "ratio_real", "error_pct", "network_stable"]
     wide = found.groupBy(*scope, "component").agg(
         *[F.first(c).alias(c) for c in kept],
         *[F.first(c).alias(f"_{c}") for c in carried],
@@ -210,5 +210,5 @@ def check_optimized(
     status = F.when(F.col("_min_qos").isNotNull(), F.lit("FEASIBLE")).otherwise(F.lit("INFEASIBLE"))
     return wide.select(
         *scope, "component", *[F.col(f"_{c}").alias({"executors": "current"}.get(c, c)) for c in carried],
-        status.alias("status"), *kept, objectives,
+        status.alias("status"), *kept[:-1], F.col("network_stable").alias("stable"), objectives,
     ).select("*", "_o.objective", "_o.executors").drop("_o")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import moments as m
 from tidegauge.operators.ordering import sample_one_in_n
-from tidegauge.schemas import CMV, queue_columns, queue_moment_columns, total_columns
+from tidegauge.schemas import CMV, queue_columns, total_columns
 
 
 def cmv_aggregate(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
@@ -115,7 +115,8 @@ def emit_count(
     return sample_one_in_n(df, task, order, rate).groupBy(*keys).agg(F.count(F.lit(1)).alias("emitted"))
 
 
-def _queue_moments() -> list[Column]:
+def queue_moments() -> list[Column]:
+    """Moment aggregates of every queue column."""
     columns = []
     for c in queue_columns():
         x = F.col(c)
@@ -129,7 +130,7 @@ def _queue_moments() -> list[Column]:
 
 def queue_aggregate(queues: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Moments of the four numbers of both queues; every sample weighs the same."""
-    return queues.groupBy(*keys).agg(*_queue_moments())
+    return queues.groupBy(*keys).agg(*queue_moments())
 
 
 def duration_sum(queues: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -173,16 +174,10 @@ def component_totals(reports: DataFrame) -> DataFrame:
     return reports.groupBy("job", "tick", "component", "kind").agg(
         *[F.sum(c).alias(c) for c in CMV],
         F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("duration_ms"),
-        *_queue_moments(),
+        *queue_moments(),
     )
 
 
 def zero_filled(df: DataFrame) -> DataFrame:
     return df.fillna(0, [c for c in total_columns() if c in df.columns])
 
-
-__all__ = [
-    "cmv_aggregate", "cmv_merge", "with_cmv_stats", "stream_combine", "latency_histogram",
-    "latency_histogram_text", "qos_miss", "emit_count", "queue_aggregate", "duration_sum",
-    "executor_rollup", "component_rollup", "component_totals", "zero_filled", "queue_moment_columns",
-]

@@ -71,10 +71,16 @@ def ready_history(totals: DataFrame, allocation: DataFrame, params: Params) -> D
     return timeline.warmup_gate(history, params)
 
 
-def nodes_of(totals: DataFrame, allocation: DataFrame, params: Params) -> DataFrame:
+def nodes_of(
+    totals: DataFrame, allocation: DataFrame, params: Params, due: DataFrame | None = None
+) -> DataFrame:
     """Service nodes per tick with the budgets of their job."""
     running = F.col("source_executors") + F.col("service_executors")
-    return capacity.network_nodes(ready_history(totals, allocation, params), params, SCOPE).withColumns({
+    history = ready_history(totals, allocation, params)
+    if due is not None:
+        wanted = F.col("tick").between(F.col("first_due"), F.col("last_due"))
+        history = history.join(due, "job").filter(wanted).drop("first_due", "last_due")
+    return capacity.network_nodes(history, params, SCOPE).withColumns({
         "current_budget": F.col("service_executors"),
         "max_budget": (max_executors(params, running) - F.col("source_executors")).cast("int"),
     })
@@ -84,13 +90,16 @@ RESULT = ("job", "tick", "component", "objective", "executors", "current", "stat
           "real_ms", "est_ms", "ratio_real", "error_pct", "stable")
 
 
-def optimise(totals: DataFrame, allocation: DataFrame, params: Params) -> DataFrame:
+def optimise(
+    totals: DataFrame, allocation: DataFrame, params: Params, due: DataFrame | None = None
+) -> DataFrame:
     """One row per job, tick, component and objective.
 
     The totals hold one row per component and tick, the reduced form of the raw
     input. They are written once, since their last tick is needed beside them.
+    ``due`` (``job, first_due, last_due``) restricts the ticks that get a result.
     """
-    nodes = nodes_of(written(totals, "totals"), allocation, params)
+    nodes = nodes_of(written(totals, "totals"), allocation, params, due)
     return full_allocation(allocate.check_optimized(nodes, params.qos_ms, SCOPE, params.model))
 
 

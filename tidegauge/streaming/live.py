@@ -6,11 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.moments import cmv_aggregate
 from tidegauge.operators.ordering import one_in_n, with_position
-from tidegauge.operators.timeline import optimise_tick, start_of
 from tidegauge.plans.optimise import optimise
 from tidegauge.schemas import Params, total_columns
 from tidegauge.session import fresh_path
@@ -65,59 +65,37 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     )
 
 
-def stream_totals(reports: DataFrame, params: Params, late: str = "1 hour") -> DataFrame:
-    """Component totals per closed interval of a stream of flat reports.
-
-    ``reports`` carry ``ts`` and the columns of a flat report; queue numbers of
-    reports without a queue are NULL.
-    """
-    from tidegauge.operators.moments import _queue_moments
-
-    window = F.window("ts", f"{params.interval_seconds} seconds", startTime="0 seconds")
-    return (
-        reports.withWatermark("ts", late)
-        .groupBy(window, "job", "component", "kind")
-        .agg(
-            F.sum("cnt").alias("cnt"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-            F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("duration_ms"),
-            *_queue_moments(),
-        )
-        .withColumn("interval_start", F.col("window.start"))
-        .drop("window")
-    )
-
-
 def stream_optimise(
-    intervals: DataFrame, allocation: DataFrame, params: Params, folder: str
+    closed: DataFrame,
+    to_totals: Callable[[DataFrame], DataFrame],
+    allocation: DataFrame,
+    params: Params,
+    folder: str,
 ) -> StreamingQuery:
     """Recommend after every closed tick.
 
-    ``intervals`` is the output of :func:`stream_totals`. Each micro-batch adds
-    its intervals to a table below ``folder`` and runs the batch plan over the
-    history the new ticks need. Both tables are keyed by batch id and written
-    whole, so a repeated batch leaves the same state.
+    ``closed`` streams the rows of closed intervals (see :func:`stream_cmv`);
+    ``to_totals`` reduces a micro-batch of them to component totals per tick.
+    Each micro-batch adds its totals to a table below ``folder`` and runs the
+    batch plan for the ticks it touched. Both tables are keyed by batch id and
+    written whole, so a repeated batch leaves the same state.
     """
-    spark = intervals.sparkSession
+    spark = closed.sparkSession
     columns = total_columns()
+    keys = ["job", "tick", "component", "kind"]
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        tick = optimise_tick(F.col("interval_start"), start_of(params), params.interval_seconds)
-        ticks = (
-            batch.withColumn("tick", tick).groupBy("job", "tick", "component", "kind")
-            .agg(*[F.sum(c).alias(c) for c in columns])
-        )
-        ticks.write.mode("overwrite").parquet(f"{folder}/ticks/batch={batch_id}")
+        to_totals(batch).write.mode("overwrite").parquet(f"{folder}/ticks/batch={batch_id}")
         held = spark.read.parquet(f"{folder}/ticks").filter(F.col("batch") <= batch_id)
-        fresh = held.filter(F.col("batch") == batch_id).groupBy("job").agg(
-            F.min("tick").alias("_from"), F.max("tick").alias("_to")
+        due = held.filter(F.col("batch") == batch_id).groupBy("job").agg(
+            F.min("tick").alias("first_due"), F.max("tick").alias("last_due")
         )
-        # a tick looks back over the history, and dense rows need every tick in between
-        merged = held.groupBy("job", "tick", "component", "kind").agg(*[F.sum(c).alias(c) for c in columns])
-        result = optimise(merged, allocation, params)
-        due = result.join(fresh, "job").filter(F.col("tick").between(F.col("_from"), F.col("_to")))
-        due.drop("_from", "_to").write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
+        # one tick may close in several batches: the first covers two intervals
+        merged = held.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+        result = optimise(merged, allocation, params, due)
+        result.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
 
-    return each_batch(intervals, work, f"{folder}/checkpoint")
+    return each_batch(closed, work, f"{folder}/checkpoint")
 
 
 def stream_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +120,7 @@ def stream_stateful_counter(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         placed = with_position(batch, keys, order, "_position")
-        schema = batch.select(*keys).schema.add("_seen", "bigint")
+        schema = batch.select(*keys).schema.add("_seen", T.LongType())
         if batch_id == 0:
             before = spark.createDataFrame([], schema)
         else:
@@ -154,9 +132,12 @@ def stream_stateful_counter(
             .drop("_seen", "_position")
         )
         numbered.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_more"))
+        counts = (
+            spark.read.schema(numbered.schema).parquet(f"{folder}/rows/batch={batch_id}")
+            .groupBy(*keys).agg((F.max("position") + 1).alias("_now"))
+        )
         after = before.join(counts, keys, "full_outer").select(
-            *keys, (F.coalesce("_seen", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("_seen")
+            *keys, F.coalesce("_now", "_seen").alias("_seen")
         )
         after.write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
 
