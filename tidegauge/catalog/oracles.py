@@ -464,7 +464,7 @@ FROM tm JOIN xt ON tm.job = xt.job AND tm.task = xt.task GROUP BY ALL
 UNION ALL SELECT job, NULL, component, CAST(({INDEX}) * 8 + 1000 + 8 AS INTEGER), NULL, 0, 0.0, 0.0 FROM comp""")
 oracle("component_rollup", ("tm",), f"SELECT job, tick, component, stream, {sums()} FROM tm GROUP BY ALL")
 oracle("queue_aggregate", ("er",), "SELECT job, tick, component, "
-       + ", ".join(f"count({c}) AS {c}_cnt, round(sum({c}), 6) AS {c}_s, round(sum({c} * {c}), 6) AS {c}_ss" for c in QS)
+       + ", ".join(f"count({c}) AS {c}_cnt, round(sum({c}), 8) AS {c}_s, round(sum({c} * {c}), 8) AS {c}_ss" for c in QS)
        + " FROM er GROUP BY ALL")
 oracle("duration_sum", ("er",), "SELECT job, tick, component, sum(duration_ms) / 1000.0 AS duration_seconds FROM er GROUP BY ALL")
 oracle("stream_combine", ("tm",), f"""

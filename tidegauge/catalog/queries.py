@@ -454,7 +454,8 @@ def component_rollup(spark, sf):
 @query("queue_aggregate")
 def queue_aggregate(spark, sf):
     rows = moments.queue_aggregate(d.executor_reports(spark, sf), ["job", "tick", "component"])
-    parts = [r6(f"{c}_{p}") for c in queue_columns() for p in ("s", "ss")]
+    # averages of short decimals: their squares tie at six places, not at eight
+    parts = [F.round(f"{c}_{p}", 8).alias(f"{c}_{p}") for c in queue_columns() for p in ("s", "ss")]
     return rows.select("job", "tick", "component", *[f"{c}_cnt" for c in queue_columns()], *parts)
 
 

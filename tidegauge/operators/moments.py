@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import moments as m
 from tidegauge.operators.ordering import sample_one_in_n
-from tidegauge.schemas import CMV, queue_columns, total_columns
+from tidegauge.schemas import CMV, MODEL_QUEUES, queue_columns, total_columns
 
 
 def cmv_aggregate(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
@@ -117,15 +117,10 @@ def emit_count(
 
 def queue_moments() -> list[Column]:
     """Moment aggregates of every queue column."""
-    columns = []
-    for c in queue_columns():
-        x = F.col(c)
-        columns += [
-            F.count(x).alias(f"{c}_cnt"),
-            F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{c}_s"),
-            F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"{c}_ss"),
-        ]
-    return columns
+    parts = {"cnt": "count({c})", "s": "coalesce(sum({c}), 0D)", "ss": "coalesce(sum({c} * {c}), 0D)"}
+    return [
+        F.expr(f"{call.format(c=c)} AS {c}_{part}") for c in queue_columns() for part, call in parts.items()
+    ]
 
 
 def queue_aggregate(queues: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -171,11 +166,12 @@ def component_totals(reports: DataFrame) -> DataFrame:
     ``reports`` is flat, one row per report: ``cnt, s, ss`` over all streams,
     and queue numbers and ``duration_ms`` that are set only on first tasks.
     """
-    return reports.groupBy("job", "tick", "component", "kind").agg(
-        *[F.sum(c).alias(c) for c in CMV],
-        F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("duration_ms"),
-        *queue_moments(),
-    )
+    sums = [F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in (*CMV, "duration_ms")]
+    queues = [
+        F.expr(f"{call} AS {c}_{part}") for c in MODEL_QUEUES
+        for part, call in (("cnt", f"count({c})"), ("s", f"coalesce(sum({c}), 0D)"))
+    ]
+    return reports.groupBy("job", "tick", "component", "kind").agg(*sums, *queues)
 
 
 def zero_filled(df: DataFrame) -> DataFrame:

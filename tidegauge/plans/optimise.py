@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import allocate, capacity, moments, points, timeline, topology
-from tidegauge.schemas import Params, queue_columns
+from tidegauge.schemas import MODEL_QUEUES, Params
 from tidegauge.session import written
 
 SCOPE = ("job", "tick")
@@ -47,7 +47,7 @@ def totals_of_reports(measured: DataFrame, executors: DataFrame, params: Params)
     placed = topology.tasks_to_executors(measured, executors)
     first = F.col("task") == F.col("executor")
     flat = points.report_totals(placed)
-    queue = [F.when(first, F.col(c)).alias(c) for c in ("duration_ms", *queue_columns())]
+    queue = [F.when(first, F.col(c)).alias(c) for c in ("duration_ms", *MODEL_QUEUES)]
     reports = flat.select(
         "job", "component", "kind", "cnt", "s", "ss", *queue,
         timeline.optimise_tick(F.col("ts"), timeline.start_of(params), params.interval_seconds).alias("tick"),

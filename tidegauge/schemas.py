@@ -78,14 +78,13 @@ def queue_columns() -> list[str]:
     return [f"{q}_{m}" for q in QUEUES for m in QUEUE_FIELDS]
 
 
-def queue_moment_columns() -> list[str]:
-    """Count, sum and sum of squares of every queue column."""
-    return [f"{c}_{p}" for c in queue_columns() for p in CMV]
+# The queue numbers the model reads.
+MODEL_QUEUES = ("recv_rate", "send_rate", "recv_population", "send_population")
 
 
 def total_columns() -> list[str]:
     """Everything that is added up from task to component and over the history."""
-    return [*CMV, "duration_ms", *queue_moment_columns()]
+    return [*CMV, "duration_ms", *[f"{c}_{p}" for c in MODEL_QUEUES for p in ("cnt", "s")]]
 
 
 @dataclass(frozen=True)
