@@ -505,6 +505,17 @@ SELECT job, component, stream, date_trunc('day', ts)::TIMESTAMP AS bucket, count
 FROM (SELECT *, row_number() OVER (PARTITION BY job, task ORDER BY ts, event_id) - 1 AS p FROM te) WHERE p % {SAMPLE_N} = 0
 GROUP BY ALL""")
 
+COMPLETED = "(CASE WHEN kind = 'source' AND outcome = 'ok' THEN elapsed_ms END)"
+MISSED = "(CASE WHEN kind = 'source' AND outcome = 'ok' AND elapsed_ms > 800 THEN elapsed_ms END)"
+oracle("measure_events", ("te",), f"""
+SELECT job, date_trunc('day', ts)::TIMESTAMP AS bucket, component, task, stream, count(x) AS cnt,
+       round(coalesce(sum(x), 0), 6) AS s, round(coalesce(sum(x * x), 0), 6) AS ss, count(*) AS emitted,
+       count({MISSED}) AS miss_cnt, round(coalesce(sum({MISSED}), 0), 6) AS miss_s,
+       round(coalesce(sum({MISSED} * {MISSED}), 0), 6) AS miss_ss,
+       count(*) FILTER (WHERE kind = 'source' AND outcome = 'fail') AS fails,
+       {', '.join(f'{b} AS bin{i}' for i, b in enumerate(bins(COMPLETED)))}
+FROM te GROUP BY ALL""")
+
 # --- timeline ---
 oracle("tumbling_bucket", ("te",), """
 SELECT job, component, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS n FROM te GROUP BY ALL""")

@@ -12,7 +12,7 @@ from tidegauge.functions import moments as mf
 from tidegauge.functions import queueing as q
 from tidegauge.functions import text as tx
 from tidegauge.operators import allocate, capacity, dataflow, moments, ordering, points, timeline, topology
-from tidegauge.plans import dataflows
+from tidegauge.plans import dataflows, measure
 from tidegauge.plans import optimise as plan
 from tidegauge.schemas import APPROVED_NAMES, Params, queue_columns
 from tidegauge.session import fresh_path, spread, utc, written
@@ -513,6 +513,16 @@ def emit_count(spark, sf):
     return rows.select("job", "component", "stream", naive("bucket"), "emitted")
 
 
+@query("measure_events")
+def measure_events(spark, sf):
+    params = Params(bucket_seconds=d.DAY, latency_threshold_ms=d.SOURCE_THRESHOLD_MS, histogram_cuts=d.CUTS)
+    rows = measure.task_measurements(d.tuple_events(spark, sf), params)
+    return rows.select(
+        *cmv("job", naive("bucket"), "component", "task", "stream"), "emitted", "miss_cnt", r6("miss_s"), r6("miss_ss"),
+        "fails", *[f"bin{i}" for i in range(len(d.CUTS) + 1)],
+    )
+
+
 # --- timeline ----------------------------------------------------------------
 
 @query("tumbling_bucket")

@@ -61,7 +61,8 @@ def stream_combine(df: DataFrame, keys: Sequence[str], keep_streams: bool = Fals
     return df.groupingSets(sets, *both[0]).agg(*[F.sum(c).alias(c) for c in CMV])
 
 
-def _bins(value: Column, cuts: Sequence[float]) -> list[Column]:
+def histogram_bins(value: Column, cuts: Sequence[float]) -> list[Column]:
+    """One count per bin; a value equal to a cut belongs to the bin that ends there."""
     edges = [None, *cuts, None]
     bins = []
     for i, (low, high) in enumerate(zip(edges, edges[1:])):
@@ -75,10 +76,10 @@ def _bins(value: Column, cuts: Sequence[float]) -> list[Column]:
 
 
 def latency_histogram(df: DataFrame, keys: Sequence[str], value: str | Column, cuts: Sequence[float]) -> DataFrame:
-    """Counts per bin; a value equal to a cut belongs to the bin that ends there."""
+    """Counts per bin and key."""
     x = F.col(value) if isinstance(value, str) else value
     cuts = sorted(float(c) for c in cuts)
-    return df.filter(x.isNotNull()).groupBy(*keys).agg(*_bins(x, cuts))
+    return df.filter(x.isNotNull()).groupBy(*keys).agg(*histogram_bins(x, cuts))
 
 
 def latency_histogram_text(
@@ -93,7 +94,7 @@ def latency_histogram_text(
     cuts = sorted(float(c) for c in cuts)
     done = F.when(~failed, F.col(value))
     counts = df.groupBy(*keys).agg(
-        *_bins(done, cuts), F.count_if(failed).alias("_fails"), F.count(done).alias("_done")
+        *histogram_bins(done, cuts), F.count_if(failed).alias("_fails"), F.count(done).alias("_done")
     )
     text = F.concat(
         F.concat_ws(",", *[F.col(f"bin{i}").cast("string") for i in range(len(cuts) + 1)]),

@@ -35,8 +35,17 @@ def optimise_tick(ts: Column, start: Column, interval_seconds: int) -> Column:
     return F.greatest(F.lit(1), F.floor((F.unix_micros(ts) - F.unix_micros(start)) / span)).cast("int")
 
 
-def start_of(params: Params) -> Column:
-    return F.lit(params.start).cast("timestamp")
+def with_tick(reports: DataFrame, params: Params, ts: str = "ts") -> DataFrame:
+    """Add the tick of each report, counted from ``params.start`` or the job's first report."""
+    if params.start is not None:
+        start = F.lit(params.start).cast("timestamp")
+        return reports.withColumn("tick", optimise_tick(F.col(ts), start, params.interval_seconds))
+    first = reports.groupBy("job").agg(F.min(ts).alias("_start"))
+    return (
+        reports.join(first, "job")
+        .withColumn("tick", optimise_tick(F.col(ts), F.col("_start"), params.interval_seconds))
+        .drop("_start")
+    )
 
 
 def dense_ticks(totals: DataFrame, allocation: DataFrame) -> DataFrame:

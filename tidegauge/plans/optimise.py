@@ -48,11 +48,8 @@ def totals_of_reports(measured: DataFrame, executors: DataFrame, params: Params)
     first = F.col("task") == F.col("executor")
     flat = points.report_totals(placed)
     queue = [F.when(first, F.col(c)).alias(c) for c in ("duration_ms", *MODEL_QUEUES)]
-    reports = flat.select(
-        "job", "component", "kind", "cnt", "s", "ss", *queue,
-        timeline.optimise_tick(F.col("ts"), timeline.start_of(params), params.interval_seconds).alias("tick"),
-    )
-    return moments.component_totals(reports)
+    reports = flat.select("job", "ts", "component", "kind", "cnt", "s", "ss", *queue)
+    return moments.component_totals(timeline.with_tick(reports, params))
 
 
 def ready_history(totals: DataFrame, allocation: DataFrame, params: Params) -> DataFrame:

@@ -93,6 +93,7 @@ class Params:
 
     ``sample_rate`` is one value for measuring and modelling, 1.0 by default.
     ``max_executors`` of -1 derives the limit from workers and executors per worker.
+    ``start`` is when optimising began; without it every job starts at its first report.
     """
 
     bucket_seconds: int = 60
@@ -111,7 +112,7 @@ class Params:
     approved_names: tuple[str, ...] = APPROVED_NAMES
     model: str = "mmk"
     policy: str = "default"
-    start: str = "1970-01-01 00:00:00"
+    start: str | None = None
 
     @property
     def adjust_min(self) -> int:

@@ -41,9 +41,14 @@ def report_lines(measured: DataFrame, stamped: bool = True) -> DataFrame:
 
 
 def sink_metric_log(lines: DataFrame, path: str, enabled: bool = True) -> None:
-    """Append record lines to the log folder, split by job; nothing if not enabled."""
+    """Append record lines to the log folder, split by job; nothing if not enabled.
+
+    The rebalance gathers the lines of small jobs and splits those of large ones,
+    so the number of files follows the data and not tasks times jobs.
+    """
     if enabled:
-        lines.select("job", "value").write.mode("append").partitionBy("job").text(path)
+        balanced = lines.select("job", "value").hint("rebalance", "job")
+        balanced.write.mode("append").partitionBy("job").text(path)
 
 
 def sink_raw_lines(lines: DataFrame, path: str, order: list[str], n: int, column: str = "value") -> None:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegauge.operators.moments import cmv_aggregate
 from tidegauge.operators.ordering import one_in_n, with_position
 from tidegauge.plans.optimise import optimise
-from tidegauge.schemas import Params, total_columns
+from tidegauge.schemas import CMV, Params, total_columns
 from tidegauge.session import fresh_path
 
 
@@ -33,12 +33,18 @@ def stream_cmv(
 def stream_history(
     events: DataFrame, keys: Sequence[str], value: str, interval_seconds: int, history_size: int, late: str = "1 hour"
 ) -> DataFrame:
-    """Moments over the last ticks, as a sliding window of ``history_size`` intervals."""
-    bucketed = events.withWatermark("ts", late)
-    window = F.window("ts", f"{interval_seconds * history_size} seconds", f"{interval_seconds} seconds")
-    return cmv_aggregate(bucketed, [window, *keys], value).select(
-        F.col("window.start").alias("history_start"), F.col("window.end").alias("history_end"), *keys,
-        "cnt", "s", "ss",
+    """Moments over the last ticks, as a sliding window of ``history_size`` intervals.
+
+    Rows are first added up per interval; only those few sums enter the
+    overlapping windows, not every event ``history_size`` times.
+    """
+    interval = F.window("ts", f"{interval_seconds} seconds")
+    ticks = cmv_aggregate(events.withWatermark("ts", late), [interval, *keys], value)
+    window = F.window(
+        F.window_time("window"), f"{interval_seconds * history_size} seconds", f"{interval_seconds} seconds"
+    )
+    return ticks.groupBy(window.alias("history"), *keys).agg(*[F.sum(c).alias(c) for c in CMV]).select(
+        F.col("history.start").alias("history_start"), F.col("history.end").alias("history_end"), *keys, *CMV
     )
 
 
