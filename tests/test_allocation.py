@@ -118,6 +118,15 @@ def test_best_gain_is_the_first_step(frame, networks):
         assert ([got[job]] if job in got else []) == grown
 
 
+def test_one_broken_rate_does_not_fail_the_run(spark):
+    rows = [("bad", 1, "a", 1e6, 1e-9, 1.0, 1.0, 1.0, 5, 100.0, 1.0, 10), ("bad", 1, "b", 1.0, 2.0, 1.0, 1.0, 1.0, 5, 100.0, 1.0, 10),
+            ("good", 1, "a", 8.0, 10.0, 1.0, 1.0, 1.0, 3, 200.0, 1.0, 6)]
+    df = spark.createDataFrame(rows, NODE)
+    assert by_job(allocate.allocate_greedy(df, "budget").collect()) == {"bad": None, "good": {"a": 3}}
+    got = by_job(allocate.allocate_min_qos(df, F.col("target"), F.col("bound"), F.col("adjust")).collect())
+    assert got["bad"] is None and got["good"] == {"a": 2}
+
+
 def test_fixture_goldens(spark, data):
     """Whole period as one tick, all tuples completed: the documented allocations."""
     from tidegauge.catalog import datasets as d

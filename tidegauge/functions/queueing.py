@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Fixed value: stands for "not defined" where no finite rate exists.
 UNDEFINED = 1.7976931348623157e308
 INFINITY = float("inf")
+LARGEST_COUNT = 2**31 - 1
 
 
 def utilisation(lam: Column, mu: Column, k: Column) -> Column:
@@ -27,8 +28,11 @@ def is_stable(lam: Column, mu: Column, k: Column) -> Column:
 
 
 def min_servers(lam: Column, mu: Column) -> Column:
-    """Smallest executor count with utilisation strictly below one."""
-    return (F.floor(lam / mu) + 1).cast("int")
+    """Smallest executor count with utilisation strictly below one.
+
+    Stops at the largest integer, so one broken rate cannot fail a whole run.
+    """
+    return (F.floor(F.least(lam / mu, F.lit(LARGEST_COUNT - 1.0))) + 1).cast("int")
 
 
 def _erlang_b_step(load: Column, blocked: Column, i: Column) -> Column:

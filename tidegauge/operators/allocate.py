@@ -23,6 +23,10 @@ GAIN_PLACES = 12
 GAIN_FLOOR = -1.0
 
 
+def _open(gain: Column, lam: Column) -> Column:
+    return (lam > 0) & gain.isNotNull() & ~F.isnan(gain) & (gain > GAIN_FLOOR)
+
+
 def ranked_grid(nodes: DataFrame, top: str | Column, scope: Sequence[str], models: Sequence[str] = ("mmk",)) -> DataFrame:
     """Every step from the smallest stable allocation up to ``top`` executors, ranked.
 
@@ -36,42 +40,43 @@ def ranked_grid(nodes: DataFrame, top: str | Column, scope: Sequence[str], model
     ceiling = F.col(top) if isinstance(top, str) else top
     floors = (
         nodes.withColumn("min_executors", q.min_servers(lam, mu))
-        .withColumn("floor_total", F.sum("min_executors").over(per_scope).cast("int"))
-        .withColumn("_room", F.greatest(F.coalesce(ceiling, F.lit(0)) - F.col("floor_total"), F.lit(0)))
-    )
-    grid = capacity_curve(
-        floors, F.col("min_executors"), F.col("min_executors") + F.col("_room"), models
+        .withColumn("floor_total", F.sum("min_executors").over(per_scope))
+        .withColumn("_room", F.coalesce(ceiling, F.lit(0)) - F.col("floor_total"))
+        # a job that does not fit needs no curve: one row stands for each component
+        .withColumn("_from", F.when(F.col("_room") >= 0, F.col("min_executors")).otherwise(F.lit(1)))
     )
+    grid = capacity_curve(floors, F.col("_from"), F.col("_from") + F.greatest("_room", F.lit(0)), models)
 
     steps = Window.partitionBy(*scope, "component").orderBy("k")
     so_far = steps.rowsBetween(Window.unboundedPreceding, 0)
-    for model in models:
-        here = F.col(f"sojourn_{model}")
-        gain, usable, head = f"gain_{model}", f"usable_{model}", f"_head_{model}"
-        grid = grid.withColumn(gain, F.round((here - F.lead(here).over(steps)) * F.col("ratio"), GAIN_PLACES))
-        open_now = (
-            (lam > 0) & F.col(gain).isNotNull() & ~F.isnan(gain) & (F.col(gain) > GAIN_FLOOR)
-        ).cast("int")
-        grid = grid.withColumn("_open", open_now)
-        grid = grid.withColumn(usable, F.min("_open").over(so_far) == 1).withColumn(
-            head, F.when(F.col(usable), F.min(gain).over(so_far))
-        ).drop("_open")
-    for model in models:
-        gain, usable, head = f"gain_{model}", f"usable_{model}", f"_head_{model}"
-        turn = Window.partitionBy(*scope).orderBy(
-            F.desc(usable), F.desc_nulls_last(head), F.asc("component"), F.asc("k")
-        )
-        grid = grid.withColumn(f"rank_{model}", F.row_number().over(turn)).withColumn(
-            f"saved_{model}",
-            F.sum(F.when(F.col(usable), F.col(gain)).otherwise(F.lit(0.0))).over(
-                turn.rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        ).drop(head)
+    grid = grid.withColumns({
+        f"gain_{m}": F.round(
+            (F.col(f"sojourn_{m}") - F.lead(f"sojourn_{m}").over(steps)) * F.col("ratio"), GAIN_PLACES
+        ) for m in models
+    })
+    # a step is open if its gain counts, and usable if every step before it is open too
+    grid = grid.withColumns({f"_open_{m}": _open(F.col(f"gain_{m}"), lam).cast("int") for m in models})
+    grid = grid.withColumns({f"usable_{m}": F.min(f"_open_{m}").over(so_far) == 1 for m in models})
+    grid = grid.withColumns({
+        f"_head_{m}": F.when(F.col(f"usable_{m}"), F.min(f"gain_{m}").over(so_far)) for m in models
+    })
+    turns = {
+        m: Window.partitionBy(*scope).orderBy(
+            F.desc(f"usable_{m}"), F.desc_nulls_last(f"_head_{m}"), F.asc("component"), F.asc("k")
+        ) for m in models
+    }
+    ranks = {f"rank_{m}": F.row_number().over(turns[m]) for m in models}
+    saved = {
+        f"saved_{m}": F.sum(F.when(F.col(f"usable_{m}"), F.col(f"gain_{m}")).otherwise(F.lit(0.0))).over(
+            turns[m].rowsBetween(Window.unboundedPreceding, 0)
+        ) for m in models
+    }
+    grid = grid.withColumns({**ranks, **saved}).drop(*[f"{c}_{m}" for c in ("_open", "_head") for m in models])
     # steps beyond the ceiling are never taken; the first row of a component always stays
-    needed = F.col("k") == F.col("min_executors")
+    needed = F.col("k") == F.col("_from")
     for model in models:
         needed = needed | (F.col(f"usable_{model}") & (F.col(f"rank_{model}") <= F.col("_room")))
-    return grid.filter(needed).drop("_room")
+    return grid.filter(needed).drop("_room", "_from")
 
 
 def _handed_out(model: str, steps: Column) -> Column:
@@ -118,22 +123,20 @@ def _with_qos_steps(grid: DataFrame, scope: Sequence[str], target_ms: Column, ad
     at_floor = F.when(F.col("k") == F.col("min_executors"), F.col("sojourn_mmk") * F.col("ratio"))
     service = F.when(F.col("k") == F.col("min_executors"), 1 / F.col("mu"))
     target = target_ms / 1000.0
-    staged = (
-        grid.withColumn("_floor_s", F.sum(at_floor).over(per_scope))
-        .withColumn("_service_s", F.sum(service).over(per_scope))
-        .withColumn("_reachable", F.col("_service_s") * adjust + F.lit(delta_s) < target)
-    )
+    staged = grid.withColumns({
+        "_floor_s": F.sum(at_floor).over(per_scope), "_service_s": F.sum(service).over(per_scope)
+    })
+    reachable = F.col("_service_s") * adjust + F.lit(delta_s) < target
     at_rank = (F.col("_floor_s") - F.col("saved_mmk")) * adjust
     enough = F.when(
         F.col("usable_mmk") & (at_rank <= target) & (F.col("floor_total") + F.col("rank_mmk") + 1 <= limit),
         F.col("rank_mmk"),
     )
-    steps = F.when(
-        (F.col("_floor_s") * adjust <= target) & (F.col("floor_total") + 1 <= limit), F.lit(0)
-    ).otherwise(F.min(enough).over(per_scope))
-    return staged.withColumn("_qos_steps", F.when(F.col("_reachable"), steps)).drop(
-        "_floor_s", "_service_s", "_reachable"
-    )
+    at_once = (F.col("_floor_s") * adjust <= target) & (F.col("floor_total") + 1 <= limit)
+    found = F.min(enough).over(per_scope)
+    return staged.withColumn(
+        "_qos_steps", F.when(reachable, F.when(at_once, F.lit(0)).otherwise(found))
+    ).drop("_floor_s", "_service_s")
 
 
 def _for_qos() -> Column:

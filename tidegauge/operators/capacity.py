@@ -135,20 +135,21 @@ def capacity_curve(nodes: DataFrame, lo: Column, hi: Column, models: Sequence[st
     Adds ``k, rho, stable, wait_s`` and one ``sojourn_<model>`` per model.
     """
     lam, mu, k = F.col("lam"), F.col("mu"), F.col("k")
+    kept = [c for c in nodes.columns if c not in ("rho", "stable")]
     curve = (
         nodes.withColumn("_lo", lo.cast("int"))
-        .withColumn("_curve", q.erlang_b_curve(lam / mu, F.col("_lo"), hi.cast("int")))
-        .select(*nodes.columns, "_lo", F.posexplode("_curve").alias("_offset", "_blocked"))
+        .select(*kept, "_lo", F.posexplode(q.erlang_b_curve(lam / mu, F.col("_lo"), hi.cast("int"))).alias("_offset", "_blocked"))
         .withColumn("k", F.col("_lo") + F.col("_offset"))
-        .withColumn("rho", q.utilisation(lam, mu, k))
-        .withColumn("stable", F.col("rho") < 1.0)
-        .withColumn("wait_s", q.wait_from_blocking(lam, mu, k, F.col("_blocked")))
+        .withColumns({
+            "rho": q.utilisation(lam, mu, k),
+            "stable": q.is_stable(lam, mu, k),
+            "wait_s": q.wait_from_blocking(lam, mu, k, F.col("_blocked")),
+        })
     )
-    for model in models:
-        curve = curve.withColumn(
-            f"sojourn_{model}", q.sojourn(model, lam, mu, k, F.col("ca2"), F.col("cs2"), F.col("wait_s"))
-        )
-    return curve.drop("_lo", "_offset", "_blocked")
+    wait = F.col("wait_s")
+    return curve.withColumns({
+        f"sojourn_{model}": q.sojourn(model, lam, mu, k, F.col("ca2"), F.col("cs2"), wait) for model in models
+    }).drop("_lo", "_offset", "_blocked")
 
 
 def with_gain(curve: DataFrame, scope: Sequence[str], model: str = "mmk") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ def parse_approved_names(lines: DataFrame, line: str = "line", position: str = "
 
 def approved_names(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
     """:func:`parse_approved_names` over lines given in the configuration."""
-    rows = list(enumerate(lines))
-    return parse_approved_names(spark.createDataFrame(rows, "position int, line string"))
+    given = list(lines)
+    # an arrow table becomes a local relation, whose size the planner knows
+    table = pa.table({"position": pa.array(range(len(given)), pa.int32()), "line": pa.array(given, pa.string())})
+    return parse_approved_names(spark.createDataFrame(table))
 
 
 def approved_metrics(points: DataFrame, aliases: DataFrame) -> DataFrame:
