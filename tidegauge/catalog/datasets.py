@@ -192,9 +192,11 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_totals(executor_reports(spark, sf_dir))
 
 
-def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executors per component, written once as the small snapshot it stands for."""
-    return written(allocation_counts(executors(spark, sf_dir)), "allocation")
+def totals_and_allocation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Component totals per tick and executors per component, from one pass over the events."""
+    days = written(task_days(spark, sf_dir), "task-days")
+    execs = executors_from(days.select("job", "component", "kind").distinct())
+    return component_totals(reports_of_days(days, execs)), allocation_counts(execs)
 
 
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,10 +458,13 @@ oracle("cmv_stats", ("te",), f"""
 SELECT job, component, stream, cnt, round(s, 6) AS s, round(ss, 6) AS ss, round(s / cnt, 6) AS avg, round(ss / cnt, 6) AS avg2,
        round(ss / cnt - (s / cnt) * (s / cnt), 6) AS var, round({scv()}, 6) AS scv
 FROM (SELECT job, component, stream, count(*) AS cnt, sum(elapsed_ms) AS s, sum(elapsed_ms * elapsed_ms) AS ss FROM te GROUP BY ALL)""")
-oracle("executor_rollup", ("tm", "xt", "comp"), f"""
-SELECT tm.job, tick, tm.component, xt.executor, stream, {sums('tm.')}
-FROM tm JOIN xt ON tm.job = xt.job AND tm.task = xt.task GROUP BY ALL
-UNION ALL SELECT job, NULL, component, CAST(({INDEX}) * 8 + 1000 + 8 AS INTEGER), NULL, 0, 0.0, 0.0 FROM comp""")
+oracle("executor_rollup", ("tm", "xt", "ex", "comp"), f"""
+SELECT e.job, r.tick, e.component, e.executor, r.stream, coalesce(r.cnt, 0) AS cnt, coalesce(r.s, 0.0) AS s, coalesce(r.ss, 0.0) AS ss
+FROM (SELECT job, component, task_start AS executor FROM ex
+      UNION ALL SELECT job, component, CAST(({INDEX}) * 8 + 1000 + 8 AS INTEGER) FROM comp) e
+LEFT JOIN (SELECT tm.job, tick, xt.executor, stream, {sums('tm.')}
+           FROM tm JOIN xt ON tm.job = xt.job AND tm.task = xt.task GROUP BY ALL) r
+  ON e.job = r.job AND e.executor = r.executor""")
 oracle("component_rollup", ("tm",), f"SELECT job, tick, component, stream, {sums()} FROM tm GROUP BY ALL")
 oracle("queue_aggregate", ("er",), "SELECT job, tick, component, "
        + ", ".join(f"count({c}) AS {c}_cnt, round(sum({c}), 8) AS {c}_s, round(sum({c} * {c}), 8) AS {c}_ss" for c in QS)

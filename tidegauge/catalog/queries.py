@@ -301,12 +301,13 @@ def split_by_kind(spark, sf):
 
 @query("with_allocation")
 def with_allocation(spark, sf):
-    rows = topology.with_allocation(d.totals(spark, sf), d.allocation(spark, sf))
+    rows = topology.with_allocation(*d.totals_and_allocation(spark, sf))
     return rows.select(*cmv("job", "tick", "component", "executors"))
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return plan.ready_history(written(d.totals(spark, sf), "totals"), d.allocation(spark, sf), PARAMS)
+    totals, allocation = d.totals_and_allocation(spark, sf)
+    return plan.ready_history(written(totals, "totals"), allocation, PARAMS)
 
 
 def _sources(history: DataFrame) -> DataFrame:
@@ -334,7 +335,7 @@ def overlay_allocation(spark, sf):
     suggested = written(nodes.select(
         "job", "tick", "component", F.when(F.col("job") != "job3", F.col("_min")).alias("executors")
     ), "suggested")
-    current = d.allocation(spark, sf).drop("kind")
+    current = topology.allocation_counts(d.executors(spark, sf)).drop("kind")
     return topology.overlay_allocation(current, suggested).select("job", "tick", "component", "executors")
 
 
@@ -472,7 +473,8 @@ def stream_combine(spark, sf):
 
 @query("history_rollup")
 def history_rollup(spark, sf):
-    dense = timeline.dense_ticks(written(d.totals(spark, sf), "totals"), d.allocation(spark, sf))
+    totals, allocation = d.totals_and_allocation(spark, sf)
+    dense = timeline.dense_ticks(written(totals, "totals"), allocation)
     rows = timeline.history_rollup(dense, HISTORY)
     return rows.select(
         *cmv("job", "tick", "component"), r6("duration_ms"), "recv_rate_cnt", r6("recv_rate_s"),
@@ -772,7 +774,8 @@ def max_executors(spark, sf):
 
 @query("service_budget")
 def service_budget(spark, sf):
-    nodes = plan.nodes_of(written(d.totals(spark, sf), "totals"), d.allocation(spark, sf), PARAMS)
+    totals, allocation = d.totals_and_allocation(spark, sf)
+    nodes = plan.nodes_of(written(totals, "totals"), allocation, PARAMS)
     return nodes.select("job", "tick", "current_budget", "max_budget").distinct()
 
 
@@ -783,7 +786,7 @@ def num_workers(spark, sf):
 
 
 def _optimised(spark: SparkSession, sf: str, params: Params = PARAMS) -> DataFrame:
-    return plan.optimise(d.totals(spark, sf), d.allocation(spark, sf), params)
+    return plan.optimise(*d.totals_and_allocation(spark, sf), params)
 
 
 @query("optimise")
@@ -805,8 +808,9 @@ def optimise_epochs(spark, sf):
 def optimise_metric_log(spark, sf):
     """The offline path: recorded log lines to recommendations."""
     measured, _, _ = readers.scan_metric_log(spark, _log_folder(spark, sf))
-    totals = plan.totals_of_reports(measured, d.executors(spark, sf), PARAMS)
-    return _result(plan.optimise(totals, d.allocation(spark, sf), PARAMS))
+    execs = written(d.executors(spark, sf), "executors")
+    totals = plan.totals_of_reports(measured, execs, PARAMS)
+    return _result(plan.optimise(totals, topology.allocation_counts(execs), PARAMS))
 
 
 def _decision(adjust_type: int) -> Params:

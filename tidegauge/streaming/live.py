@@ -97,7 +97,9 @@ def stream_optimise(
             F.min("tick").alias("first_due"), F.max("tick").alias("last_due")
         )
         # one tick may close in several batches: the first covers two intervals
-        merged = held.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+        reach = F.col("first_due") - (params.history_size - 1)
+        near = held.join(due.select("job", "first_due"), "job").filter(F.col("tick") >= reach)
+        merged = near.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
         result = optimise(merged, allocation, params, due)
         result.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
 
