@@ -63,30 +63,34 @@ def test_curve_equals_single_counts(spark):
     assert all(r.wait_s == pytest.approx(r.direct, rel=1e-12) for r in direct)
 
 
-def complex_by_hand(lam, ca2, mu, cs2, k, wait):
-    rho = lam / (mu * k)
-    gamma = min(0.24, (1 - rho) * (k - 1) * (math.sqrt(4 + 5 * k) - 2) / (16 * k * rho))
-    f1, f2 = 1 + gamma, 1 - 4 * gamma
-    f3 = f2 * math.exp(-2 * (1 - rho) / (3 * rho))
-    f4 = min(1, (f1 + f3) / 2)
-    mean = (ca2 + cs2) / 2
-    psi = f4 ** (2 - 2 * mean) if mean < 1 else 1
-    if ca2 >= cs2:
-        phi = f1 * (ca2 - cs2) / (ca2 - 0.75 * cs2) + psi * cs2 / (4 * ca2 - 3 * cs2)
-    else:
-        phi = f3 * 0.5 * (cs2 - ca2) / (ca2 + cs2) + psi * 0.5 * (cs2 + 3 * ca2) / (ca2 + cs2)
-    return wait * mean * phi + 1 / mu
-
-
-@pytest.mark.parametrize("ca2,cs2", [(1, 1), (1, 0.4), (1, 2.5), (0.2, 0.3), (0.5, 0)])
-@pytest.mark.parametrize("lam,mu,k", [(8, 10, 1), (50, 20, 3), (96, 10, 12)])
-def test_general_models(spark, lam, mu, k, ca2, cs2):
+# (ca2, cs2, lam, mu, k) -> sojourn seconds, worked out once outside Spark
+COMPLEX = [
+    (1, 1, 8, 10, 1, 0.5),
+    (1, 1, 50, 20, 3, 0.120224719),
+    (1, 1, 96, 10, 12, 0.115368396),
+    (1, 0.4, 8, 10, 1, 0.378128437),
+    (1, 0.4, 50, 20, 3, 0.099612379),
+    (1, 0.4, 96, 10, 12, 0.111378512),
+    (1, 2.5, 8, 10, 1, 0.776972259),
+    (1, 2.5, 50, 20, 3, 0.16779385),
+    (1, 2.5, 96, 10, 12, 0.124332995),
+    (0.2, 0.3, 8, 10, 1, 0.188303808),
+    (0.2, 0.3, 50, 20, 3, 0.065199947),
+    (0.2, 0.3, 96, 10, 12, 0.102784442),
+    (0.5, 0, 8, 10, 1, 0.2),
+    (0.5, 0, 50, 20, 3, 0.06790129),
+    (0.5, 0, 96, 10, 12, 0.104172279),
+]
+
+
+@pytest.mark.parametrize("ca2,cs2,lam,mu,k,want", COMPLEX)
+def test_general_models(spark, ca2, cs2, lam, mu, k, want):
     wait = q.erlang_wait(LAM, MU, K)
     plain = one(spark, lam, mu, k, wait)
     simple = one(spark, lam, mu, k, q.sojourn("ggk_simple", LAM, MU, K, CA2, CS2, wait), ca2, cs2)
     assert simple == pytest.approx(plain * (ca2 + cs2) / 2 + 1 / mu)
     full = one(spark, lam, mu, k, q.sojourn("ggk_complex", LAM, MU, K, CA2, CS2, wait), ca2, cs2)
-    assert full == pytest.approx(complex_by_hand(lam, ca2, mu, cs2, k, plain))
+    assert full == pytest.approx(want, abs=1e-9)
 
 
 def test_complex_falls_back(spark):

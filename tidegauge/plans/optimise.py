@@ -182,6 +182,7 @@ def alloc_record(result: DataFrame, record: str = "alloc") -> DataFrame:
         F.first("ratio_real").alias("ratio"),
         F.first("error_pct").alias("error"),
     )
+    # fixed values: the member names of the record
     body = F.struct(
         "status", "minReqOptAllocation", "currOptAllocation", "kMaxOptAllocation",
         F.struct("realLatency", "estimate", "ratio", "error").alias("context"),
