@@ -83,8 +83,11 @@ def nodes_of(
     })
 
 
-RESULT = ("job", "tick", "component", "objective", "executors", "current", "status",
-          "real_ms", "est_ms", "ratio_real", "error_pct", "stable")
+RESULT_SCHEMA = (
+    "job string, tick int, component string, objective string, executors int, current int, status string, "
+    "real_ms double, est_ms double, ratio_real double, error_pct double, stable boolean"
+)
+RESULT = tuple(column.split()[0] for column in RESULT_SCHEMA.split(", "))
 
 
 def optimise(

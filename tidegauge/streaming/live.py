@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.moments import cmv_aggregate
 from tidegauge.operators.ordering import one_in_n, with_position
-from tidegauge.plans.optimise import optimise
+from tidegauge.plans.optimise import RESULT_SCHEMA, optimise
 from tidegauge.schemas import CMV, Params, total_columns
 from tidegauge.session import fresh_path
 
@@ -91,24 +91,32 @@ def stream_optimise(
     keys = ["job", "tick", "component", "kind"]
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        to_totals(batch).write.mode("overwrite").parquet(f"{folder}/ticks/batch={batch_id}")
-        held = spark.read.parquet(f"{folder}/ticks").filter(F.col("batch") <= batch_id)
-        due = held.filter(F.col("batch") == batch_id).groupBy("job").agg(
-            F.min("tick").alias("first_due"), F.max("tick").alias("last_due")
-        )
+        totals = to_totals(batch)
+        totals.write.mode("overwrite").parquet(f"{folder}/ticks/batch={batch_id}")
+        schema = T.StructType([*totals.schema.fields, T.StructField("batch", T.IntegerType())])
+        held = spark.read.schema(schema).parquet(f"{folder}/ticks")
+        fresh = held.filter(F.col("batch") == batch_id)
+        target = f"{folder}/results/batch={batch_id}"
+        if fresh.isEmpty():
+            # most micro-batches close no interval
+            spark.createDataFrame([], RESULT_SCHEMA).write.mode("overwrite").parquet(target)
+            return
+        due = fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
         # one tick may close in several batches: the first covers two intervals
         reach = F.col("first_due") - (params.history_size - 1)
-        near = held.join(due.select("job", "first_due"), "job").filter(F.col("tick") >= reach)
+        near = (
+            held.filter(F.col("batch") <= batch_id).join(due.select("job", "first_due"), "job")
+            .filter(F.col("tick") >= reach)
+        )
         merged = near.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
-        result = optimise(merged, allocation, params, due)
-        result.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
+        optimise(merged, allocation, params, due).write.mode("overwrite").parquet(target)
 
     return each_batch(closed, work, f"{folder}/checkpoint")
 
 
 def stream_results(spark: SparkSession, folder: str) -> DataFrame:
     """Latest result of every job, tick, component and objective."""
-    rows = spark.read.parquet(f"{folder}/results")
+    rows = spark.read.schema(f"{RESULT_SCHEMA}, batch int").parquet(f"{folder}/results")
     values = [c for c in rows.columns if c not in ("job", "tick", "component", "objective", "batch")]
     return rows.groupBy("job", "tick", "component", "objective").agg(
         F.max_by(F.struct(*values), "batch").alias("_row")
