@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.frames import free_name
+from tidegauge.llm.words import plain_words
 from tidegauge.session import written
 
 WINDOW = 10
@@ -28,11 +29,10 @@ BROADCAST_BYTES = 32 << 20
 SEARCHED_BYTES = 64 << 20
 # Bytes of a word after A-Z became a-z: 0-9, a-z, and all of non-ASCII characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BREAK = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
 def normalised(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().translate(_BREAK).split()
+    return plain_words((text or "").encode())
 
 
 def windows(text: str | None, window: int) -> set[bytes]:

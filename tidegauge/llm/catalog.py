@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import benchmark_hits, byte_bpe, jump_shards, simhash
+from tidegauge.llm import archives, benchmark_hits, byte_bpe, factorisation, jump_shards, simhash, token_counts, toxicity
+from tidegauge.llm.frames import skipped
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 SHARDS = 8
 
 
@@ -21,6 +23,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), skipped(3, 1)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -35,8 +49,23 @@ def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), skipped(5, 0)
+    model = factorisation.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return factorisation.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), token_counts.fresh_cache(spark)
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op5_jump_shards, op6_byte_bpe, op7_benchmark_hits)
+    f.__name__: f for f in (
+        op1_simhash, op2_warc_revisits, op3_toxicity, op5_jump_shards, op6_byte_bpe, op7_benchmark_hits, op9_quality,
+        op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -27,3 +27,12 @@ def word_lists(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
     for piece in pieces((text or "").encode().lower(), size):
         if found := piece.split():
             yield found
+
+
+# Bytes of a plain word after A-Z became a-z: 0-9, a-z, and all of non-ASCII characters.
+_BREAK = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+
+
+def plain_words(data: bytes) -> list[bytes]:
+    """Lower-cased runs of letters, digits and non-ASCII characters."""
+    return data.lower().translate(_BREAK).split()
