@@ -5,10 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import benchmark_hits, byte_bpe, catalog, simhash
+from tidegauge.llm import benchmark_hits, byte_bpe, catalog, factorisation, simhash, toxicity
+from tidegauge.llm.frames import skipped
 from tidegauge.session import written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from labelled rows outside its held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return factorisation.keep_good(docs, factorisation.train(docs, labels, ~skipped(5, 0)))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier marks go; it learns from labelled rows outside its held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels, ~skipped(3, 1)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies stays."""
     return simhash.keep_one(docs)
@@ -25,6 +38,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good_quality),
+    ("toxicity", not_toxic),
     ("simhash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("byte-level bpe", encode),
