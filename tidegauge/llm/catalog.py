@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import archives, benchmark_hits, byte_bpe, factorisation, jump_shards, simhash, token_counts, toxicity
+from tidegauge.llm import (
+    archives, benchmark_hits, byte_bpe, collision_search, factorisation, jump_shards, simhash, token_counts, toxicity,
+)
 from tidegauge.llm.frames import skipped
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +51,10 @@ def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), skipped(5, 0)
     model = factorisation.train(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -63,8 +69,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_warc_revisits, op3_toxicity, op5_jump_shards, op6_byte_bpe, op7_benchmark_hits, op9_quality,
-        op10_token_counts,
+        op1_simhash, op2_warc_revisits, op3_toxicity, op5_jump_shards, op6_byte_bpe, op7_benchmark_hits,
+        op8_collision_search, op9_quality, op10_token_counts,
     )
 }
 
