@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import (
-    archives, benchmark_hits, byte_bpe, collision_search, factorisation, jump_shards, simhash, token_counts, toxicity,
+    archives, benchmark_hits, byte_bpe, collision_search, factorisation, jump_shards, ngram_trie, simhash, token_counts,
+    toxicity,
 )
 from tidegauge.llm.frames import skipped
 
@@ -37,6 +38,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), skipped(5, 1)
+    return ngram_trie.score(docs, ngram_trie.train(docs, ~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -69,8 +77,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_warc_revisits, op3_toxicity, op5_jump_shards, op6_byte_bpe, op7_benchmark_hits,
-        op8_collision_search, op9_quality, op10_token_counts,
+        op1_simhash, op2_warc_revisits, op3_toxicity, op4_ngram_trie, op5_jump_shards, op6_byte_bpe,
+        op7_benchmark_hits, op8_collision_search, op9_quality, op10_token_counts,
     )
 }
 

@@ -22,30 +22,34 @@ from pyspark.sql import functions as F
 from tidegauge.llm.frames import spread_count
 from tidegauge.session import written
 
-LINES = 48
+LINES = 96
 LEAST = 0.65
-WIDTH = 0.35
-GROW = 1.6
+WIDTH = 1.0
+GROW = 1.08
+#: Further apart than any two projections, so that all lines lie in one sorted array.
+APART = 1e6
 #: Vectors verified per query and block, as a multiple of the neighbours wanted, before widening stops.
-ENOUGH = 40
+ENOUGH = 80
 BLOCK = 4096
 QUERIES_PER_UNIT = 8192
 SEED = 11
 
 
 def directions(width: int, lines: int = LINES) -> np.ndarray:
-    return np.random.default_rng(SEED).normal(size=(width, lines)).astype(np.float32)
+    return np.random.default_rng(SEED).normal(size=(width, lines))
 
 
 class Block:
-    """Sorted arrays of one block of unit vectors, one per line."""
+    """Sorted arrays of one block of unit vectors, one per line, end to end."""
 
     def __init__(self, units: np.ndarray, lines: int):
         self.units = units
         self.along = directions(units.shape[1], lines)
-        values = (units.astype(np.float32) @ self.along).T
-        self.order = np.argsort(values, axis=1, kind="stable")
-        self.values = np.take_along_axis(values, self.order, axis=1)
+        self.shift = np.arange(lines) * APART
+        values = units @ self.along
+        order = np.argsort(values, axis=0, kind="stable")
+        self.values = (np.take_along_axis(values, order, axis=0) + self.shift).T.ravel()
+        self.order = order.T.ravel()
         self.least = max(1, int(np.ceil(LEAST * lines)))
 
     def collide(self, query: np.ndarray, wanted: int) -> np.ndarray:
@@ -54,15 +58,14 @@ class Block:
         A widening counts only what lies between the old window and the new one.
         """
         n = len(self.units)
-        at = query.astype(np.float32) @ self.along
+        at = query @ self.along + self.shift
         counts = np.zeros(n, np.int64)
-        low = high = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at)])
+        low = high = np.searchsorted(self.values, at)
         half = WIDTH / 2
         while True:
-            new_low = np.array([np.searchsorted(v, x - half, "left") for v, x in zip(self.values, at)])
-            new_high = np.array([np.searchsorted(v, x + half, "right") for v, x in zip(self.values, at)])
-            rings = [o[a:b] for o, a, b in zip(self.order, new_low, low)]
-            rings += [o[a:b] for o, a, b in zip(self.order, high, new_high)]
+            new_low = np.searchsorted(self.values, at - half, "left")
+            new_high = np.searchsorted(self.values, at + half, "right")
+            rings = [self.order[a:b] for a, b in zip([*new_low, *high], [*low, *new_high])]
             counts += np.bincount(np.concatenate(rings), minlength=n)
             low, high = new_low, new_high
             found = np.flatnonzero(counts >= self.least)
