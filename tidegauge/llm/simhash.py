@@ -148,9 +148,10 @@ def _blocks(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.nda
 
 def _linked(batches: Iterator[pa.RecordBatch], bits: int, pivots: int) -> Iterator[pa.RecordBatch]:
     """Star-shaped links of one task's units of work."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     columns = {n: table.column(n).to_numpy() for n in ("which", "value", "low", "high", "side", "print")}
     order = np.lexsort([columns[n] for n in ("side", "high", "low", "value", "which")])
     columns = {n: c[order] for n, c in columns.items()}

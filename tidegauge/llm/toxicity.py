@@ -51,6 +51,7 @@ _APART = re.compile(rb"(?<![a-z0-9])(?:[a-z][.\-_*\x20]){2,}[a-z](?![a-z0-9])")
 _INNER = re.compile(rb"[a-z][@013457$!*]+[a-z]")
 _LONG = re.compile(rb"([a-z])\1\1")
 PIECE = 1 << 20
+N_FEATURES = 22
 
 
 @dataclass
@@ -149,7 +150,7 @@ class Model:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         learned, stated = self.automata()
-        return np.array([features(t, learned, stated) for t in texts], float).reshape(len(texts), -1)
+        return np.array([features(t, learned, stated) for t in texts], float).reshape(len(texts), N_FEATURES)
 
     def automata(self):
         if not hasattr(self, "_automata"):
@@ -205,7 +206,7 @@ def fit(sample: DataFrame) -> Model:
     held = map_column(sample.filter(lot >= 3).select((lot == 3).alias("curve"), "y", "text"), "text", "x array<double>", rows)
     table = held.toArrow()
     y = table.column("y").to_numpy().astype(float)
-    x = np.array(table.column("x").to_pylist(), float).reshape(len(y), -1)
+    x = np.array(table.column("x").to_pylist(), float).reshape(len(y), N_FEATURES)
     curve = table.column("curve").to_numpy(zero_copy_only=False)
     order = np.lexsort(x.T) if len(y) else np.empty(0, int)  # the same model whatever order the rows came in
     x, y, curve = x[order], y[order], curve[order]
