@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from tidegauge.operators import ordering
 
 
-@pytest.fixture(scope="module", autouse=True)
-def several_slices(spark):
-    """Keep the sorted partitions apart, as large data would."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+@pytest.fixture(autouse=True)
+def several_slices(monkeypatch):
+    """Narrow slices, as large data would have many of."""
+    monkeypatch.setattr(ordering, "ROWS_PER_SLICE", 1000)
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +32,28 @@ def test_positions_match_row_number(skewed):
     assert got.join(want, ["key", "ts", "id"]).filter("position <> want").count() == 0
 
 
-def test_hot_key_spans_partitions(skewed, spark):
-    rows, slices = ordering._sorted_slices(skewed, ["key"], ["ts", "id"])
-    assert slices.filter("key = 'hot'").count() > 1
+def test_hot_key_and_hot_instant_are_cut(skewed, spark):
+    placed = ordering._placed(ordering._slices(skewed, ["key"], ["ts", "id"]), ["ts", "id"])
+    sizes = placed.groupBy("_key", "_a", "_b").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] <= 3 * 1000 and sizes[1] > 60
+
+
+def test_one_key_with_nine_tenths_of_the_rows(spark):
+    rows = spark.range(50_000).select("id", F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id")).alias("key"))
+    got = ordering.with_position(rows, ["key"], ["id"]).filter("key = 1").agg(F.max("position"), F.countDistinct("position"))
+    assert tuple(got.first()) == (45_000 - 1 + 0, 45_000)
+
+
+@pytest.mark.parametrize("slice_rows", [2, 10**6])
+def test_null_keys_and_null_order_values_keep_their_rows(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(ordering, "ROWS_PER_SLICE", slice_rows)
+    rows = [(None, 3), (None, 1), (None, None), ("a", 2), ("a", 1), (None, 7), ("a", None)]
+    df = spark.createDataFrame(rows, "key string, at int")
+    got = {(r.key, r.at): r.position for r in ordering.with_position(df, ["key"], ["at"]).collect()}
+    assert got == {(None, None): 0, (None, 1): 1, (None, 3): 2, (None, 7): 3, ("a", None): 0, ("a", 1): 1, ("a", 2): 2}
+    before = {(r.key, r.at): r.before for r in ordering.with_previous(df, ["key"], ["at"], "at", "before").collect()}
+    assert before == {(None, None): None, (None, 1): None, (None, 3): 1, (None, 7): 3, ("a", None): None, ("a", 1): None, ("a", 2): 1}
+    assert ordering.with_position(df.limit(0), ["key"], ["at"]).count() == 0
 
 
 def test_global_positions(skewed):

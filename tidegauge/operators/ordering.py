@@ -1,9 +1,10 @@
-"""Positions inside ordered groups, without one task per group.
+"""Positions inside ordered groups, without one task per group and without a stored copy.
 
-A plain ``row_number`` window puts a whole group into one task. Here the rows
-are range-sorted by group and order together, so a large group covers many
-partitions; each slice of a group then only needs the number of rows in the
-slices before it.
+A plain ``row_number`` window puts a whole group into one task. Here every group
+is cut along its order into slices that are narrow enough, one combining pass
+counts the rows of each slice, sums over that small table say where a slice
+starts, and the window numbers the rows inside a slice only. Keys are compared
+as structs, so NULL keys are groups like any other.
 """
 
 from __future__ import annotations
@@ -13,45 +14,104 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import written
+#: Rows that one slice should hold, if the order column is spread evenly.
+ROWS_PER_SLICE = 50_000
+#: Quantiles of an order column that become cuts; what is between them is cut evenly.
+CUTS = 64
 
 
-def _sorted_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows in order with a slice number, and one summary row per (group, slice).
+def _number(df: DataFrame, column: str) -> Column | None:
+    """An order column as a number that rises with it; None for kinds that have none."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double") if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") else None
 
-    The sorted rows are written once: slice bounds are sampled, so both uses
-    must see the same run.
+
+def _below(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the rising ``cuts`` lie below ``value``, as a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    upper = _below(value, cuts[middle + 1 :], first + middle + 1)
+    return F.when(value > cuts[middle], upper).otherwise(_below(value, cuts[:middle], first))
+
+
+def _cut(value: Column, cuts: Sequence[float], parts: int) -> Column:
+    """Slice of a value: rises with it, and each cut is a slice of its own.
+
+    A value that very many rows share is a quantile, so it is such a cut. What
+    lies between two cuts is divided evenly.
     """
-    rows = written(
-        df.sort(*keys, *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "sorted",
+    inner = -(-parts // max(1, len(cuts)))
+    line = F.array(*[F.lit(float(c)) for c in cuts])
+    at = _below(value, cuts)
+    on = F.coalesce(F.get(line, at) == value, F.lit(False))
+    low, high = F.get(line, at - 1), F.get(line, at)
+    place = F.least(F.floor((value - low) / (high - low) * inner), F.lit(inner - 1))
+    fine = F.when(on | low.isNull() | high.isNull(), F.lit(0)).otherwise(place)
+    # NULL sorts first, and so does its slice
+    return F.when(value.isNull(), F.lit(-1)).otherwise((2 * at + on.cast("int")) * inner + fine).cast("long")
+
+
+def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """Rows with ``_key``, and ``_a`` and ``_b`` as slices of the first two order columns; None if one slice is enough."""
+    numbers = [_number(df, c) for c in order[:2]]
+    if numbers[0] is None:
+        return None
+    second = numbers[1] if len(numbers) > 1 and numbers[1] is not None else F.lit(0.0)
+    steps = [i / CUTS for i in range(CUTS + 1)]
+    found = df.agg(F.count(F.lit(1)), *[F.percentile_approx(c, steps) for c in (numbers[0], second)]).first()
+    parts = -(-found[0] // ROWS_PER_SLICE)
+    if parts < 2:
+        return None
+    cuts = [sorted(set(c or ())) for c in found[1:]]
+    return df.select(
+        "*", F.struct(F.lit(0).alias("_"), *keys).alias("_key"), numbers[0].alias("_first"),
+        *[_cut(c, own, parts).alias(n) for c, own, n in zip((numbers[0], second), cuts, ("_a", "_b"))],
     )
-    slices = rows.groupBy(*keys, "_slice").agg(
-        F.min("_at").alias("_first"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.max_by(F.struct(*order), "_at").alias("_last"),
+
+
+def _starts(sliced: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Per slice: how many rows of its group are before it, and the last order values before it.
+
+    A slice of the first column is cut further by the second one only where all
+    its rows agree in the first (``_fine``); elsewhere that would break the order.
+    """
+    counts = sliced.groupBy("_key", "_a", "_b").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_first").alias("_low"), F.max("_first").alias("_high"),
+        F.max(F.struct(*order)).alias("_last"),
+    )
+    whole = Window.partitionBy("_key", "_a")
+    along = Window.partitionBy("_key").orderBy("_a", "_b")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    rows = (
+        counts.withColumn("_fine", F.min("_low").over(whole).eqNullSafe(F.max("_high").over(whole)))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .withColumn("_carried", F.max("_last").over(before))
+    )
+    head = Window.partitionBy("_key", "_a").orderBy("_b")
+    return rows.select(
+        "_key", "_a", "_b", "_fine",
+        F.when(F.col("_fine"), F.col("_start")).otherwise(F.first("_start").over(head)).alias("_start"),
+        F.when(F.col("_fine"), F.col("_carried")).otherwise(F.first("_carried").over(head)).alias("_carried"),
     )
-    return rows, slices
 
 
-def _earlier(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("_slice")
+def _placed(sliced: DataFrame, order: Sequence[str]) -> DataFrame:
+    joined = sliced.join(_starts(sliced, order), ["_key", "_a", "_b"])
+    return joined.withColumn("_b", F.when(F.col("_fine"), F.col("_b")).otherwise(F.lit(0).cast("long")))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row inside its group."""
-    rows, slices = _sorted_slices(df, keys, order)
-    before = F.coalesce(
-        F.sum("_rows").over(_earlier(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    starts = slices.select(*keys, "_slice", (before - F.col("_first")).alias("_shift"))
-    return (
-        rows.join(starts, [*keys, "_slice"])
-        .withColumn(name, F.col("_at") + F.col("_shift"))
-        .select(*df.columns, name)
-    )
+    """Add the 0-based position of each row inside its group; NULL order values come first."""
+    sliced = _slices(df, keys, order)
+    if sliced is None:
+        inside = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(inside).cast("long") - 1)
+    inside = Window.partitionBy("_key", "_a", "_b").orderBy(*order)
+    placed = _placed(sliced, order).withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
+    return placed.select(*df.columns, name)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
@@ -59,16 +119,15 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
     ``value`` must be one of the ``order`` columns.
     """
-    rows, slices = _sorted_slices(df, keys, order)
-    carried = slices.select(
-        *keys, "_slice", F.lag(F.col(f"_last.{value}")).over(_earlier(keys)).alias("_carried")
-    )
-    inside = F.lag(value).over(Window.partitionBy(*keys, "_slice").orderBy("_at"))
-    return (
-        rows.join(carried, [*keys, "_slice"])
-        .withColumn(name, F.coalesce(inside, F.col("_carried")))
-        .select(*df.columns, name)
+    sliced = _slices(df, keys, order)
+    if sliced is None:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    inside = Window.partitionBy("_key", "_a", "_b").orderBy(*order)
+    head = F.row_number().over(inside) == 1
+    placed = _placed(sliced, order).withColumn(
+        name, F.when(head, F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
     )
+    return placed.select(*df.columns, name)
 
 
 def one_in_n(rate: float) -> int:
