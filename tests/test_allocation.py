@@ -24,8 +24,26 @@ def wait(lam, mu, k):
     return b / (1 - rho * (1 - b)) / (k * mu - lam) if rho < 1 else math.inf
 
 
+def digits(gain):
+    """Twelve significant digits, so that rounding noise does not break ties."""
+    return float(f"{gain:.12g}") if math.isfinite(gain) else gain
+
+
+def complex_factor(n, k):
+    """The published multi-server correction (van Vliet and Rinnooy Kan)."""
+    a, s, rho = n["ca2"], n["cs2"], n["lam"] / (n["mu"] * k)
+    g = min(0.24, (1 - rho) * (k - 1) * ((4 + 5 * k) ** 0.5 - 2) / (16 * k * rho))
+    busy, light, v = 1 + g, (1 - 4 * g) * math.exp(-2 * (1 - rho) / (3 * rho)), (a + s) / 2
+    psi = min(1.0, (busy + light) / 2) ** (2 - 2 * v) if v < 1 else 1.0
+    if a >= s:
+        return v * (busy * (a - s) / (a - 0.75 * s) + psi * s / (4 * a - 3 * s))
+    return v * (light * (s - a) / 2 / (a + s) + psi * (s + 3 * a) / 2 / (a + s))
+
+
 def sojourn(n, k, model):
     factor = (n["ca2"] + n["cs2"]) / 2 if model == "ggk_simple" else 1.0
+    if model == "ggk_complex" and 0 < n["lam"] < n["mu"] * k:
+        factor = complex_factor(n, k)
     return wait(n["lam"], n["mu"], k) * factor + 1 / n["mu"]
 
 
@@ -40,7 +58,7 @@ def greedy(nodes, budget, model="mmk"):
             if n["lam"] <= 0:
                 continue
             k = held[n["component"]]
-            gain = round((sojourn(n, k, model) - sojourn(n, k + 1, model)) * n["ratio"], 12)
+            gain = digits((sojourn(n, k, model) - sojourn(n, k + 1, model)) * n["ratio"])
             if gain > -1 and (best is None or gain > best[0]):
                 best = (gain, n["component"])
         if best is None:
@@ -95,13 +113,32 @@ def by_job(rows):
     return {j: None if None in a.values() else a for j, a in out.items()}
 
 
-@pytest.mark.parametrize("model", ["mmk", "ggk_simple"])
+@pytest.mark.parametrize("model", ["mmk", "ggk_simple", "ggk_complex"])
 def test_greedy_equals_loop(frame, networks, model):
     got = by_job(allocate.allocate_greedy(frame, "budget", model=model).collect())
     assert got == {j: greedy(n, n[0]["budget"], model) for j, n in networks.items()}
     assert None in got.values()
 
 
+def test_tiny_gains_count_at_any_scale(spark):
+    """Rates over seven decades and a large budget, against the loop without any rounding."""
+    rows = [("j", 1, f"c{i}", 0.8 * mu, mu, 1.0, 1.0, 1.0, 60, 100.0, 1.0, 120) for i, mu in enumerate((1e4, 10.0, 11.0, 1e7))]
+    rows += [("k", 1, f"c{i}", 0.7 * mu, mu, 1.0, 1.0, 1.0, 1500, 100.0, 1.0, 120) for i, mu in enumerate((1.0, 1e3, 1e6))]
+    names = [c.split()[0] for c in NODE.split(", ")]
+    got = by_job(allocate.allocate_greedy(spark.createDataFrame(rows, NODE), "budget").collect())
+    for job in ("j", "k"):
+        nodes = [dict(zip(names, r)) for r in rows if r[0] == job]
+        held = {n["component"]: 1 for n in nodes}
+        curve = {n["component"]: [sojourn(n, k, "mmk") for k in range(1, 60)] for n in nodes}
+        for _ in range(min(nodes[0]["budget"], 60) - len(nodes)):
+            gains = {c: curve[c][k - 1] - curve[c][k] for c, k in held.items()}
+            best = max(gains, key=gains.get)
+            held[best] += 1
+        if job == "j":
+            assert got[job] == held
+        assert sum(got[job].values()) <= nodes[0]["budget"] and min(got[job].values()) > 3
+
+
 def test_min_qos_equals_loop(frame, networks):
     got = by_job(allocate.allocate_min_qos(frame, F.col("target"), F.col("bound"), F.col("adjust")).collect())
     want = {j: min_qos(n, n[0]["target"], n[0]["adjust"], n[0]["bound"]) for j, n in networks.items()}

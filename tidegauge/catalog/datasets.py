@@ -14,7 +14,7 @@ from tidegauge.operators.moments import component_totals
 from tidegauge.operators.timeline import bucket_start, optimise_tick
 from tidegauge.operators.topology import allocation_counts
 from tidegauge.schemas import COMPLETE_LATENCY, DURATION, EMIT, EXECUTE, QUEUE_FIELDS, QUEUE_METRIC
-from tidegauge.session import utc, written
+from tidegauge.session import in_utc, written
 
 # Fixed values of the fixture.
 START = "2024-01-01 00:00:00"
@@ -30,7 +30,7 @@ SUCCESSOR = {"view": "click", "click": "error", "error": "purchase", "purchase":
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shape_events(events: DataFrame) -> DataFrame:
@@ -249,12 +249,17 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def allocation_history(spark: SparkSession, sf_dir: str, days: int = 29) -> DataFrame:
-    """Four executors each; from tick 15 on ``job0/click`` has six."""
+def last_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuple_events(spark, sf_dir).groupBy("job").agg(F.max(day_tick("ts")).alias("_last"))
+
+
+def allocation_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four executors each; from tick 15 on ``job0/click`` has six. Every fifth tick from 2 on has no snapshot."""
     grown = (F.col("job") == "job0") & (F.col("component") == "click") & (F.col("tick") >= 15)
-    return components(spark, sf_dir).select(
-        "job", "component", "kind", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("tick")
-    ).withColumn("executors", F.when(grown, F.lit(6)).otherwise(F.lit(EXECUTORS_EACH)))
+    ended = components(spark, sf_dir).join(last_tick(spark, sf_dir), "job")
+    return ended.select(
+        "job", "component", "kind", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("tick")
+    ).filter(F.col("tick") % 5 != 2).withColumn("executors", F.when(grown, F.lit(6)).otherwise(F.lit(EXECUTORS_EACH)))
 
 
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:

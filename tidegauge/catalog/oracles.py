@@ -110,9 +110,8 @@ MODEL_COLUMNS = ["cnt", "s", "ss", "duration_ms", "recv_rate_cnt", "recv_rate_s"
                  "recv_population_cnt", "recv_population_s", "send_population_cnt", "send_population_s"]
 cte("dense", ("ct", "al"), "SELECT f.job, f.component, f.kind, f.executors, f.tick, "
     + ", ".join(f"coalesce(ct.{c}, 0) AS {c}" for c in MODEL_COLUMNS)
-    + """ FROM (SELECT al.job, al.component, al.kind, al.executors, CAST(t AS INTEGER) AS tick
-      FROM al JOIN (SELECT job, max(tick) AS last FROM ct GROUP BY job) l ON al.job = l.job, range(1, 100000) r(t)
-      WHERE t <= last) f LEFT JOIN ct ON f.job = ct.job AND f.component = ct.component AND f.tick = ct.tick""")
+    + """ FROM (SELECT al.job, al.component, al.kind, al.executors, CAST(unnest(range(1, last + 1)) AS INTEGER) AS tick
+      FROM al JOIN (SELECT job, max(tick) AS last FROM ct GROUP BY job) l ON al.job = l.job) f LEFT JOIN ct ON f.job = ct.job AND f.component = ct.component AND f.tick = ct.tick""")
 # the history as a self-join on the tick distance, not as a window frame
 cte("hist_all", ("dense",), "SELECT a.job, a.component, a.kind, a.executors, a.tick, "
     + ", ".join(f"sum(b.{c}) AS {c}" for c in MODEL_COLUMNS)
@@ -197,16 +196,22 @@ def sojourn(model: str, w: str = "wait_s") -> str:
 def grid_sql(nodes: str, top: str) -> str:
     """Every node at every count from its floor to what is left of ``top``."""
     return f"""
-SELECT n.*, CAST(r.k AS INTEGER) AS k, {wait('n.lam', 'n.mu', 'r.k')} AS wait_s
-FROM (SELECT *, {FLOOR} AS lo, sum({FLOOR}) OVER (PARTITION BY job, tick) AS floor_total FROM {nodes}) n,
-     range(1, 1000) r(k)
-WHERE r.k >= n.lo AND r.k <= n.lo + greatest({top} - n.floor_total, 0) + 1"""
+SELECT n.* EXCLUDE (kk), CAST(kk AS INTEGER) AS k, {wait('n.lam', 'n.mu', 'n.kk')} AS wait_s
+FROM (SELECT *, unnest(range(lo, lo + greatest({top} - floor_total, 0)::INTEGER + 2)) AS kk
+      FROM (SELECT *, {FLOOR} AS lo, sum({FLOOR}) OVER (PARTITION BY job, tick) AS floor_total FROM {nodes})) n"""
+
+
+def significant(x: str, digits: int = 12) -> str:
+    """``x`` at so many significant digits, so equal components tie at any scale."""
+    scale = f"pow(10.0::DOUBLE, {digits - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN abs({x}) > 1e-290 AND abs({x}) < 1e290 THEN round_even({x} * {scale}, 0) / {scale} ELSE {x} END"
 
 
 def gains_sql(grid: str, model: str) -> str:
     return f"""
-SELECT *, round((soj - lead(soj) OVER (PARTITION BY job, tick, component ORDER BY k)) * ratio, 12) AS gain
-FROM (SELECT *, {sojourn(model)} AS soj FROM {grid})"""
+SELECT * EXCLUDE (raw), {significant('raw')} AS gain
+FROM (SELECT *, (soj - lead(soj) OVER (PARTITION BY job, tick, component ORDER BY k)) * ratio AS raw
+      FROM (SELECT *, {sojourn(model)} AS soj FROM {grid}))"""
 
 
 def loop_sql(name: str, gains: str, top: str) -> str:
@@ -240,12 +245,15 @@ for _m in ("mmk", "ggk_simple", "ggk_complex"):
 allocation_ctes("qos", "sv", str(2 * BUDGET - 1), "mmk", ("sv",))
 allocation_ctes("large", "sv", str(2 * LARGE_BUDGET - 1), "mmk", ("sv",))
 
-# allocations per tick, with the change of the fixture
-cte("alh", ("comp", "te"), f"""
-SELECT c.job, c.component, c.kind, CAST(t AS INTEGER) AS tick,
-       CAST(CASE WHEN c.job = 'job0' AND c.component = 'click' AND t >= 15 THEN 6 ELSE 4 END AS INTEGER) AS executors
-FROM comp c JOIN (SELECT job, max({tick('ts')}) AS last FROM te GROUP BY job) l ON c.job = l.job, range(1, 30) r(t)
-WHERE t <= last""")
+# allocation snapshots with the change and the gaps of the fixture, and the last one at or before every tick
+cte("ticks", ("te",), f"SELECT job, CAST(unnest(range(1, max({tick('ts')}) + 1)) AS INTEGER) AS tick FROM te GROUP BY job")
+cte("snap", ("comp", "ticks"), """
+SELECT c.job, c.component, c.kind, t.tick,
+       CAST(CASE WHEN c.job = 'job0' AND c.component = 'click' AND t.tick >= 15 THEN 6 ELSE 4 END AS INTEGER) AS executors
+FROM comp c JOIN ticks t ON c.job = t.job WHERE t.tick % 5 <> 2""")
+cte("alh", ("snap", "ticks"), """
+SELECT t.job, s.component, s.kind, t.tick, arg_max(s.executors, s.tick) AS executors
+FROM ticks t JOIN snap s ON t.job = s.job AND s.tick <= t.tick GROUP BY ALL""")
 cte("changed", ("alh",), """
 SELECT a.job, a.tick, coalesce(bool_or(b.executors IS DISTINCT FROM a.executors) FILTER (WHERE a.tick > 1), false) AS changed
 FROM alh a LEFT JOIN alh b ON a.job = b.job AND a.component = b.component AND b.tick = a.tick - 1
@@ -363,6 +371,17 @@ oracle("scan_metric_log", ("td",), CMV_ROWS)
 oracle("parse_cmv", ("td",), CMV_ROWS)
 oracle("sink_metric_log", ("mp", "alias"), f"""
 SELECT job, 'task.' || component || '.' || task AS record, count(*) AS lines FROM ({NAMES}) GROUP BY ALL""")
+oracle("unknown_tasks", ("mp", "alias"), f"""
+SELECT job, ts, component, task, n_values FROM ({NAMES}) WHERE task % 8 >= 6""")
+MIXED = """
+SELECT '00' || job[4:4] AS job, component, 'task.' || component || '.' || task AS name, sum(arrivals) AS n FROM td GROUP BY job, component, task"""
+oracle("scan_other_records", ("td",), f"""
+SELECT job, 'topology.info' AS name, '{{"component":"' || component || '"}}' AS body, count(*) AS n FROM ({MIXED}) GROUP BY ALL
+UNION ALL SELECT job, 'alloc', 'n=' || n, count(*) FROM ({MIXED}) GROUP BY ALL""")
+oracle("scan_rejects", ("td",), f"""
+SELECT job, value, count(*) AS n FROM (
+  SELECT job, unnest(['task.' || component || '.99999999999->{{}}', name || '->not json', 'no arrow ' || component,
+                      name || '->{{"timestamp":9999999999999999}}']) AS value FROM ({MIXED})) GROUP BY ALL""")
 oracle("scan_text_queue", ("lines",), "SELECT value AS text, count(*) AS n FROM lines GROUP BY value")
 oracle("scan_peek", ("lines",), f"SELECT * FROM lines ORDER BY conv_id, turn, line LIMIT {PEEK}")
 oracle("sink_raw_lines", ("lines",), f"""
@@ -387,7 +406,9 @@ oracle("sample_one_in_n", ("te",), f"""
 SELECT job, task, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY job, task ORDER BY ts, event_id) - 1 AS p FROM te)
 WHERE p % {SAMPLE_N} = 0""")
 oracle("service_key", ("te",), """
-SELECT job, component || ':' || stream AS key, count(*) AS cnt, round(sum(ms), 6) AS s, round(sum(ms * ms), 6) AS ss
+SELECT job, component, CASE component WHEN 'click' THEN 'view' WHEN 'error' THEN 'click' WHEN 'purchase' THEN 'error'
+         WHEN 'signup' THEN 'purchase' END || ':' || stream AS key,
+       count(*) AS cnt, round(sum(ms), 6) AS s, round(sum(ms * ms), 6) AS ss
 FROM (SELECT *, trunc(elapsed_ms * 1e6) / 1e6 AS ms FROM te WHERE kind <> 'source') WHERE ms > 0 GROUP BY ALL""")
 oracle("assign_sequence_id", (), """
 SELECT 's' || task || '-' || (row_number() OVER (PARTITION BY task ORDER BY conv_id, turn) - 1) AS sid, task, conv_id, turn,
@@ -444,7 +465,7 @@ SELECT job, CAST(sum(CASE WHEN kind = 'source' THEN executors ELSE 0 END) AS INT
        CAST(sum(CASE WHEN kind <> 'source' THEN executors ELSE 0 END) AS INTEGER) AS service_executors FROM al GROUP BY job""")
 EVENT_CMV = "count(*) AS cnt, round(sum(elapsed_ms), 6) AS s, round(sum(elapsed_ms * elapsed_ms), 6) AS ss"
 oracle("pick_source", ("te",), f"""
-SELECT * FROM (SELECT job, component, {EVENT_CMV} FROM te WHERE component IN ('signup', 'view') GROUP BY ALL)
+SELECT * FROM (SELECT job, component, {EVENT_CMV} FROM te GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY job ORDER BY component) = 1""")
 
 # --- aggregations ---
@@ -458,13 +479,25 @@ oracle("cmv_stats", ("te",), f"""
 SELECT job, component, stream, cnt, round(s, 6) AS s, round(ss, 6) AS ss, round(s / cnt, 6) AS avg, round(ss / cnt, 6) AS avg2,
        round(ss / cnt - (s / cnt) * (s / cnt), 6) AS var, round({scv()}, 6) AS scv
 FROM (SELECT job, component, stream, count(*) AS cnt, sum(elapsed_ms) AS s, sum(elapsed_ms * elapsed_ms) AS ss FROM te GROUP BY ALL)""")
-oracle("executor_rollup", ("tm", "xt", "ex", "comp"), f"""
-SELECT e.job, r.tick, e.component, e.executor, r.stream, coalesce(r.cnt, 0) AS cnt, coalesce(r.s, 0.0) AS s, coalesce(r.ss, 0.0) AS ss
+# every executor, one idle one per component included, at every tick of its job
+cte("xf", ("ex", "comp", "tm"), f"""
+SELECT e.job, e.component, e.executor, CAST(unnest(range(1, last + 1)) AS INTEGER) AS tick
 FROM (SELECT job, component, task_start AS executor FROM ex
       UNION ALL SELECT job, component, CAST(({INDEX}) * 8 + 1000 + 8 AS INTEGER) FROM comp) e
+JOIN (SELECT job, max(tick) AS last FROM tm GROUP BY job) l ON e.job = l.job""")
+oracle("executor_rollup", ("tm", "xt", "xf"), f"""
+SELECT e.job, e.tick, e.component, e.executor, r.stream, coalesce(r.cnt, 0) AS cnt, coalesce(r.s, 0.0) AS s, coalesce(r.ss, 0.0) AS ss
+FROM xf e
 LEFT JOIN (SELECT tm.job, tick, xt.executor, stream, {sums('tm.')}
            FROM tm JOIN xt ON tm.job = xt.job AND tm.task = xt.task GROUP BY ALL) r
-  ON e.job = r.job AND e.executor = r.executor""")
+  ON e.job = r.job AND e.executor = r.executor AND e.tick = r.tick""")
+# a tick may hold several reports of an executor: the first one covers two days
+oracle("executor_results", ("xf", "er"), "SELECT e.job, e.tick, e.component, e.executor, coalesce(sum(cnt), 0)::BIGINT AS cnt, "
+       "round(coalesce(sum(s), 0.0), 6) AS s, round(coalesce(sum(ss), 0.0), 6) AS ss, coalesce(sum(duration_ms), 0.0) AS duration_ms, "
+       + ", ".join(f"count({c}) AS {c}_cnt, round(coalesce(sum({c}), 0.0), 8) AS {c}_s, "
+                   f"round(coalesce(sum({c} * {c}), 0.0), 8) AS {c}_ss" for c in QS)
+       + " FROM xf e LEFT JOIN er r ON e.job = r.job AND e.executor = r.executor AND e.tick = r.tick"
+         " GROUP BY e.job, e.tick, e.component, e.executor")
 oracle("component_rollup", ("tm",), f"SELECT job, tick, component, stream, {sums()} FROM tm GROUP BY ALL")
 oracle("queue_aggregate", ("er",), "SELECT job, tick, component, "
        + ", ".join(f"count({c}) AS {c}_cnt, round(sum({c}), 8) AS {c}_s, round(sum({c} * {c}), 8) AS {c}_ss" for c in QS)
@@ -504,9 +537,9 @@ oracle("qos_miss", ("te",), f"""
 SELECT job, component, stream, {EVENT_CMV} FROM te
 WHERE outcome = 'ok' AND elapsed_ms > CASE WHEN kind = 'source' THEN 800 ELSE 100 END GROUP BY ALL""")
 oracle("emit_count", ("te",), f"""
-SELECT job, component, stream, date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) AS emitted
+SELECT job, component, stream, date_trunc('day', ts)::TIMESTAMP AS bucket, CAST(sum(event_id % 3) AS BIGINT) AS emitted
 FROM (SELECT *, row_number() OVER (PARTITION BY job, task ORDER BY ts, event_id) - 1 AS p FROM te) WHERE p % {SAMPLE_N} = 0
-GROUP BY ALL""")
+GROUP BY ALL HAVING sum(event_id % 3) > 0""")
 
 COMPLETED = "(CASE WHEN kind = 'source' AND outcome = 'ok' THEN elapsed_ms END)"
 MISSED = "(CASE WHEN kind = 'source' AND outcome = 'ok' AND elapsed_ms > 800 THEN elapsed_ms END)"
@@ -539,7 +572,8 @@ HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 SPLIT = f"SELECT sid, sentence, CASE WHEN {HASH.format(chr(39).join(['sid || ', ':0', '']))} / 4294967296.0 < {PATH_P} THEN 'P-Stream' ELSE 'NotP-Stream' END AS stream FROM rec"
 cte("routed", ("rec",), SPLIT)
 oracle("split_stream", ("routed",), "SELECT * FROM routed")
-oracle("merge_streams", ("routed",), "SELECT * FROM routed")
+oracle("merge_streams", ("routed",), """
+SELECT sid, CASE WHEN stream = 'P-Stream' THEN 'P:' ELSE '' END || sentence AS sentence, stream FROM routed""")
 oracle("shuffle_grouping", ("rec",), "SELECT sid, sentence FROM rec")
 # the loop itself, pass by pass
 cte("loop0", ("rec",), f"SELECT sid, sentence, ({HASH.format(chr(39).join(['sid || ', ':loop', '']))} + 0.5) / 4294967296.0 AS u FROM rec")
@@ -550,7 +584,8 @@ cte("finished", ("looping",), f"SELECT sid, word, CAST(passes AS INTEGER) AS pas
 oracle("loop_back", ("finished",), "SELECT * FROM finished")
 oracle("dataflow_chain", ("rec",), "SELECT sid, sentence || '!!' AS word FROM rec")
 oracle("dataflow_two_path", ("routed",), """
-SELECT sid, sentence || '!!' AS word, stream, CASE WHEN stream = 'P-Stream' THEN 'A-P' ELSE 'A-NotP' END AS path FROM routed""")
+SELECT sid, sentence || CASE WHEN stream = 'P-Stream' THEN '+' ELSE '-' END || '!!' AS word, stream,
+       CASE WHEN stream = 'P-Stream' THEN 'A-P' ELSE 'A-NotP' END AS path FROM routed""")
 oracle("dataflow_loop", ("finished",), "SELECT sid, word AS word_finished FROM finished")
 
 # --- queueing table ---
@@ -567,8 +602,8 @@ SELECT job, tick, component, {r11('lam / (mu * executors)', 'rho_now')}, lam / (
        {r11('lam / mu', 'rho_single')} FROM sv""")
 oracle("min_servers", ("sv",), f"SELECT job, tick, component, {FLOOR} AS min_executors FROM sv")
 cte("curve", ("sv",), f"""
-SELECT n.*, CAST(r.k AS INTEGER) AS k, {wait('n.lam', 'n.mu', 'r.k')} AS wait_s
-FROM (SELECT *, {FLOOR} AS lo FROM sv) n, range(1, 1000) r(k) WHERE r.k BETWEEN n.lo AND n.lo + {CURVE_MORE}""")
+SELECT n.* EXCLUDE (kk), CAST(kk AS INTEGER) AS k, {wait('n.lam', 'n.mu', 'n.kk')} AS wait_s
+FROM (SELECT *, unnest(range(lo, lo + {CURVE_MORE} + 1)) AS kk FROM (SELECT *, {FLOOR} AS lo FROM sv)) n""")
 oracle("capacity_curve", ("curve",), f"""
 SELECT job, tick, component, k, {r11('lam / (mu * k)', 'rho')}, lam / (mu * k) < 1 AS stable, {r6('wait_s', 'wait_s')} FROM curve""")
 oracle("erlang_wait", ("sv",), f"""

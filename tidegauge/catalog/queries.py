@@ -15,7 +15,7 @@ from tidegauge.operators import allocate, capacity, dataflow, moments, ordering,
 from tidegauge.plans import dataflows, measure
 from tidegauge.plans import optimise as plan
 from tidegauge.schemas import APPROVED_NAMES, Params, queue_columns
-from tidegauge.session import fresh_path, spread, utc, written
+from tidegauge.session import fresh_path, in_utc, spread, written
 from tidegauge.sources import readers, writers
 from tidegauge.streaming import live
 
@@ -117,6 +117,45 @@ def scan_metric_log(spark, sf):
     return rows.select(*cmv("job", naive("ts"), "component", "task", "stream"))
 
 
+@query("unknown_tasks")
+def unknown_tasks(spark, sf):
+    """Recorded reports of tasks that no executor has: here the last two tasks of each component."""
+    measured, _, _ = readers.scan_metric_log(spark, _log_folder(spark, sf))
+    execs = written(d.executors(spark, sf).filter(F.col("task_start") % 8 < 6), "executors")
+    _, unknown = plan.totals_of_reports(measured, execs, PARAMS)
+    return unknown.select("job", naive("ts"), "component", "task", F.size("data").alias("n_values"))
+
+
+def _mixed_log(spark: SparkSession, sf: str) -> str:
+    """A log with task records, other records and broken lines, of jobs whose names look like numbers."""
+    path = fresh_path(spark, "mixed-log")
+    days = d.task_days(spark, sf).groupBy("job", "component", "task").agg(F.sum("arrivals").alias("n"))
+    job = F.concat(F.lit("00"), F.substring("job", 4, 1))
+    name = F.concat_ws(".", F.lit("task"), "component", F.col("task").cast("string"))
+    lines = F.array(
+        F.concat(name, F.lit('->{"emit":{"s0":'), F.col("n").cast("string"), F.lit('},"timestamp":1704067200000}')),
+        F.concat(F.lit("topology.info->"), F.to_json(F.struct("component"))),
+        F.concat(F.lit("alloc->n="), F.col("n").cast("string")),
+        F.concat(F.lit("task."), "component", F.lit(".99999999999->{}")),
+        F.concat(name, F.lit("->not json")), F.concat(F.lit("no arrow "), "component"),
+        F.concat(name, F.lit('->{"timestamp":9999999999999999}')),
+    )
+    writers.sink_metric_log(days.select(job.alias("job"), F.explode(lines).alias("value")), path)
+    return path
+
+
+@query("scan_other_records")
+def scan_other_records(spark, sf):
+    _, others, _ = readers.scan_metric_log(spark, _mixed_log(spark, sf))
+    return others.groupBy("job", "name", "body").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_rejects")
+def scan_rejects(spark, sf):
+    _, _, rejects = readers.scan_metric_log(spark, _mixed_log(spark, sf))
+    return rejects.groupBy("job", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sink_metric_log")
 def sink_metric_log(spark, sf):
     lines = readers.read_metric_log(spark, _log_folder(spark, sf))
@@ -217,13 +256,17 @@ def sample_one_in_n(spark, sf):
 
 @query("service_key")
 def service_key(spark, sf):
+    # a service's measurement goes under the component and stream that its tuple came from
     events = d.tuple_events(spark, sf).filter(F.col("kind") != "source")
+    upstream = F.lit(None).cast("string")
+    for name, target in d.SUCCESSOR.items():
+        upstream = F.when(F.col("component") == target, F.lit(name)).otherwise(upstream)
     elapsed_ns = (F.col("elapsed_ms") * 1e6).cast("bigint")
     keyed = events.withColumn("elapsed_ns", elapsed_ns).filter("elapsed_ns > 0").select(
-        "job", tx.service_key(F.col("component"), F.col("stream")).alias("key"),
+        "job", "component", tx.service_key(upstream, F.col("stream")).alias("key"),
         (F.col("elapsed_ns") / 1e6).alias("ms"),
     )
-    return moments.cmv_aggregate(keyed, ["job", "key"], "ms").select(*cmv("job", "key"))
+    return moments.cmv_aggregate(keyed, ["job", "component", "key"], "ms").select(*cmv("job", "component", "key"))
 
 
 @query("assign_sequence_id")
@@ -339,14 +382,13 @@ def overlay_allocation(spark, sf):
     return topology.overlay_allocation(current, suggested).select("job", "tick", "component", "executors")
 
 
-def _last_tick(spark: SparkSession, sf: str) -> DataFrame:
-    return d.tuple_events(spark, sf).groupBy("job").agg(F.max(d.day_tick("ts")).alias("_last"))
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Allocation snapshots, as long as the job has events; written once as the log they stand for."""
+    return written(d.allocation_snapshots(spark, sf), "allocations")
 
 
 def _allocations(spark: SparkSession, sf: str) -> DataFrame:
-    """Allocation per tick, as long as the job has events; written once as the log it stands for."""
-    history = d.allocation_history(spark, sf).join(_last_tick(spark, sf), "job")
-    return written(history.filter(F.col("tick") <= F.col("_last")).drop("_last"), "allocations")
+    return written(timeline.allocation_as_of(_snapshots(spark, sf), d.last_tick(spark, sf)), "allocations")
 
 
 @query("allocation_changed")
@@ -410,9 +452,8 @@ def allocation_totals(spark, sf):
 
 @query("pick_source")
 def pick_source(spark, sf):
-    # two sources per job here: of signup and view the first name counts
-    events = d.tuple_events(spark, sf).filter(F.col("component").isin("signup", "view"))
-    per_source = moments.cmv_aggregate(events, ["job", "component"], "elapsed_ms")
+    # every component stands for a source here: the first name counts
+    per_source = moments.cmv_aggregate(d.tuple_events(spark, sf), ["job", "component"], "elapsed_ms")
     return topology.pick_source(per_source).select(*cmv("job", "component"))
 
 
@@ -446,6 +487,18 @@ def executor_rollup(spark, sf):
     return rows.select(*cmv("job", "tick", "component", "executor", "stream"))
 
 
+@query("executor_results")
+def executor_results(spark, sf):
+    days = written(d.task_days(spark, sf), "task-days")
+    comps = days.select("job", "component", "kind").distinct()
+    rows = moments.executor_results(d.reports_of_days(days, d.executors_from(comps)), d.executors_from(comps, idle=True))
+    # averages of short decimals: their squares tie at six places, not at eight
+    parts = [F.round(f"{c}_{p}", 8).alias(f"{c}_{p}") for c in queue_columns() for p in ("s", "ss")]
+    return rows.select(
+        *cmv("job", "tick", "component", "executor"), "duration_ms", *[f"{c}_cnt" for c in queue_columns()], *parts
+    )
+
+
 @query("component_rollup")
 def component_rollup(spark, sf):
     per_executor = moments.executor_rollup(d.task_moments(spark, sf), d.executors(spark, sf))
@@ -507,10 +560,12 @@ def qos_miss(spark, sf):
 
 @query("emit_count")
 def emit_count(spark, sf):
-    events = d.tuple_events(spark, sf).select("job", "component", "task", "stream", "ts", "event_id")
+    # a tuple of work emits none, one or two tuples here
+    emits = (F.col("event_id") % 3).alias("emits")
+    events = d.tuple_events(spark, sf).select("job", "component", "task", "stream", "ts", "event_id", emits)
     daily = timeline.tumbling_bucket(events, d.DAY)
     rows = moments.emit_count(
-        daily, ["job", "component", "stream", "bucket"], ["job", "task"], ["ts", "event_id"], SAMPLE
+        daily, ["job", "component", "stream", "bucket"], ["job", "task"], ["ts", "event_id"], SAMPLE, "emits"
     )
     return rows.select("job", "component", "stream", naive("bucket"), "emitted")
 
@@ -586,10 +641,9 @@ def split_stream(spark, sf):
 
 @query("merge_streams")
 def merge_streams(spark, sf):
-    parts = dataflow.split_stream(_records(spark, sf), PATH_P)
-    return dataflow.merge_streams(
-        dataflow.on_stream(parts, dataflow.TAKEN), dataflow.on_stream(parts, dataflow.NOT_TAKEN)
-    )
+    parts = written(dataflow.split_stream(_records(spark, sf), PATH_P), "routed")
+    taken = dataflow.on_stream(parts, dataflow.TAKEN).withColumn("sentence", F.concat(F.lit("P:"), "sentence"))
+    return dataflow.merge_streams(taken, dataflow.on_stream(parts, dataflow.NOT_TAKEN))
 
 
 @query("shuffle_grouping")
@@ -609,7 +663,9 @@ def dataflow_chain(spark, sf):
 
 @query("dataflow_two_path")
 def dataflow_two_path(spark, sf):
-    return dataflows.dataflow_two_path(_records(spark, sf), PATH_P)
+    return dataflows.dataflow_two_path(
+        _records(spark, sf), PATH_P, lambda word: F.concat(word, F.lit("+")), lambda word: F.concat(word, F.lit("-"))
+    )
 
 
 @query("dataflow_loop")
@@ -801,7 +857,7 @@ def optimise_current(spark, sf):
 
 @query("optimise_epochs")
 def optimise_epochs(spark, sf):
-    return _result(plan.optimise(d.totals(spark, sf), _allocations(spark, sf), PARAMS))
+    return _result(plan.optimise(d.totals(spark, sf), _snapshots(spark, sf), PARAMS))
 
 
 @query("optimise_metric_log")
@@ -809,7 +865,7 @@ def optimise_metric_log(spark, sf):
     """The offline path: recorded log lines to recommendations."""
     measured, _, _ = readers.scan_metric_log(spark, _log_folder(spark, sf))
     execs = written(d.executors(spark, sf), "executors")
-    totals = plan.totals_of_reports(measured, execs, PARAMS)
+    totals, _ = plan.totals_of_reports(measured, execs, PARAMS)
     return _result(plan.optimise(totals, topology.allocation_counts(execs), PARAMS))
 
 
@@ -861,7 +917,7 @@ def alloc_record(spark, sf):
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = d.table(spark, sf, "events").schema
-    source = utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    source = in_utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return d.shape_events(source)
 
 

@@ -17,8 +17,8 @@ from tidegauge.functions import queueing as q
 from tidegauge.operators.capacity import calibrate, capacity_curve, node_stable, visit_time, with_sojourn
 from tidegauge.session import spread
 
-# Gains are compared after rounding, so equal components tie and go by name.
-GAIN_PLACES = 12
+# Gains are compared at so many significant digits, so equal components tie and go by name at any scale.
+GAIN_DIGITS = 12
 # Fixed value: a gain must lie above this to be taken.
 GAIN_FLOOR = -1.0
 
@@ -27,6 +27,14 @@ def _open(gain: Column, lam: Column) -> Column:
     return (lam > 0) & gain.isNotNull() & ~F.isnan(gain) & (gain > GAIN_FLOOR)
 
 
+def significant(gain: Column) -> Column:
+    """``gain`` at :data:`GAIN_DIGITS` significant digits; what is not finite stays as it is."""
+    size = F.abs(gain)
+    scale = F.pow(F.lit(10.0), GAIN_DIGITS - 1 - F.floor(F.log10(size)))
+    scaled = F.rint(gain * scale) / scale
+    return F.when((size > 1e-290) & (size < 1e290), scaled).otherwise(gain)
+
+
 def ranked_grid(nodes: DataFrame, top: str | Column, scope: Sequence[str], models: Sequence[str] = ("mmk",)) -> DataFrame:
     """Every step from the smallest stable allocation up to ``top`` executors, ranked.
 
@@ -50,9 +58,8 @@ def ranked_grid(nodes: DataFrame, top: str | Column, scope: Sequence[str], model
     steps = Window.partitionBy(*scope, "component").orderBy("k")
     so_far = steps.rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumns({
-        f"gain_{m}": F.round(
-            (F.col(f"sojourn_{m}") - F.lead(f"sojourn_{m}").over(steps)) * F.col("ratio"), GAIN_PLACES
-        ) for m in models
+        f"gain_{m}": significant((F.col(f"sojourn_{m}") - F.lead(f"sojourn_{m}").over(steps)) * F.col("ratio"))
+        for m in models
     })
     # a step is open if its gain counts, and usable if every step before it is open too
     grid = grid.withColumns({f"_open_{m}": _open(F.col(f"gain_{m}"), lam).cast("int") for m in models})

@@ -129,16 +129,24 @@ def with_sojourn(nodes: DataFrame, model: str, name: str, k: str = "executors")
     ).drop("_wait")
 
 
+#: Executor counts from which a rate counts as broken.
+LONGEST_CURVE = 1_000_000
+
+
 def capacity_curve(nodes: DataFrame, lo: Column, hi: Column, models: Sequence[str] = ("mmk",)) -> DataFrame:
     """One row per node and executor count ``k`` from ``lo`` to ``hi``.
 
-    Adds ``k, rho, stable, wait_s`` and one ``sojourn_<model>`` per model.
+    Adds ``k, rho, stable, wait_s`` and one ``sojourn_<model>`` per model. A node
+    whose counts reach :data:`LONGEST_CURVE` has a broken rate and no curve; see
+    :func:`broken_nodes`.
     """
     lam, mu, k = F.col("lam"), F.col("mu"), F.col("k")
     kept = [c for c in nodes.columns if c not in ("rho", "stable")]
     curve = (
-        nodes.withColumn("_lo", lo.cast("int"))
-        .select(*kept, "_lo", F.posexplode(q.erlang_b_curve(lam / mu, F.col("_lo"), hi.cast("int"))).alias("_offset", "_blocked"))
+        nodes.withColumn("_lo", lo.cast("bigint")).withColumn("_hi", hi.cast("bigint"))
+        .filter((F.col("_lo") < LONGEST_CURVE) & (F.col("_hi") < LONGEST_CURVE))
+        .withColumn("_lo", F.col("_lo").cast("int")).withColumn("_hi", F.col("_hi").cast("int"))
+        .select(*kept, "_lo", F.posexplode(q.erlang_b_curve(lam / mu, F.col("_lo"), F.col("_hi"))).alias("_offset", "_blocked"))
         .withColumn("k", F.col("_lo") + F.col("_offset"))
         .withColumns({
             "rho": q.utilisation(lam, mu, k),
@@ -152,6 +160,11 @@ def capacity_curve(nodes: DataFrame, lo: Column, hi: Column, models: Sequence[st
     }).drop("_lo", "_offset", "_blocked")
 
 
+def broken_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes that would need more executors than a curve can have."""
+    return nodes.filter(q.min_servers(F.col("lam"), F.col("mu")) >= LONGEST_CURVE)
+
+
 def with_gain(curve: DataFrame, scope: Sequence[str], model: str = "mmk") -> DataFrame:
     """Add what one more executor takes off the end-to-end time."""
     w = Window.partitionBy(*scope, "component").orderBy("k")

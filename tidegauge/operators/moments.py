@@ -110,10 +110,17 @@ def qos_miss(df: DataFrame, keys: Sequence[str], value: str, threshold: Column)
 
 
 def emit_count(
-    df: DataFrame, keys: Sequence[str], task: Sequence[str], order: Sequence[str], rate: float
+    df: DataFrame, keys: Sequence[str], task: Sequence[str], order: Sequence[str], rate: float,
+    emits: str | None = None,
 ) -> DataFrame:
-    """Emitted tuples per key, counted for sampled work only."""
-    return sample_one_in_n(df, task, order, rate).groupBy(*keys).agg(F.count(F.lit(1)).alias("emitted"))
+    """Emitted tuples per key (with the output stream), counted for sampled work only.
+
+    ``emits`` says how many tuples a row of work emitted, one if not given; work
+    that emitted none leaves no row.
+    """
+    sampled = sample_one_in_n(df, task, order, rate)
+    number = F.lit(1) if emits is None else F.coalesce(F.col(emits), F.lit(0))
+    return sampled.filter(number > 0).groupBy(*keys).agg(F.sum(number).cast("bigint").alias("emitted"))
 
 
 def queue_moments() -> list[Column]:
@@ -136,11 +143,18 @@ def duration_sum(queues: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _executor_ticks(executors: DataFrame, reports: DataFrame) -> DataFrame:
+    """Every executor at every tick of its job, up to the last one that has a report."""
+    last = reports.groupBy("job").agg(F.max("tick").alias("_last"))
+    return executors.select("job", "component", "kind", F.col("task_start").alias("executor")).join(last, "job").withColumn(
+        "tick", F.explode(F.sequence(F.lit(1), "_last"))
+    ).drop("_last")
+
+
 def executor_rollup(moments: DataFrame, executors: DataFrame) -> DataFrame:
-    """Moments per tick, executor and stream.
+    """Moments per tick, executor and stream; a silent executor has a zero row without stream at each tick.
 
-    ``moments`` are per task. An executor without any report still has a row,
-    with zero moments and neither tick nor stream.
+    ``moments`` are per task.
     """
     tasks = executors.select(
         "job", "component", F.col("task_start").alias("executor"),
@@ -152,13 +166,27 @@ def executor_rollup(moments: DataFrame, executors: DataFrame) -> DataFrame:
         .groupBy("job", "component", "executor", "tick", "stream")
         .agg(*[F.sum(c).alias(c) for c in CMV])
     )
-    frame = executors.select("job", "component", F.col("task_start").alias("executor"))
-    return frame.join(per_executor, ["job", "component", "executor"], "left").fillna(0, list(CMV))
+    frame = _executor_ticks(executors, moments).drop("kind")
+    return frame.join(per_executor, ["job", "component", "executor", "tick"], "left").fillna(0, list(CMV))
+
+
+def executor_results(reports: DataFrame, executors: DataFrame) -> DataFrame:
+    """Moments over all streams, queue moments and summed duration of every executor at every tick, zero if silent.
+
+    ``reports`` is flat, one row per executor report: ``cnt, s, ss``, queue
+    numbers and ``duration_ms``.
+    """
+    sums = [F.sum(c).alias(c) for c in CMV] + [F.sum("duration_ms").alias("duration_ms")]
+    added = reports.groupBy("job", "tick", "executor").agg(*sums, *queue_moments())
+    frame = _executor_ticks(executors, reports)
+    return frame.join(added, ["job", "tick", "executor"], "left").fillna(
+        0, [c for c in added.columns if c not in ("job", "tick", "executor")]
+    )
 
 
 def component_rollup(rows: DataFrame, keys: Sequence[str] = ("job", "tick", "component", "stream")) -> DataFrame:
     """Executor (or task) moments added up to the component."""
-    return cmv_merge(rows.filter(F.col("tick").isNotNull()), keys)
+    return cmv_merge(rows.filter(F.col("stream").isNotNull()) if "stream" in keys else rows, keys)
 
 
 def component_totals(reports: DataFrame) -> DataFrame:

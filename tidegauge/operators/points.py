@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,6 @@ from tidegauge.schemas import (
     COMPLETE_LATENCY,
     DURATION,
     EXECUTE,
-    METRIC_NAMES,
     QUEUE_FIELDS,
     QUEUE_METRIC,
     QUEUES,
@@ -65,32 +64,25 @@ def drop_empty_points(points: DataFrame, keep: Column | None = None) -> DataFram
     return points.filter(keep if keep is not None else filled)
 
 
-def pivot_points(points: DataFrame, names: Sequence[str] = METRIC_NAMES) -> DataFrame:
-    """Fold the points of one report into one ``name -> value`` map.
+def pivot_points(points: DataFrame) -> DataFrame:
+    """Fold the points of one report into one ``name -> value`` map, whatever the names are.
 
-    Two points of the same name in one report are an error. The fold keeps one
-    slot and one counter per name, so its state does not grow with the rows.
+    Two points of the same name in one report are an error. A report is as
+    large as its map, and the map as the list of approved names.
     """
     keys = ["job", "ts", "component", "task"]
-    slots, counts = [], []
-    for i, name in enumerate(names):
-        hit = F.col("name") == name
-        slots.append(F.any_value(F.when(hit, F.struct("num", "kv")), ignoreNulls=True).alias(f"_v{i}"))
-        counts.append(F.count_if(hit).alias(f"_n{i}"))
-    folded = points.filter(F.col("name").isin(*names)).groupBy(*keys).agg(*slots, *counts)
-    most = F.greatest(*[F.col(f"_n{i}") for i in range(len(names))])
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("key"), F.col(f"_v{i}").alias("value")) for i, name in enumerate(names)
-    ])
-    data = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    checked = F.when(most > 1, F.raise_error(F.lit("two points of the same name in one report"))).otherwise(data)
+    entry = F.struct(F.col("name").alias("key"), F.struct("num", "kv").alias("value"))
+    folded = points.groupBy(*keys).agg(F.collect_list(entry).alias("_entries"))
+    names = F.transform("_entries", lambda e: e["key"])
+    twice = F.size(F.array_distinct(names)) < F.size(names)
+    data = F.map_from_entries("_entries")
+    checked = F.when(twice, F.raise_error(F.lit("two points of the same name in one report"))).otherwise(data)
     return folded.select(*keys, checked.alias("data"))
 
 
-def measured_points(points: DataFrame, aliases: DataFrame, names: Sequence[str] = METRIC_NAMES) -> DataFrame:
+def measured_points(points: DataFrame, aliases: DataFrame) -> DataFrame:
     """System filter, approval, empty filter and fold in one plan."""
-    kept = drop_empty_points(approved_metrics(drop_system_components(points), aliases))
-    return pivot_points(kept, names)
+    return pivot_points(drop_empty_points(approved_metrics(drop_system_components(points), aliases)))
 
 
 def _value(name: str) -> Column:

@@ -48,27 +48,47 @@ def with_tick(reports: DataFrame, params: Params, ts: str = "ts") -> DataFrame:
     )
 
 
-def dense_ticks(totals: DataFrame, allocation: DataFrame) -> DataFrame:
+def allocation_as_of(snapshots: DataFrame, ends: DataFrame) -> DataFrame:
+    """The allocation at every tick up to ``_last`` of ``ends(job, _last)``: that of the last snapshot at or before it.
+
+    ``snapshots`` has all components of a job at the ticks that have one. Ticks
+    before a job's first snapshot have no allocation.
+    """
+    ticks = snapshots.select("job", "tick").distinct().join(ends, "job").filter(F.col("tick") <= F.col("_last"))
+    following = F.lead("tick").over(Window.partitionBy("job").orderBy("tick"))
+    spans = ticks.withColumn("_until", F.coalesce(following - 1, F.col("_last"))).drop("_last")
+    return snapshots.join(spans, ["job", "tick"]).withColumn(
+        "tick", F.explode(F.sequence(F.greatest("tick", F.lit(1)), F.greatest("_until", F.lit(1))))
+    ).drop("_until")
+
+
+def last_ticks(totals: DataFrame) -> DataFrame:
+    return totals.groupBy("job").agg(F.max("tick").alias("_last"))
+
+
+def dense_ticks(totals: DataFrame, allocation: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """One row per tick for every component of the job, zero where nothing came in.
 
-    Adds ``executors`` from ``allocation``, which is constant or has a ``tick``.
-    ``totals`` is small (one row per component and tick) and read twice, so hand
-    in a written table when it comes from a large scan.
+    Adds ``executors`` from ``allocation``, which is constant or has a row of
+    every tick (see :func:`allocation_as_of`). ``reach(job, _first)`` leaves out
+    earlier ticks. ``totals`` is small (one row per component and tick) and read
+    twice, so hand in a written table when it comes from a large scan.
     """
-    last = totals.groupBy("job").agg(F.max("tick").alias("_last"))
-    known = allocation.join(last, "job")
+    ends = last_ticks(totals)
+    ends = ends.withColumn("_first", F.lit(1)) if reach is None else ends.join(reach, "job")
+    known = allocation.join(ends, "job")
     if "tick" in allocation.columns:
-        frame = known.filter(F.col("tick").between(1, F.col("_last"))).drop("_last")
+        frame = known.filter(F.col("tick").between(F.col("_first"), F.col("_last")))
     else:
-        frame = known.withColumn("tick", F.explode(F.sequence(F.lit(1), "_last"))).drop("_last")
-    return zero_filled(frame.join(totals.drop("kind"), ["job", "component", "tick"], "left"))
+        frame = known.withColumn("tick", F.explode(F.sequence(F.greatest("_first", F.lit(1)), "_last")))
+    return zero_filled(frame.drop("_first", "_last").join(totals.drop("kind"), ["job", "component", "tick"], "left"))
 
 
 def allocation_epochs(allocation: DataFrame) -> DataFrame:
     """Number the stretches of constant allocation.
 
-    ``allocation`` has one row per job, tick and component. Result per job and
-    tick: ``epoch``, whether the tick is the one that saw the change (its data
+    ``allocation`` has one row per job, tick and component, without gaps (see
+    :func:`allocation_as_of`). Result per job and tick: ``epoch``, whether the tick is the one that saw the change (its data
     is discarded), and ``tick_in_epoch`` counted over the kept ticks.
     """
     whole = allocation.groupBy("job", "tick").agg(

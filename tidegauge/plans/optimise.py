@@ -38,8 +38,8 @@ def budgets_of(allocation: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def totals_of_reports(measured: DataFrame, executors: DataFrame, params: Params) -> DataFrame:
-    """Component totals per tick from one report per task.
+def totals_of_reports(measured: DataFrame, executors: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Component totals per tick from one report per task, and the reports of tasks that no executor has.
 
     One pass: stream maps are added inside the row, queues and durations count
     for the first task of each executor only.
@@ -49,20 +49,25 @@ def totals_of_reports(measured: DataFrame, executors: DataFrame, params: Params)
     flat = points.report_totals(placed)
     queue = [F.when(first, F.col(c)).alias(c) for c in ("duration_ms", *MODEL_QUEUES)]
     reports = flat.select("job", "ts", "component", "kind", "cnt", "s", "ss", *queue)
-    return moments.component_totals(timeline.with_tick(reports, params))
+    return moments.component_totals(timeline.with_tick(reports, params)), topology.unknown_tasks(measured, executors)
 
 
-def ready_history(totals: DataFrame, allocation: DataFrame, params: Params) -> DataFrame:
+def ready_history(
+    totals: DataFrame, allocation: DataFrame, params: Params, reach: DataFrame | None = None
+) -> DataFrame:
     """History per job, tick and component after the warm-up, with ``executors``.
 
-    ``allocation`` is constant, or has one row per tick as well; then every
-    change drops its tick, clears the history and restarts the warm-up.
+    ``allocation`` is constant, or has snapshots at some ticks, of which the
+    last one holds; then every change drops its tick, clears the history and
+    restarts the warm-up. ``reach(job, _first)`` leaves out earlier ticks.
     """
-    dense = timeline.dense_ticks(totals, allocation)
     if "tick" in allocation.columns:
-        epochs = timeline.allocation_epochs(allocation).filter(~F.col("changed")).drop("changed")
+        held = timeline.allocation_as_of(allocation, timeline.last_ticks(totals))
+        dense = timeline.dense_ticks(totals, held, reach)
+        epochs = timeline.allocation_epochs(held).filter(~F.col("changed")).drop("changed")
         dense = dense.join(epochs, list(SCOPE))
     else:
+        dense = timeline.dense_ticks(totals, allocation, reach)
         dense = dense.withColumn("epoch", F.lit(0)).withColumn("tick_in_epoch", F.col("tick"))
     history = timeline.history_rollup(dense, params.history_size, ("job", "epoch", "component"))
     return timeline.warmup_gate(history, params)
@@ -73,7 +78,11 @@ def nodes_of(
 ) -> DataFrame:
     """Service nodes per tick with the budgets of their job."""
     running = F.col("source_executors") + F.col("service_executors")
-    history = ready_history(totals, allocation, params)
+    reach = None
+    if due is not None:
+        # work of a live tick: only what the history of the due ticks covers
+        reach = due.select("job", (F.col("first_due") - (params.history_size - 1)).alias("_first"))
+    history = ready_history(totals, allocation, params, reach)
     if due is not None:
         wanted = F.col("tick").between(F.col("first_due"), F.col("last_due"))
         history = history.join(due, "job").filter(wanted).drop("first_due", "last_due")

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 
 
-def utc(spark: SparkSession) -> SparkSession:
-    """Pin the session zone, so buckets start at the same instants everywhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def in_utc(spark: SparkSession) -> SparkSession:
+    """The session, with its zone at UTC: the catalog's days are days of that zone.
+
+    A session in another zone is switched, with a warning; one in UTC stays as it is.
+    """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        warnings.warn(f"the catalog's daily buckets are in UTC; spark.sql.session.timeZone was {zone}", stacklevel=2)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

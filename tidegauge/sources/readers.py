@@ -12,6 +12,8 @@ from tidegauge.schemas import EXECUTORS, METRIC_POINTS
 ARROW = "->"
 TASK_RECORD = r"^task\.(.+)\.(\d+)$"
 STAMP = "timestamp"
+# The end of the year 9999.
+LAST_MILLIS = 253402300799999
 
 
 def read_metric_points(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -34,8 +36,10 @@ def _log_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a log folder, with ``job`` where the folder is split by job."""
-    return spark.read.text(path)
+    """Lines of a log folder, with ``job`` as it was written where the folder is split by job."""
+    lines = spark.read.text(path)
+    # without its type a job named 007 would be read back as the number 7
+    return spark.read.schema("value string, job string").text(path) if "job" in lines.columns else lines
 
 
 def parse_metric_log(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,6 +47,7 @@ def parse_metric_log(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
     Task records become reports, every other record keeps its name and body.
     Lines without an arrow, and task records whose body is not a JSON object,
+    whose task id is no 32-bit number or whose time lies beyond the year 9999,
     are rejects. A report takes its time from the ``timestamp`` entry, else it
     counts as read now.
     """
@@ -52,7 +57,11 @@ def parse_metric_log(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     parsed = split.withColumn("_task", head & F.col("body").isNotNull()).withColumn(
         "_values", F.when(F.col("_task") & F.col("body").rlike(r"^\s*\{"), values)
     )
-    good = F.col("_task") & F.col("_values").isNotNull()
+    parsed = parsed.withColumn("_id", F.regexp_extract("name", TASK_RECORD, 2).try_cast("int")).withColumn(
+        "_millis", F.try_element_at("_values", F.lit(STAMP)).try_cast("bigint")
+    )
+    timed = F.col("_millis").isNull() | F.col("_millis").between(0, LAST_MILLIS)
+    good = F.col("_task") & F.col("_values").isNotNull() & F.col("_id").isNotNull() & timed
     nested = F.transform_values(
         F.map_filter("_values", lambda k, v: k != STAMP),
         lambda k, v: F.struct(
@@ -60,18 +69,17 @@ def parse_metric_log(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
             F.when(v.startswith("{"), F.from_json(v, "map<string,string>")).alias("kv"),
         ),
     )
-    stamp = F.timestamp_millis(F.try_element_at("_values", F.lit(STAMP)).try_cast("bigint"))
+    # the bound again, since a filter does not guard a column of the same step
+    stamp = F.timestamp_millis(F.when(timed, F.col("_millis")))
     measured = parsed.filter(good).select(
         "job",
         F.coalesce(stamp, F.current_timestamp()).alias("ts"),
         F.regexp_extract("name", TASK_RECORD, 1).alias("component"),
-        F.regexp_extract("name", TASK_RECORD, 2).cast("int").alias("task"),
+        F.col("_id").alias("task"),
         nested.alias("data"),
     )
     others = parsed.filter(F.col("body").isNotNull() & ~head).select("job", "name", "body")
-    rejects = parsed.filter(F.col("body").isNull() | (F.col("_task") & F.col("_values").isNull())).select(
-        "job", "value"
-    )
+    rejects = parsed.filter(F.col("body").isNull() | (F.col("_task") & ~good)).select("job", "value")
     return measured, others, rejects
 
 
