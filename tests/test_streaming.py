@@ -79,6 +79,10 @@ def test_stream_optimise_over_batches(spark, data, days):
     ).awaitTermination()
     got = live.stream_results(spark, folder)
     totals = d.totals(spark, data).filter(F.col("tick") <= 28)
+    # the two newest tables of totals, each no longer than the history
+    kept = spark.read.parquet(f"{folder}/ticks")
+    assert kept.select("batch").distinct().count() <= 2
+    assert kept.groupBy("batch", "job").agg(F.countDistinct("tick").alias("n")).filter(F.col("n") > Q.PARAMS.history_size).count() == 0
     want = plan.optimise(totals, topology.allocation_counts(execs), Q.PARAMS)
     pick = ["job", "tick", "component", "objective", "executors", "current", "status", "stable",
             F.round("real_ms", 6).alias("real_ms")]

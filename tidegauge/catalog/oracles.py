@@ -677,12 +677,13 @@ ORACLES["decide"] = checked(CURRENT[0], CURRENT[1] + FULL, """
 SELECT CAST(t.adjust_type AS INTEGER) AS adjust_type, job, tick, component, executors
 FROM whole JOIN (VALUES (0, 'current'), (1, 'max'), (2, 'min_qos'), (7, 'current')) t(adjust_type, objective) USING (objective)
 WHERE executors IS NOT NULL AND (tick + 1)::BIGINT * 86400000 >= 8::BIGINT * 86400000 - 50""")
-ORACLES["rebalance_plan"] = checked(CURRENT[0], CURRENT[1] + FULL, """
+CHANGES = """
 SELECT w.job, w.tick, w.component, w.current AS old_executors, w.executors AS new_executors, p.workers
 FROM whole w JOIN (SELECT job, tick, bool_or(executors <> current) AS changed, CAST(ceil(sum(executors) / 6.0) AS INTEGER) AS workers
                    FROM whole WHERE objective = 'max' AND executors IS NOT NULL GROUP BY ALL) p
   ON w.job = p.job AND w.tick = p.tick
-WHERE w.objective = 'max' AND w.executors IS NOT NULL AND p.changed AND (w.tick + 1)::BIGINT * 86400000 >= 8::BIGINT * 86400000 - 50""")
+WHERE w.objective = 'max' AND w.executors IS NOT NULL AND p.changed AND (w.tick + 1)::BIGINT * 86400000 >= 8::BIGINT * 86400000 - 50"""
+ORACLES["rebalance_plan"] = checked(CURRENT[0], CURRENT[1] + FULL, CHANGES)
 
 
 def _chosen(objective: str, name: str) -> str:
@@ -694,20 +695,18 @@ ORACLES["alloc_record"] = checked(CURRENT[0], CURRENT[1] + FULL, f"""
 SELECT job, tick, 'alloc' AS record, any_value(status) AS status, {_chosen('current', 'current')}, {_chosen('max', 'maximum')},
        {_chosen('min_qos', 'min_qos')}, any_value(real_ms) AS real_ms FROM whole GROUP BY job, tick""")
 
-# --- streaming: closed windows only, one hour after their end ---
-CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM te)"
+# --- streaming: a finite input is closed at its end, so live results are those of all events ---
 oracle("stream_cmv", ("te",), f"""
-SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, job, component, task, stream, {EVENT_CMV} FROM te GROUP BY ALL)
-WHERE bucket + INTERVAL 1 DAY <= {CLOSED}""")
+SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, job, component, task, stream, {EVENT_CMV} FROM te GROUP BY ALL""")
 oracle("stream_history", ("te",), f"""
-SELECT * FROM (SELECT history_start, history_start + INTERVAL {HISTORY} DAY AS history_end, job, component, {EVENT_CMV}
-               FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP - to_days(CAST(o AS INTEGER)) AS history_start
-                     FROM te, range({HISTORY}) r(o)) GROUP BY ALL)
-WHERE history_end <= {CLOSED}""")
+SELECT history_start, history_start + INTERVAL {HISTORY} DAY AS history_end, job, component, {EVENT_CMV}
+FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP - to_days(CAST(o AS INTEGER)) AS history_start
+      FROM te, range({HISTORY}) r(o)) GROUP BY ALL""")
 oracle("stream_stateful_counter", ("te",), f"""
 SELECT job, task, event_id, p AS position, p % {SAMPLE_N} = 0 AS sampled
 FROM (SELECT *, row_number() OVER (PARTITION BY job, task ORDER BY ts, event_id) - 1 AS p FROM te)""")
-# the live tick sees the events of closed days, so its twin starts from those
-ORACLES["stream_optimise"] = ORACLES["optimise_current"].replace(
-    "      FROM events)", f"      FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))", 1
+ORACLES["stream_optimise"] = ORACLES["optimise_current"]
+ORACLES["stream_rebalance"] = checked(
+    ("sv_e", "hist_e", "loop_epoch", "step_epoch"),
+    check_sql("sv_e", "mmk", BUDGET, "epoch", "epoch") + f", whole AS ({full_sql('hist_e')})", CHANGES,
 )

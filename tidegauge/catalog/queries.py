@@ -921,26 +921,34 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return d.shape_events(source)
 
 
+def _finite_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple]:
+    """The events as a stream that can be closed, and what closes it."""
+    events, folder = _event_stream(spark, sf), fresh_path(spark, "closing")
+    return live.closable(events, folder), (events.schema, folder)
+
+
 @query("stream_cmv")
 def stream_cmv(spark, sf):
     keys = ["job", "component", "task", "stream"]
-    rows = live.drained(spark, live.stream_cmv(_event_stream(spark, sf), keys, "elapsed_ms", d.DAY), "stream-cmv")
+    events, closing = _finite_stream(spark, sf)
+    rows = live.drained(spark, live.stream_cmv(events, keys, "elapsed_ms", d.DAY), "stream-cmv", closing)
     return rows.select(*cmv(naive("bucket"), *keys))
 
 
 @query("stream_history")
 def stream_history(spark, sf):
     keys = ["job", "component"]
-    stream = live.stream_history(_event_stream(spark, sf), keys, "elapsed_ms", d.DAY, HISTORY)
-    rows = live.drained(spark, stream, "stream-history")
+    events, closing = _finite_stream(spark, sf)
+    stream = live.stream_history(events, keys, "elapsed_ms", d.DAY, HISTORY)
+    rows = live.drained(spark, stream, "stream-history", closing)
     return rows.select(*cmv(naive("history_start"), naive("history_end"), *keys))
 
 
-def _closed_days(spark: SparkSession, sf: str) -> DataFrame:
+def _closed_days(events: DataFrame) -> DataFrame:
     """Live counterpart of the per-task days: one row per task, stream and closed day."""
     measured = d.measured_ms()
     return (
-        _event_stream(spark, sf).withColumn("_x", measured).withWatermark("ts", "1 hour")
+        events.withColumn("_x", measured).withWatermark("ts", "1 hour")
         .groupBy(F.window("ts", f"{d.DAY} seconds"), "job", "component", "kind", "task", "stream")
         .agg(
             F.count(F.lit(1)).alias("arrivals"), F.sum("elapsed_ms").alias("total_ms"), F.count("_x").alias("cnt"),
@@ -951,18 +959,36 @@ def _closed_days(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("stream_optimise")
-def stream_optimise(spark, sf):
+def _live(spark: SparkSession, sf: str, allocation, params: Params) -> str:
+    """Run the live tick over all events and close it; returns its folder."""
     folder = fresh_path(spark, "stream-optimise")
     execs = written(d.executors(spark, sf), "executors")
+    events, closing = _finite_stream(spark, sf)
+    held = allocation(execs)
 
     def to_totals(batch: DataFrame) -> DataFrame:
         return moments.component_totals(d.reports_of_days(batch, execs))
 
-    live.stream_optimise(
-        _closed_days(spark, sf), to_totals, topology.allocation_counts(execs), PARAMS, folder
-    ).awaitTermination()
-    return _result(live.stream_results(spark, folder))
+    def run() -> None:
+        live.stream_optimise(_closed_days(events), to_totals, held, params, folder).awaitTermination()
+
+    run()
+    live.close(spark, *closing)
+    run()
+    return folder
+
+
+@query("stream_optimise")
+def stream_optimise(spark, sf):
+    return _result(live.stream_results(spark, _live(spark, sf, topology.allocation_counts, PARAMS)))
+
+
+@query("stream_rebalance")
+def stream_rebalance(spark, sf):
+    """The loop to its end: allocation snapshots in, changes of the allocation out."""
+    snapshots = _snapshots(spark, sf)
+    folder = _live(spark, sf, lambda _: lambda: snapshots, _decision(1))
+    return live.stream_changes(spark, folder)
 
 
 @query("stream_stateful_counter")

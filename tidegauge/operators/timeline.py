@@ -66,22 +66,67 @@ def last_ticks(totals: DataFrame) -> DataFrame:
     return totals.groupBy("job").agg(F.max("tick").alias("_last"))
 
 
+def allocation_spans(snapshots: DataFrame) -> DataFrame:
+    """The stretches of constant allocation: ``(job, epoch, start, until, component, kind, executors)``.
+
+    Only changes make rows, however many snapshots there are. ``until`` is NULL
+    in the stretch that still lasts; ``start`` of the first one is its snapshot.
+    """
+    whole = snapshots.groupBy("job", "tick").agg(
+        F.array_sort(F.collect_list(F.struct("component", "kind", "executors"))).alias("_state")
+    )
+    by_tick = Window.partitionBy("job").orderBy("tick")
+    before = F.lag("_state").over(by_tick)
+    starts = whole.withColumn("_new", before.isNull() | (before != F.col("_state"))).filter("_new")
+    spans = starts.select(
+        "job", (F.row_number().over(by_tick) - 1).alias("epoch"), F.greatest("tick", F.lit(1)).alias("start"),
+        (F.lead("tick").over(by_tick) - 1).alias("until"), "_state",
+    )
+    # in a step of its own: a window beside an explode would see the exploded rows
+    return spans.select("job", "epoch", "start", "until", F.explode("_state").alias("_one")).select(
+        "job", "epoch", "start", "until", "_one.*"
+    )
+
+
+def _ends(totals: DataFrame, reach: DataFrame | None) -> DataFrame:
+    ends = last_ticks(totals)
+    return ends.withColumn("_first", F.lit(1)) if reach is None else ends.join(reach, "job")
+
+
+def _filled(frame: DataFrame, totals: DataFrame) -> DataFrame:
+    return zero_filled(frame.join(totals.drop("kind"), ["job", "component", "tick"], "left"))
+
+
 def dense_ticks(totals: DataFrame, allocation: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """One row per tick for every component of the job, zero where nothing came in.
 
-    Adds ``executors`` from ``allocation``, which is constant or has a row of
-    every tick (see :func:`allocation_as_of`). ``reach(job, _first)`` leaves out
-    earlier ticks. ``totals`` is small (one row per component and tick) and read
-    twice, so hand in a written table when it comes from a large scan.
+    Adds ``executors`` from the constant ``allocation``. ``reach(job, _first)``
+    leaves out earlier ticks. ``totals`` is small (one row per component and
+    tick) and read twice, so hand in a written table when it comes from a large
+    scan.
     """
-    ends = last_ticks(totals)
-    ends = ends.withColumn("_first", F.lit(1)) if reach is None else ends.join(reach, "job")
-    known = allocation.join(ends, "job")
-    if "tick" in allocation.columns:
-        frame = known.filter(F.col("tick").between(F.col("_first"), F.col("_last")))
-    else:
-        frame = known.withColumn("tick", F.explode(F.sequence(F.greatest("_first", F.lit(1)), "_last")))
-    return zero_filled(frame.drop("_first", "_last").join(totals.drop("kind"), ["job", "component", "tick"], "left"))
+    frame = allocation.join(_ends(totals, reach), "job").withColumn(
+        "tick", F.explode(F.sequence(F.greatest("_first", F.lit(1)), "_last"))
+    )
+    return _filled(frame.drop("_first", "_last"), totals)
+
+
+def dense_epochs(totals: DataFrame, snapshots: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """:func:`dense_ticks` for an allocation that changes, with ``epoch`` and ``tick_in_epoch``.
+
+    At each tick the last snapshot at or before it holds. The tick that sees a
+    change is left out; the ticks after it count from one.
+    """
+    spans = allocation_spans(snapshots).join(_ends(totals, reach), "job")
+    low = F.greatest(F.col("start") + (F.col("epoch") > 0).cast("int"), F.col("_first"))
+    high = F.least(F.coalesce("until", "_last"), F.col("_last"))
+    frame = (
+        spans.withColumn("_low", low).withColumn("_high", high).filter(F.col("_low") <= F.col("_high"))
+        .withColumn("tick", F.explode(F.sequence("_low", "_high")))
+        .withColumn("tick_in_epoch", F.col("tick") - F.col("start") + (F.col("epoch") == 0).cast("int"))
+        .drop("start", "until", "_first", "_last", "_low", "_high")
+    )
+    return _filled(frame, totals)
 
 
 def allocation_epochs(allocation: DataFrame) -> DataFrame:

@@ -62,10 +62,7 @@ def ready_history(
     restarts the warm-up. ``reach(job, _first)`` leaves out earlier ticks.
     """
     if "tick" in allocation.columns:
-        held = timeline.allocation_as_of(allocation, timeline.last_ticks(totals))
-        dense = timeline.dense_ticks(totals, held, reach)
-        epochs = timeline.allocation_epochs(held).filter(~F.col("changed")).drop("changed")
-        dense = dense.join(epochs, list(SCOPE))
+        dense = timeline.dense_epochs(totals, allocation, reach)
     else:
         dense = timeline.dense_ticks(totals, allocation, reach)
         dense = dense.withColumn("epoch", F.lit(0)).withColumn("tick_in_epoch", F.col("tick"))
@@ -96,6 +93,7 @@ RESULT_SCHEMA = (
     "job string, tick int, component string, objective string, executors int, current int, status string, "
     "real_ms double, est_ms double, ratio_real double, error_pct double, stable boolean"
 )
+CHANGE_SCHEMA = "job string, tick int, component string, old_executors int, new_executors int, workers int"
 RESULT = tuple(column.split()[0] for column in RESULT_SCHEMA.split(", "))
 
 

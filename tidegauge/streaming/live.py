@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.moments import cmv_aggregate
 from tidegauge.operators.ordering import one_in_n, with_position
-from tidegauge.plans.optimise import RESULT_SCHEMA, optimise
+from tidegauge.plans.optimise import CHANGE_SCHEMA, RESULT_SCHEMA, alloc_record, decide, optimise, rebalance_plan
 from tidegauge.schemas import CMV, Params, total_columns
 from tidegauge.session import fresh_path
 
+# Later than any event.
+FAR = "9000-01-01 00:00:00"
+
 
 def stream_cmv(
     events: DataFrame, keys: Sequence[str], value: str, bucket_seconds: int, late: str = "1 hour"
@@ -57,10 +60,35 @@ def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def drained(spark: SparkSession, stream: DataFrame, tag: str) -> DataFrame:
-    """The finished output of :func:`to_files` in a fresh folder of the shared one."""
+def closable(events: DataFrame, folder: str) -> DataFrame:
+    """``events`` with a second source, in which :func:`close` puts one row when a finite input is over."""
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+
+
+def close(spark: SparkSession, schema: T.StructType, folder: str, ts: str = "ts") -> None:
+    """Move the watermark past every open interval: the next run of the stream gives the last ones.
+
+    The row lies in the year 9000, in an interval of its own that never closes.
+    It has no NULL, so that no filter below the watermark takes it away.
+    """
+    kinds = {"string": "''", "timestamp": f"TIMESTAMP '{FAR}'", "timestamp_ntz": f"TIMESTAMP_NTZ '{FAR}'"}
+    values = [f"CAST({kinds.get(f.dataType.simpleString(), '0')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema]
+    spark.range(1).selectExpr(*values).write.mode("append").parquet(folder)
+
+
+def drained(spark: SparkSession, stream: DataFrame, tag: str, closing: tuple[T.StructType, str] | None = None) -> DataFrame:
+    """The finished output of :func:`to_files` in a fresh folder of the shared one.
+
+    With ``closing``, the schema and folder of :func:`closable`, also the
+    intervals that were still open at the end.
+    """
     base = fresh_path(spark, tag)
     to_files(stream, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    if closing:
+        close(spark, *closing)
+        to_files(stream, f"{base}/rows", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
@@ -71,49 +99,93 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     )
 
 
+class States:
+    """One table per batch below a folder, of which only the two newest are kept.
+
+    A repeated batch finds the table of the batch before it and writes its own
+    again, whole.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
+        self.spark, self.folder, self.schema = spark, folder, schema
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _batches(self) -> list[int]:
+        if not self.files.exists(self.path):
+            return []
+        names = [x.getPath().getName() for x in self.files.listStatus(self.path)]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def before(self, batch_id: int) -> DataFrame:
+        earlier = [b for b in self._batches() if b < batch_id]
+        if not earlier:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={earlier[-1]}")
+
+    def save(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        target = f"{self.folder}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+        for old in [b for b in self._batches() if b < batch_id][:-1]:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch={old}"), True)
+        return self.spark.read.schema(self.schema).parquet(target)
+
+
 def stream_optimise(
     closed: DataFrame,
     to_totals: Callable[[DataFrame], DataFrame],
-    allocation: DataFrame,
+    allocation: DataFrame | Callable[[], DataFrame],
     params: Params,
     folder: str,
 ) -> StreamingQuery:
-    """Recommend after every closed tick.
+    """Recommend, decide and plan the change after every closed tick.
 
     ``closed`` streams the rows of closed intervals (see :func:`stream_cmv`);
     ``to_totals`` reduces a micro-batch of them to component totals per tick.
-    Each micro-batch adds its totals to a table below ``folder`` and runs the
-    batch plan for the ticks it touched. Both tables are keyed by batch id and
-    written whole, so a repeated batch leaves the same state.
+    ``allocation`` is constant or the snapshots so far, read anew for each batch.
+    A batch keeps the totals that the history of later ticks can still reach and
+    optimises the ticks it touched, so its work does not grow with the age of
+    the stream. Results, changes and records are keyed by batch id and written
+    whole, so a repeated batch leaves the same rows.
     """
     spark = closed.sparkSession
     columns = total_columns()
     keys = ["job", "tick", "component", "kind"]
+    states: list[States] = []
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        totals = to_totals(batch)
-        totals.write.mode("overwrite").parquet(f"{folder}/ticks/batch={batch_id}")
-        schema = T.StructType([*totals.schema.fields, T.StructField("batch", T.IntegerType())])
-        held = spark.read.schema(schema).parquet(f"{folder}/ticks")
-        fresh = held.filter(F.col("batch") == batch_id)
-        target = f"{folder}/results/batch={batch_id}"
+        totals = to_totals(batch).select(*keys, *columns)
+        if not states:
+            states.append(States(spark, f"{folder}/ticks", totals.schema))
+        fresh = States(spark, f"{folder}/fresh", totals.schema).save(totals, batch_id)
         if fresh.isEmpty():
             # most micro-batches close no interval
-            spark.createDataFrame([], RESULT_SCHEMA).write.mode("overwrite").parquet(target)
             return
-        due = fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
         # one tick may close in several batches: the first covers two intervals
-        reach = F.col("first_due") - (params.history_size - 1)
-        near = (
-            held.filter(F.col("batch") <= batch_id).join(due.select("job", "first_due"), "job")
-            .filter(F.col("tick") >= reach)
-        )
-        merged = near.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
-        optimise(merged, allocation, params, due).write.mode("overwrite").parquet(target)
+        merged = states[0].before(batch_id).unionByName(fresh).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+        due = fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
+        newest = F.max("tick").over(Window.partitionBy("job"))
+        result = optimise(merged, allocation() if callable(allocation) else allocation, params, due)
+        target = f"{folder}/results/batch={batch_id}"
+        result.write.mode("overwrite").parquet(target)
+        result = spark.read.schema(RESULT_SCHEMA).parquet(target)
+        rebalance_plan(decide(result, params), params).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+        alloc_record(result).write.mode("overwrite").parquet(f"{folder}/records/batch={batch_id}")
+        near = merged.withColumn("_newest", newest).filter(F.col("tick") > F.col("_newest") - params.history_size)
+        states[0].save(near.drop("_newest"), batch_id)
 
     return each_batch(closed, work, f"{folder}/checkpoint")
 
 
+def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes to make, of the latest result of every job and tick."""
+    latest = spark.read.schema(f"{RESULT_SCHEMA}, batch int").parquet(f"{folder}/results").groupBy("job", "tick").agg(
+        F.max("batch").alias("batch")
+    )
+    changes = spark.read.schema(f"{CHANGE_SCHEMA}, batch int").parquet(f"{folder}/changes")
+    return changes.join(latest, ["job", "tick", "batch"], "left_semi").drop("batch")
+
+
 def stream_results(spark: SparkSession, folder: str) -> DataFrame:
     """Latest result of every job, tick, component and objective."""
     rows = spark.read.schema(f"{RESULT_SCHEMA}, batch int").parquet(f"{folder}/results")
@@ -128,33 +200,29 @@ def stream_stateful_counter(
 ) -> StreamingQuery:
     """Number the rows of each key across micro-batches, and mark the sampled ones.
 
-    State is one counter per key, written per batch. Positions inside a batch
-    come from a range sort, so one busy key does not land in one task.
+    State is one counter per key, of which the two newest tables are kept.
+    Positions inside a batch come from slices, so one busy key does not land in
+    one task. NULL keys are counted like any other.
     """
     spark = rows.sparkSession
     keys, n = list(keys), one_in_n(rate)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        placed = with_position(batch, keys, order, "_position")
+        key = F.struct(F.lit(0).alias("_"), *keys)
+        placed = with_position(batch, keys, order, "_position").withColumn("_key", key)
         schema = batch.select(*keys).schema.add("_seen", T.LongType())
-        if batch_id == 0:
-            before = spark.createDataFrame([], schema)
-        else:
-            before = spark.read.schema(schema).parquet(f"{folder}/counters/batch={batch_id - 1}")
+        counters = States(spark, f"{folder}/counters", schema)
+        before = counters.before(batch_id).select(key.alias("_key"), "_seen")
         numbered = (
-            placed.join(before, keys, "left")
+            placed.join(before, "_key", "left")
             .withColumn("position", F.coalesce("_seen", F.lit(0)) + F.col("_position"))
             .withColumn("sampled", F.col("position") % n == 0)
-            .drop("_seen", "_position")
-        )
-        numbered.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        counts = (
-            spark.read.schema(numbered.schema).parquet(f"{folder}/rows/batch={batch_id}")
-            .groupBy(*keys).agg((F.max("position") + 1).alias("_now"))
-        )
-        after = before.join(counts, keys, "full_outer").select(
-            *keys, F.coalesce("_now", "_seen").alias("_seen")
+            .drop("_seen", "_position", "_key")
         )
-        after.write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
+        target = f"{folder}/rows/batch={batch_id}"
+        numbered.write.mode("overwrite").parquet(target)
+        counts = spark.read.schema(numbered.schema).parquet(target).groupBy(*keys).agg((F.max("position") + 1).alias("_seen"))
+        both = counters.before(batch_id).unionByName(counts)
+        counters.save(both.groupBy(*keys).agg(F.max("_seen").alias("_seen")), batch_id)
 
     return each_batch(rows, work, f"{folder}/checkpoint")
