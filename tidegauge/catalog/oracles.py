@@ -691,9 +691,14 @@ def _chosen(objective: str, name: str) -> str:
             f"FILTER (WHERE objective = '{objective}' AND executors IS NOT NULL) AS {name}")
 
 
-ORACLES["alloc_record"] = checked(CURRENT[0], CURRENT[1] + FULL, f"""
-SELECT job, tick, 'alloc' AS record, any_value(status) AS status, {_chosen('current', 'current')}, {_chosen('max', 'maximum')},
-       {_chosen('min_qos', 'min_qos')}, any_value(real_ms) AS real_ms FROM whole GROUP BY job, tick""")
+ORACLES["alloc_record"] = checked((*CURRENT[0], "src"), CURRENT[1] + FULL + f""", record AS (
+SELECT job, tick, any_value(status) AS status, {_chosen('current', 'current')}, {_chosen('max', 'maximum')},
+       {_chosen('min_qos', 'min_qos')}, any_value(real_ms) AS real_ms, any_value(est_ms) AS est_ms,
+       any_value(ratio_real) AS ratio_real, any_value(error_pct) AS error_pct FROM whole GROUP BY job, tick)""", f"""
+SELECT r.*, s.component AS source, {r6('s.external_rate', 'external_rate')}, v.component, v.executors, {r6('v.lam', 'lam')},
+       round(CASE WHEN v.mu < 1e308 THEN v.mu END, 6) AS mu, {r11('v.rho', 'rho')}, {r6('v.ratio', 'ratio')}, {r6('v.service_ms', 'service_ms')}
+FROM record r JOIN src s ON r.job = s.job AND r.tick = s.tick JOIN sv v ON r.job = v.job AND r.tick = v.tick""")
+ORACLES["topology_record"] = ORACLES["topology_info"].replace("SELECT c.job, s.sources", "SELECT c.job, c.job AS id, s.sources")
 
 # --- streaming: a finite input is closed at its end, so live results are those of all events ---
 oracle("stream_cmv", ("te",), f"""

@@ -892,13 +892,25 @@ def rebalance_plan(spark, sf):
     return plan.rebalance_plan(written(plan.decide(_optimised(spark, sf, params), params), "decision"), params)
 
 
+def _recorded(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Write records to a log folder and read back what is no task report."""
+    path = fresh_path(spark, "records")
+    writers.sink_metric_log(lines, path)
+    return readers.scan_metric_log(spark, path)[1]
+
+
 @query("alloc_record")
 def alloc_record(spark, sf):
-    lines = plan.alloc_record(_optimised(spark, sf))
-    body = F.substring_index("value", "->", -1)
-    read = F.from_json(body, "status string, minReqOptAllocation map<string,int>, currOptAllocation map<string,int>, "
-                             "kMaxOptAllocation map<string,int>, context struct<realLatency: double>")
-    one = lines.select("job", "tick", F.substring_index("value", "->", 1).alias("record"), read.alias("r"))
+    history = written(_history(spark, sf), "history")
+    sources = _sources(history)
+    context = plan.record_context(sources, capacity.service_nodes(history, sources, PARAMS))
+    lines = plan.alloc_record(_optimised(spark, sf), context)
+    # the tick travels in the job's name, since a record has no member for it
+    named = lines.select(F.concat_ws("@", "job", F.col("tick").cast("string")).alias("job"), "value")
+    one = readers.read_alloc_records(_recorded(spark, named)).select(
+        F.substring_index("job", "@", 1).alias("job"), F.substring_index("job", "@", -1).cast("int").alias("tick"),
+        F.col("record").alias("r"), "record.context",
+    )
 
     def text(column: str) -> Column:
         pairs = F.transform(
@@ -906,10 +918,29 @@ def alloc_record(spark, sf):
         )
         return F.array_join(pairs, ",")
 
-    return one.select(
-        "job", "tick", "record", F.col("r.status").alias("status"),
-        text("r.currOptAllocation").alias("current"), text("r.kMaxOptAllocation").alias("maximum"),
-        text("r.minReqOptAllocation").alias("min_qos"), r6(F.col("r.context.realLatency"), "real_ms"),
+    whole = [
+        "job", "tick", F.col("r.status").alias("status"), text("r.currOptAllocation").alias("current"),
+        text("r.kMaxOptAllocation").alias("maximum"), text("r.minReqOptAllocation").alias("min_qos"),
+        r6(F.col("context.latency.realLatency"), "real_ms"), r6(F.col("context.latency.estimate"), "est_ms"),
+        r6(F.col("context.latency.ratio"), "ratio_real"), r6(F.col("context.latency.error"), "error_pct"),
+        F.col("context.spout.component").alias("source"), r6(F.col("context.spout.external_rate"), "external_rate"),
+    ]
+    return one.select(*whole, F.explode("context.bolt").alias("component", "node")).select(
+        *[c if isinstance(c, str) else F.col(n) for c, n in zip(whole, one.select(*whole).columns)], "component",
+        F.col("node.executors").alias("executors"), r6(F.col("node.lam"), "lam"), r6(F.col("node.mu"), "mu"),
+        r11(F.col("node.rho"), "rho"), r6(F.col("node.ratio"), "ratio"), r6(F.col("node.service_ms"), "service_ms"),
+    )
+
+
+@query("topology_record")
+def topology_record(spark, sf):
+    info = topology.topology_info(d.components(spark, sf), d.edges(spark, sf))
+    read = readers.read_topology_records(_recorded(spark, plan.topology_record(info)))
+    return read.select(
+        "job", F.col("record.id").alias("id"), F.array_join("record.spouts", ",").alias("sources"),
+        F.array_join("record.bolts", ",").alias("services"), F.explode("record.targets").alias("component", "streams"),
+    ).select("job", "id", "sources", "services", "component", F.explode_outer("streams").alias("stream", "to")).select(
+        "job", "id", "sources", "services", "component", "stream", F.array_join("to", ",").alias("targets")
     )
 
 

@@ -175,8 +175,23 @@ def rebalance_plan(decision: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def alloc_record(result: DataFrame, record: str = "alloc") -> DataFrame:
-    """One log line ``record->{json}`` per job and tick."""
+SOURCE_MEMBERS = ("component", "executors", "real_ms", "real_scv", "completed", "duration_seconds", "complete_rate",
+                  "emit_rate", "external_rate", "send_length", "recv_length")
+SERVICE_MEMBERS = ("executors", "completed", "lam", "mu", "rho", "ratio", "service_ms", "cs2", "ca2", "complete_rate",
+                   "send_length", "recv_length")
+
+
+def record_context(sources: DataFrame, services: DataFrame) -> DataFrame:
+    """``(job, tick, spout, bolt)``: the source node and the service nodes by name, as the record carries them."""
+    spout = sources.select("job", "tick", F.struct(*SOURCE_MEMBERS).alias("spout"))
+    bolt = services.groupBy("job", "tick").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        F.col("component").alias("key"), F.struct(*SERVICE_MEMBERS).alias("value")
+    )))).alias("bolt"))
+    return bolt.join(topology.pick_source(spout.select("*", "spout.component"), SCOPE).drop("component"), list(SCOPE), "left")
+
+
+def alloc_record(result: DataFrame, context: DataFrame | None = None, record: str = "drs.alloc") -> DataFrame:
+    """One log line ``record->{json}`` per job and tick; ``context`` adds the nodes (see :func:`record_context`)."""
     def chosen(objective: str) -> Column:
         hit = (F.col("objective") == objective) & F.col("executors").isNotNull()
         pairs = F.collect_list(F.when(hit, F.struct("component", "executors")))
@@ -192,9 +207,19 @@ def alloc_record(result: DataFrame, record: str = "alloc") -> DataFrame:
         F.first("ratio_real").alias("ratio"),
         F.first("error_pct").alias("error"),
     )
+    parts = [F.struct("realLatency", "estimate", "ratio", "error").alias("latency")]
+    if context is not None:
+        grouped = grouped.join(context, list(SCOPE), "left")
+        parts += ["spout", "bolt"]
     # fixed values: the member names of the record
     body = F.struct(
-        "status", "minReqOptAllocation", "currOptAllocation", "kMaxOptAllocation",
-        F.struct("realLatency", "estimate", "ratio", "error").alias("context"),
+        "status", "minReqOptAllocation", "currOptAllocation", "kMaxOptAllocation", F.struct(*parts).alias("context")
     )
     return grouped.select("job", "tick", F.concat(F.lit(record + "->"), F.to_json(body)).alias("value"))
+
+
+def topology_record(info: DataFrame, record: str = "topology.info") -> DataFrame:
+    """One log line per job of :func:`~tidegauge.operators.topology.topology_info`."""
+    # fixed values: the member names of the record
+    body = F.struct(F.col("job").alias("id"), F.col("sources").alias("spouts"), F.col("services").alias("bolts"), "targets")
+    return info.select("job", F.concat(F.lit(record + "->"), F.to_json(body)).alias("value"))

@@ -87,6 +87,32 @@ def scan_metric_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return parse_metric_log(read_metric_log(spark, path))
 
 
+def _nodes(names: tuple[str, ...], whole: tuple[str, ...]) -> str:
+    kinds = {"component": "string", "executors": "int", "completed": "bigint"}
+    return f"struct<{','.join(f'{n}:{kinds.get(n, 'double')}' for n in (*whole, *names))}>"
+
+
+def read_alloc_records(others: DataFrame, name: str = "drs.alloc") -> DataFrame:
+    """``(job, record)`` of the allocation records among :func:`parse_metric_log`'s other records."""
+    counts = "map<string,int>"
+    latency = "struct<realLatency:double,estimate:double,ratio:double,error:double>"
+    source = _nodes(("real_ms", "real_scv", "completed", "duration_seconds", "complete_rate", "emit_rate", "external_rate",
+                     "send_length", "recv_length"), ("component", "executors"))
+    service = _nodes(("lam", "mu", "rho", "ratio", "service_ms", "cs2", "ca2", "complete_rate", "send_length",
+                      "recv_length"), ("executors", "completed"))
+    schema = (
+        f"struct<status:string,minReqOptAllocation:{counts},currOptAllocation:{counts},kMaxOptAllocation:{counts},"
+        f"context:struct<latency:{latency},spout:{source},bolt:map<string,{service}>>>"
+    )
+    return others.filter(F.col("name") == name).select("job", F.from_json("body", schema).alias("record"))
+
+
+def read_topology_records(others: DataFrame, name: str = "topology.info") -> DataFrame:
+    """``(job, record)`` of the topology records among the other records."""
+    schema = "struct<id:string,spouts:array<string>,bolts:array<string>,targets:map<string,map<string,array<string>>>>"
+    return others.filter(F.col("name") == name).select("job", F.from_json("body", schema).alias("record"))
+
+
 def scan_text_queue(spark: SparkSession, folder: str, binary: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     """Text records as a stream; files dropped into ``folder`` are the queue.
 
