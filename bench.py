@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidegauge.catalog.queries import QUERIES  # noqa: E402
+from tidegauge.session import remove_written  # noqa: E402
 
 HEADLINE = (
     "cmv_aggregate", "latency_histogram", "latency_histogram_text", "sample_one_in_n", "component_rollup",
@@ -39,6 +40,7 @@ def main() -> None:
         begin = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)
+    remove_written(spark)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),

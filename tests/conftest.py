@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tidegauge.session import remove_written  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -24,6 +26,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_written(session)
     session.stop()
 
 

@@ -45,18 +45,34 @@ def erlang_b(load: Column, k: Column) -> Column:
     return F.aggregate(servers, F.lit(1.0), lambda b, i: _erlang_b_step(load, b, i))
 
 
+CURVE_BLOCK = 32
+
+
 def erlang_b_curve(load: Column, lo: Column, hi: Column) -> Column:
     """Blocking probabilities for every count from ``lo`` to ``hi``, as one array.
 
-    The recursion is carried along the array, so a curve of n points costs n
-    steps and not n separate sums.
+    The recursion runs on from the first count of one block to that of the next,
+    and inside a block each count continues from the block's first. So a curve
+    of n points costs a fixed number of steps for each, and the array that grows
+    while it is built holds one number per block only.
     """
-    beyond = F.when(hi > lo, F.sequence(lo + 1, hi)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(
-        beyond,
+    none = F.expr("cast(array() as array<int>)")
+    size = F.lit(CURVE_BLOCK)
+    length = F.greatest(hi - lo, F.lit(0))
+    blocks = F.floor(length / size).cast("int")
+
+    def on(blocked: Column, first: Column, steps: Column) -> Column:
+        counts = F.when(steps > 0, F.sequence(first + 1, first + steps)).otherwise(none)
+        return F.aggregate(counts, blocked, lambda b, i: _erlang_b_step(load, b, i))
+
+    starts = F.aggregate(
+        F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(none),
         F.array(erlang_b(load, lo)),
-        lambda acc, i: F.concat(acc, F.array(_erlang_b_step(load, F.element_at(acc, -1), i))),
+        lambda acc, j: F.concat(acc, F.array(on(F.element_at(acc, -1), lo + j * size, size))),
     )
+    return F.flatten(F.transform(starts, lambda b, j: F.transform(
+        F.sequence(F.lit(0), F.least(size - 1, length - j * size)), lambda s: on(b, lo + j * size, s)
+    )))
 
 
 def wait_from_blocking(lam: Column, mu: Column, k: Column, blocked: Column) -> Column:

@@ -41,9 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of everything that this application writes for itself."""
+    return f"{shared_folder(spark)}/tidegauge-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path below the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nothing has used before."""
+    return f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables this application wrote for itself; call it when no result is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
