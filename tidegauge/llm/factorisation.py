@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 BINS = 12
 RANK = 8
 REMEMBERED = 500_000
+#: Bytes of text whose inputs are held at once.
+STRETCH = 1 << 20
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
 _SYMBOLS = b"#$%&*@^_|<>~+=\\"
 _ENDS = b"!#$%&*|"
@@ -192,14 +194,16 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, bound: int = BOU
 
 
 class Scorer:
-    """A broadcast model with one reader per worker."""
+    """A broadcast model with one reader per worker; texts are read and scored in stretches of bounded size."""
 
     def __init__(self, held):
         self.held, self.reader = held, None
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         self.reader = self.reader or Reader()
-        return self.held.value.score(self.reader.read_all(texts.to_pylist()))
+        step = max(1, int(len(texts) * STRETCH / max(1, texts.nbytes)))
+        parts = [texts.slice(i, step).to_pylist() for i in range(0, len(texts), step)]
+        return np.concatenate([np.empty(0), *(self.held.value.score(self.reader.read_all(p)) for p in parts)])
 
 
 def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
