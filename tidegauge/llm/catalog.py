@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import (
     archives, benchmark_hits, byte_bpe, collision_search, factorisation, jump_shards, ngram_trie, simhash, token_counts,
-    toxicity,
+    toxicity, twins,
 )
 from tidegauge.llm.frames import skipped
 
@@ -28,7 +28,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_pages(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc_revisits": twins.WARC_REVISITS, "op7_benchmark_hits": twins.BENCHMARK_HITS}
