@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from tidegauge.llm.frames import spread_count
 from tidegauge.session import written
 
-LINES = 96
+LINES = 48
 LEAST = 0.65
-WIDTH = 1.0
-GROW = 1.08
+WIDTH = 1.4
+GROW = 1.12
 #: Further apart than any two projections, so that all lines lie in one sorted array.
 APART = 1e6
 #: Vectors verified per query and block, as a multiple of the neighbours wanted, before widening stops.
-ENOUGH = 80
+ENOUGH = 180
 BLOCK = 4096
 QUERIES_PER_UNIT = 8192
 SEED = 11
