@@ -39,8 +39,8 @@ from tidegauge.session import fresh_path, written
 ORDER = 2
 DISCOUNT = 0.75
 #: Bytes of text for one shard, and tokens that are counted or scored at once.
-SHARD_BYTES = 24 << 20
-TOKENS_AT_ONCE = 2_000_000
+SHARD_BYTES = 16 << 20
+TOKENS_AT_ONCE = 1_000_000
 #: Texts looked at to find very frequent words; they decide only where counts are kept, not what they are.
 GLANCE = 2_000
 U64 = np.uint64
