@@ -30,7 +30,8 @@ THRESHOLD = 0.7
 NEAR = 4
 STEMS = range(3, 9)
 LEARNED = 400
-LEAST_Z = 4.0
+#: Log-likelihood ratio from which a word beginning goes with toxic texts beyond chance.
+LEAST_RATIO = 15.0
 # Common insults and second-person words, stated.
 INSULTS = (
     "idiot", "moron", "stupid", "dumb", "trash", "garbage", "pathetic", "disgusting", "worthless", "clown", "loser",
@@ -161,10 +162,11 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_automata"}
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEARNED, least_z: float = LEAST_Z) -> Lexicon:
-    """The word beginnings whose share among toxic texts is largest against the others, by z of the log-odds.
+def learn_lexicon(sample: DataFrame, most: int = LEARNED, least: float = LEAST_RATIO) -> Lexicon:
+    """The word beginnings that go most clearly with toxic texts, by log-likelihood ratio of the texts that have them.
 
-    Counts combine in each task before the shuffle; only ``most`` rows come to the driver.
+    Their weight is the log-odds. Counts combine in each task before the
+    shuffle; only ``most`` rows come to the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +186,21 @@ def learn_lexicon(sample: DataFrame, most: int = LEARNED, least_z: float = LEAST
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(toxic + 1.0) - F.col("toxic"))) - F.log(
         (F.col("clean") + 0.5) / (F.lit(clean + 1.0) - F.col("clean"))
     )
-    z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    both = F.col("toxic") + F.col("clean")
+    cells = (
+        (F.col("toxic"), toxic, both), (F.col("clean"), clean, both),
+        (F.lit(toxic) - F.col("toxic"), toxic, F.lit(size[1]) - both),
+        (F.lit(clean) - F.col("clean"), clean, F.lit(size[1]) - both),
+    )
+    ratio = sum(
+        (F.when(seen > 0, 2 * seen * F.log(seen * float(size[1]) / (of * column))).otherwise(0.0) for seen, of, column in cells),
+        F.lit(0.0),
+    )
     rows = (
         sample.select("text", "y").mapInArrow(count, "stem string, clean long, toxic long")
         .groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .select("stem", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("odds") >= 1.0))
-        .orderBy(F.desc("z"), "stem").limit(most).collect()
+        .select("stem", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("ratio") >= least) & (F.col("odds") >= 1.0))
+        .orderBy(F.desc("ratio"), "stem").limit(most).collect()
     )
     return Lexicon({r["stem"]: float(r["odds"]) for r in rows})
 
