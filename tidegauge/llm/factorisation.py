@@ -141,7 +141,7 @@ class Machine:
         return 1 / (1 + np.exp(-self.parts(*self.inputs(x), len(x.stats))[2]))
 
 
-def fit(x: Inputs, y: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+def fit(x: Inputs, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.3, decay: float = 1e-4) -> Machine:
     """Logistic loss, one adaptive step per batch; the order of the rows is fixed by the caller."""
     random = np.random.default_rng(7)
     width = BUCKETS + N_STATS * BINS
