@@ -11,6 +11,7 @@ from tidegauge.plans import dataflows
 from tidegauge.plans import optimise as plan
 from tidegauge.schemas import MEASURED, METRIC_POINTS, Params
 from tidegauge.sources import readers, writers
+from tidegauge.streaming import live
 
 T = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 
@@ -76,3 +77,18 @@ def test_each_path_has_its_own_service(spark):
     got = dataflows.dataflow_two_path(records, 0.5, lambda w: F.concat(w, F.lit("+")), lambda w: F.concat(w, F.lit("-")))
     assert {(r.path, r.word) for r in got.collect()} == {("A-P", "w+!!"), ("A-NotP", "w-!!")}
     assert topology.pick_source(spark.createDataFrame([("j", "b"), ("j", "a")], "job string, component string")).first().component == "a"
+
+
+def test_points_can_be_read_as_a_stream(spark, tmp_path):
+    rows = [("j", T, "a", 1, "duration", 7.0, None), ("j", T, "__acker", 1, "duration", 1.0, None), ("j", T, "a", 1, "x", 1.0, None)]
+    spark.createDataFrame(rows, METRIC_POINTS).write.parquet(str(tmp_path / "points"))
+    stream = readers.read_metric_points(spark, str(tmp_path / "points"), streaming=True)
+    kept = points.approved_metrics(points.drop_system_components(stream), points.approved_names(spark, Params().approved_names))
+    assert [(r.component, r.num) for r in live.drained(spark, kept, "t-points").collect()] == [("a", 7.0)]
+
+
+def test_the_policy_none_changes_nothing(spark):
+    result = spark.createDataFrame([("j", 9, "a", "current", 3, 2, "FEASIBLE", 1.0, 1.0, 1.0, 0.0, True)], plan.RESULT_SCHEMA)
+    assert plan.decide(result, Params()).count() == 1
+    nothing = plan.decide(result, Params(policy="none"))
+    assert nothing.count() == 0 and plan.rebalance_plan(nothing, Params(policy="none")).count() == 0

@@ -38,10 +38,6 @@ def first_task_only(reports: DataFrame, executors: DataFrame) -> DataFrame:
     return reports.join(first, ["job", "task"], "left_semi")
 
 
-def components_of(executors: DataFrame) -> DataFrame:
-    return executors.select("job", "component", "kind").distinct()
-
-
 def split_by_kind(reports: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reports of sources, and reports of everything else."""
     sources = components.filter(F.col("kind") == "source").select("job", "component")

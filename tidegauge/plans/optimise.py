@@ -26,18 +26,6 @@ def num_workers(executors: Column, params: Params) -> Column:
     return F.ceil(executors / params.executors_per_worker).cast("int")
 
 
-def budgets_of(allocation: DataFrame, params: Params) -> DataFrame:
-    """Executors the services have now, and may have at most."""
-    by = [c for c in SCOPE if c in allocation.columns]
-    totals = topology.allocation_totals(allocation, tuple(by))
-    running = F.col("source_executors") + F.col("service_executors")
-    return totals.withColumn("max_executors", max_executors(params, running)).select(
-        *by,
-        F.col("service_executors").alias("current_budget"),
-        (F.col("max_executors") - F.col("source_executors")).alias("max_budget"),
-    )
-
-
 def totals_of_reports(measured: DataFrame, executors: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     """Component totals per tick from one report per task, and the reports of tasks that no executor has.
 

@@ -16,9 +16,6 @@ SEND_QUEUE = "send-queue"
 RECV_QUEUE = "recv-queue"
 EMIT = "emit"
 SERIALIZED = "serialized"
-METRIC_NAMES = (
-    COMPLETE_LATENCY, MISS_QOS, LATENCY_STAT, EXECUTE, DURATION, SEND_QUEUE, RECV_QUEUE, EMIT, SERIALIZED,
-)
 QUEUE_FIELDS = {
     "rate": "arrival_rate_secs",
     "capacity": "capacity",
