@@ -6,11 +6,12 @@ import re
 
 import pytest
 
+from tidegauge.catalog import datasets, queries
 from tidegauge.catalog.queries import QUERIES
 
 BATCH = [n for n in QUERIES if not n.startswith("stream_") and n != "scan_text_queue"]
 CHEAP = ["cmv_aggregate", "latency_histogram", "latency_histogram_text", "tumbling_bucket", "qos_miss", "check_optimized",
-         "optimise", "component_rollup", "loop_back", "dataflow_two_path", "sample_one_in_n", "service_nodes"]
+         "optimise", "cmv_merge", "loop_back", "dataflow_two_path", "sample_one_in_n", "service_nodes"]
 
 
 def text(df) -> str:
@@ -55,3 +56,16 @@ def test_ranked_grid_moves_once(spark, data):
     nodes = spark.createDataFrame([("j", 1, "a", 8.0, 10.0, 1.0, 1.0, 1.0)], schema)
     plan = allocate.allocate_greedy(nodes, F.lit(5))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["component_rollup", "executor_rollup", "executor_results", "queue_aggregate", "duration_sum",
+                                  "first_task_only", "history_rollup", "optimise", "scan_metric_points"])
+def test_raw_events_are_scanned_once(spark, data, name, tmp_path, monkeypatch):
+    """Also by what runs while the query is made: every table that is written counts."""
+    plans = []
+    write = datasets.written
+    monkeypatch.setattr(datasets, "written", lambda df, tag: (plans.append(text(df)), write(df, tag))[1])
+    monkeypatch.setattr(queries, "written", datasets.written)
+    plans.append(text(QUERIES[name](spark, data)))
+    scans = sum(len(re.findall(r"FileScan parquet .*?Location: [^,]*events\.parquet", p)) for p in plans)
+    assert scans == 1

@@ -80,17 +80,20 @@ def task_days(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     )
 
 
-def task_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def moments_of_days(days: DataFrame) -> DataFrame:
     """``(job, tick, component, kind, task, stream, cnt, s, ss)`` with daily ticks."""
     return (
-        task_days(spark, sf_dir)
-        .withColumn("tick", day_tick("day"))
+        days.withColumn("tick", day_tick("day"))
         .groupBy("job", "tick", "component", "kind", "task", "stream")
         .agg(F.sum("cnt").alias("cnt"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
         .filter(F.col("cnt") > 0)
     )
 
 
+def task_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moments_of_days(task_days(spark, sf_dir))
+
+
 def start():
     return F.lit(START).cast("timestamp")
 
@@ -130,6 +133,11 @@ def executors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return executors_from(components(spark, sf_dir))
 
 
+def executors_of_days(days: DataFrame, idle: bool = False) -> DataFrame:
+    """The executors of everything that has a day in ``days``."""
+    return executors_from(days.select("job", "component", "kind").distinct(), idle)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each component feeds the next one through every stream seen in its events."""
     nxt = F.lit(None).cast("string")
@@ -184,7 +192,9 @@ def reports_of_days(days: DataFrame, execs: DataFrame) -> DataFrame:
 
 
 def executor_reports(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    return reports_of_days(task_days(spark, sf_dir, events), executors(spark, sf_dir))
+    """Reports and executors from one pass over the events."""
+    days = written(task_days(spark, sf_dir, events), "task-days")
+    return reports_of_days(days, executors_of_days(days))
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,14 +205,14 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def totals_and_allocation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Component totals per tick and executors per component, from one pass over the events."""
     days = written(task_days(spark, sf_dir), "task-days")
-    execs = executors_from(days.select("job", "component", "kind").distinct())
+    execs = executors_of_days(days)
     return component_totals(reports_of_days(days, execs)), allocation_counts(execs)
 
 
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw points as tasks report them, with the noise a collector has to drop."""
     days = written(task_days(spark, sf_dir), "task-days")
-    execs = executors(spark, sf_dir)
+    execs = executors_of_days(days)
     keys = ["job", "day", "component", "task"]
     kv_none = F.lit(None).cast("map<string,string>")
     per_task = days.groupBy(*keys, "kind").agg(

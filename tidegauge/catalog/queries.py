@@ -330,7 +330,8 @@ def tasks_to_executors(spark, sf):
 
 @query("first_task_only")
 def first_task_only(spark, sf):
-    kept = topology.first_task_only(d.task_moments(spark, sf), d.executors(spark, sf))
+    days = written(d.task_days(spark, sf), "task-days")
+    kept = topology.first_task_only(d.moments_of_days(days), d.executors_of_days(days))
     return kept.select(*cmv("job", "tick", "component", "task", "stream"))
 
 
@@ -482,16 +483,17 @@ def cmv_stats(spark, sf):
 
 @query("executor_rollup")
 def executor_rollup(spark, sf):
-    execs = d.executors_from(d.components(spark, sf), idle=True)
-    rows = moments.executor_rollup(d.task_moments(spark, sf), execs)
+    days = written(d.task_days(spark, sf), "task-days")
+    rows = moments.executor_rollup(d.moments_of_days(days), d.executors_of_days(days, idle=True))
     return rows.select(*cmv("job", "tick", "component", "executor", "stream"))
 
 
 @query("executor_results")
 def executor_results(spark, sf):
     days = written(d.task_days(spark, sf), "task-days")
-    comps = days.select("job", "component", "kind").distinct()
-    rows = moments.executor_results(d.reports_of_days(days, d.executors_from(comps)), d.executors_from(comps, idle=True))
+    rows = moments.executor_results(
+        d.reports_of_days(days, d.executors_of_days(days)), d.executors_of_days(days, idle=True)
+    )
     # averages of short decimals: their squares tie at six places, not at eight
     parts = [F.round(f"{c}_{p}", 8).alias(f"{c}_{p}") for c in queue_columns() for p in ("s", "ss")]
     return rows.select(
@@ -501,7 +503,8 @@ def executor_results(spark, sf):
 
 @query("component_rollup")
 def component_rollup(spark, sf):
-    per_executor = moments.executor_rollup(d.task_moments(spark, sf), d.executors(spark, sf))
+    days = written(d.task_days(spark, sf), "task-days")
+    per_executor = moments.executor_rollup(d.moments_of_days(days), d.executors_of_days(days))
     return moments.component_rollup(per_executor).select(*cmv("job", "tick", "component", "stream"))
 
 
