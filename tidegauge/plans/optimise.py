@@ -178,7 +178,7 @@ def record_context(sources: DataFrame, services: DataFrame) -> DataFrame:
     return bolt.join(topology.pick_source(spout.select("*", "spout.component"), SCOPE).drop("component"), list(SCOPE), "left")
 
 
-def alloc_record(result: DataFrame, context: DataFrame | None = None, record: str = "drs.alloc") -> DataFrame:
+def alloc_record(result: DataFrame, context: DataFrame | None = None, record: str = "alloc") -> DataFrame:
     """One log line ``record->{json}`` per job and tick; ``context`` adds the nodes (see :func:`record_context`)."""
     def chosen(objective: str) -> Column:
         hit = (F.col("objective") == objective) & F.col("executors").isNotNull()

@@ -92,7 +92,7 @@ def _nodes(names: tuple[str, ...], whole: tuple[str, ...]) -> str:
     return f"struct<{','.join(f'{n}:{kinds.get(n, 'double')}' for n in (*whole, *names))}>"
 
 
-def read_alloc_records(others: DataFrame, name: str = "drs.alloc") -> DataFrame:
+def read_alloc_records(others: DataFrame, name: str = "alloc") -> DataFrame:
     """``(job, record)`` of the allocation records among :func:`parse_metric_log`'s other records."""
     counts = "map<string,int>"
     latency = "struct<realLatency:double,estimate:double,ratio:double,error:double>"
