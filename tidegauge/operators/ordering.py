@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one slice should hold, if the order column is spread evenly.
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 500_000
 #: Quantiles of an order column that become cuts; what is between them is cut evenly.
 CUTS = 64
 
@@ -37,15 +37,15 @@ def _below(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
     return F.when(value > cuts[middle], upper).otherwise(_below(value, cuts[:middle], first))
 
 
-def _cut(value: Column, cuts: Sequence[float], parts: int) -> Column:
+def _cut(value: Column, at: Column, cuts: Sequence[float], parts: int) -> Column:
     """Slice of a value: rises with it, and each cut is a slice of its own.
 
-    A value that very many rows share is a quantile, so it is such a cut. What
-    lies between two cuts is divided evenly.
+    ``at`` is the number of cuts below it. A value that very many rows share is
+    a quantile, so it is such a cut. What lies between two cuts is divided
+    evenly.
     """
     inner = -(-parts // max(1, len(cuts)))
     line = F.array(*[F.lit(float(c)) for c in cuts])
-    at = _below(value, cuts)
     on = F.coalesce(F.get(line, at) == value, F.lit(False))
     low, high = F.get(line, at - 1), F.get(line, at)
     place = F.least(F.floor((value - low) / (high - low) * inner), F.lit(inner - 1))
@@ -66,9 +66,15 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     if parts < 2:
         return None
     cuts = [sorted(set(c or ())) for c in found[1:]]
-    return df.select(
-        "*", F.struct(F.lit(0).alias("_"), *keys).alias("_key"), numbers[0].alias("_first"),
-        *[_cut(c, own, parts).alias(n) for c, own, n in zip((numbers[0], second), cuts, ("_a", "_b"))],
+    # in a step of its own, so that the tree of comparisons is there once and not at each use
+    placed = df.select(
+        "*", F.struct(F.lit(0).alias("_"), *keys).alias("_key"), numbers[0].alias("_first"), second.alias("_second"),
+        *[_below(c, own).alias(n) for c, own, n in zip((numbers[0], second), cuts, ("_at_a", "_at_b"))],
+    )
+    return placed.select(
+        *df.columns, "_key", "_first",
+        _cut(F.col("_first"), F.col("_at_a"), cuts[0], parts).alias("_a"),
+        _cut(F.col("_second"), F.col("_at_b"), cuts[1], parts).alias("_b"),
     )
 
 
