@@ -9,6 +9,10 @@ from tidegauge.llm import benchmark_hits, byte_bpe, catalog, factorisation, simh
 from tidegauge.llm.frames import skipped
 from tidegauge.session import written
 
+#: Near copies: exact Jaccard similarity of sets of so many words' shingles.
+ALIKE = 0.8
+WORDS = 5
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from labelled rows outside its held-out fold."""
@@ -23,8 +27,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of every group stays whose sets of five-word shingles are alike by 0.8 or more."""
+    return simhash.keep_one_similar(docs, ALIKE, WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

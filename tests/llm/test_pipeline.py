@@ -44,3 +44,10 @@ def test_stages(spark, data, documents, labels):
         asked = [r["doc_id"] for r in before.collect() if r["doc_id"] in marks]
         clean = [i for i in asked if marks[i][column] != bad]
         assert sum(i in left for i in clean) >= 0.95 * len(clean)
+
+
+def test_near_copies_at_eight_tenths_go(spark, data, documents):
+    """Documents 1 and 177 share 0.83 of their five-word shingles and differ in nine bits of SimHash."""
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents, data).collect()}
+    groups = {r["component_id"] for r in simhash.near_duplicates(documents).collect()}
+    assert 1 in kept and 177 not in kept and kept == groups - {177}

@@ -128,3 +128,56 @@ def test_contraction(spark):
         assert {got[x] for x in seen} == {root}
     assert 100 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"new{rng.getrandbits(40)}"
+    return out
+
+
+def literal_similar(texts, share=0.8, width=5):
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= share * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_keep_one_similar_equals_brute_force_also_in_chunks(spark):
+    """Pairs at 0.8 differ in about ten bits of 64; those just below it stay."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.getrandbits(30)}" for _ in range(rng.choice([30, 120, 400]))]
+        near = [edited(rng, words, max(1, len(words) * c // 1000)) for c in (8, 18, 20, 24, 30)]
+        texts += [" ".join(w) for w in [words, *near]]
+    base = [f"w{rng.getrandbits(30)}" for _ in range(200)]
+    texts += [" ".join(edited(rng, base, 2)) for _ in range(60)]
+    line = " same line again and again"
+    texts += ["one two three four five six seven eight nine ten" + line * 3, "one two three four five six seven eight nine ten" + line * 90]
+    texts += ["a b", "A  b", "a b c", "", None, " \n"]
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(set(literal_similar(texts)))
+    for chunk in (512, 7):
+        got = simhash.keep_one_similar(docs, 0.8, 5, chunk=chunk)
+        assert got.schema == docs.schema and sorted(r["doc_id"] for r in got.collect()) == want, chunk
+    assert len(want) < simhash.keep_one(docs).count()
+
+
+def test_keep_one_similar_messy_rows(messy, no_docs):
+    kept = simhash.keep_one_similar(messy, 0.8, 5)
+    assert kept.schema == messy.schema
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [
+        (False, 1), (False, 3), (False, 6), (False, 7), (False, 8), (False, 10), (True, 0)
+    ]
+    assert simhash.keep_one_similar(no_docs, 0.8, 5).count() == 0

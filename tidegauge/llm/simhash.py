@@ -11,6 +11,12 @@ differ, so ``BLOCKS - bits`` blocks are equal in every pair to be found, and
 fingerprints meet once for each such choice of blocks. Where very many share a
 choice (a large group of near copies), they are cut into chunks and each pair
 of chunks is one unit of work, so no group lands in one task whole.
+
+Blocks of bits cannot bring pairs together that differ in ten bits or more, as
+texts at a similarity of 0.8 do. For a threshold on the Jaccard similarity of
+the sets of shingles, texts meet by equal bands of minimum hashes instead; the
+pivot tables and a wide radius discard, and every pair inside the loose groups
+that are left is decided by its exact similarity.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.components import components
 from tidegauge.llm.frames import free_name, map_column, spread_count
 from tidegauge.llm.words import word_lists
-from tidegauge.session import written
+from tidegauge.session import spread, written
 
 SHINGLE = 4
 SEED = 42
@@ -37,27 +43,46 @@ PIVOTS = 32
 CHUNK = 2048
 ROWS_PER_TASK = 200_000
 PAIRS_AT_ONCE = 2_000_000
-
-
-def fingerprint(text: str | None, shingle: int = SHINGLE, size: int = 1 << 20) -> int:
-    """The 64-bit SimHash of a text, unsigned; 0 for a text without words."""
+#: Bands of minimum hashes: a pair at similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 0.00007.
+BANDS = 24
+IN_BAND = 5
+#: Differing bits from which texts that share a band are not compared; at similarity 0.8 they differ in about ten.
+WIDE = 24
+#: Texts whose sets of shingles are compared with each other at once.
+TEXTS = 512
+HASHES_AT_ONCE = 4096
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Hashes of all runs of ``shingle`` words, piece by piece; a shorter text is one shingle."""
     digest = xxhash.xxh64_intdigest
-    votes, total, tail = np.zeros(64, np.int64), 0, []
+    some, tail = False, []
     for found in word_lists(text, size):
         words = tail + found
-        hashes = np.array(
-            [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))], np.uint64
-        )
-        if hashes.size:
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes += bits.sum(axis=0, dtype=np.int64)
-            total += hashes.size
+        hashes = [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))]
+        if hashes:
+            some = True
+            yield np.array(hashes, np.uint64)
         tail = words[max(0, len(words) - shingle + 1):]
-    if not total:
-        return digest(b" ".join(tail), SEED) if tail else 0
+    if tail and not some:
+        yield np.array([digest(b" ".join(tail), SEED)], np.uint64)
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have."""
+    votes, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
+        total += hashes.size
     return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, size: int = 1 << 20) -> int:
+    """The 64-bit SimHash of a text, unsigned; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle, size))
+
+
 def with_fingerprint(docs: DataFrame, name: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add the fingerprint as a signed long; all other columns stay as they are."""
 
@@ -185,12 +210,19 @@ def link_prints(
     pairs of a group. A link joins members of a component, not always a pair
     within ``bits``.
     """
-    spark = prints.sparkSession
     masks = F.array(*[
         F.struct(F.lit(i).alias("which"), F.col("print").bitwiseAND(F.lit(m)).alias("value"))
         for i, m in enumerate(block_masks(bits, blocks))
     ])
     keyed = prints.select("print", F.explode(masks).alias("key")).select("print", "key.*")
+    return link_keyed(keyed, prints.count() * len(block_masks(bits, blocks)), bits, pivots, chunk)
+
+
+def link_keyed(
+    keyed: DataFrame, rows: int, bits: int, pivots: int = PIVOTS, chunk: int = CHUNK
+) -> DataFrame:
+    """Links ``(a, b)`` that connect the ``print`` values that share a ``(which, value)`` and differ in at most ``bits`` bits."""
+    spark = keyed.sparkSession
     crowded = written(
         keyed.groupBy("which", "value").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > chunk)
         .withColumn("chunks", F.ceil(F.col("rows") / chunk).cast("int")),
@@ -206,7 +238,7 @@ def link_prints(
         "print", "which", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    tasks = spread_count(prints.count() * len(block_masks(bits, blocks)), ROWS_PER_TASK)
+    tasks = spread_count(rows, ROWS_PER_TASK)
     tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return units.repartition(tasks, "which", "value", "low", "high").mapInArrow(
         lambda batches: _linked(batches, bits, pivots), "a long, b long"
@@ -242,6 +274,117 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(found, "print").select("doc_id", hex_text("print").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a single zero for a text without words."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+
+
+def _minima_keys() -> tuple[np.ndarray, np.ndarray]:
+    """What a hash is turned and multiplied by for each minimum."""
+    made = np.array([xxhash.xxh64_intdigest(b"minimum %d" % i, SEED) for i in range(2 * BANDS * IN_BAND)], np.uint64)
+    return made[::2, None], made[1::2, None] | np.uint64(1)
+
+
+MINIMA = _minima_keys()
+
+
+def sketch(text: str | None, shingle: int) -> tuple[int, int, np.ndarray]:
+    """``(digest, print, bands)`` of the set of shingles: equal sets have equal digests; all signed."""
+    own = shingle_set(text, shingle)
+    turned, times = MINIMA
+    parts = [own[i : i + HASHES_AT_ONCE] for i in range(0, own.size, HASHES_AT_ONCE)]
+    least = np.min([(((p ^ turned) * times).min(axis=1)) for p in parts], axis=0)
+    bands = [xxhash.xxh64_intdigest(least[i : i + IN_BAND].tobytes(), i) for i in range(0, least.size, IN_BAND)]
+    signed = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(iter(parts)), *bands], np.uint64).view(np.int64)
+    return int(signed[0]), int(signed[1]), signed[2:]
+
+
+def with_sketch(docs: DataFrame, digest: str, name: str, bands: str, text: str, shingle: int) -> DataFrame:
+    """Add what :func:`sketch` gives; all other columns stay as they are."""
+
+    def sketches(texts: pa.Array) -> list[pa.Array]:
+        made = [sketch(t, shingle) for t in texts.to_pylist()]
+        flat = np.concatenate([m[2] for m in made]) if made else np.zeros(0, np.int64)
+        return [
+            pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * BANDS), pa.array(flat)),
+        ]
+
+    copy = free_name(docs, "text_in")
+    makes = f"`{digest}` long, `{name}` long, `{bands}` array<long>"
+    return map_column(docs.withColumn(copy, F.col(text)), copy, makes, sketches)
+
+
+def exact_links(sets: list[np.ndarray], sides: np.ndarray, share: float) -> np.ndarray:
+    """For each set the first of those that it is connected to by pairs of at least ``share`` exact Jaccard similarity.
+
+    Sets of side 0 are compared with each other, those of side 1 with those of side 2.
+    """
+    forest = Forest(len(sets))
+    sizes = np.array([s.size for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    for i in np.flatnonzero(sides != 2):
+        has = np.zeros(values.size, np.int32)
+        has[place[starts[i] : starts[i] + sizes[i]]] = 1
+        common = np.add.reduceat(has[place], starts)
+        near = common >= share * (sizes + sizes[i] - common) - 1e-9
+        other = np.flatnonzero(near & (sides == (2 if sides[i] else 0)))
+        forest.join(np.full(other.size, i), other)
+    return forest.root
+
+
+def similar_components(
+    rows: DataFrame, names: tuple[str, str, str], doc_id: str, text: str, share: float, shingle: int, chunk: int = TEXTS
+) -> DataFrame:
+    """``(print, root, component_id)`` as of :func:`print_components`, with the digest of the set of shingles as ``print``.
+
+    Components join pairs of at least ``share`` exact Jaccard similarity. One
+    text stands for all with the same set. A loose group of more than
+    ``chunk`` sets is compared by pairs of chunks, each a group of its own.
+    """
+    digest, name, bands = names
+    sets = written(
+        rows.groupBy(F.col(digest).alias("digest"), F.col(name).alias("print"))
+        .agg(F.min(doc_id).alias("first"), F.first(bands).alias("bands")),
+        "sets",
+    )
+    keyed = sets.select("print", F.lit(0).alias("which"), F.explode("bands").alias("value"))
+    loose = written(components(link_keyed(keyed, sets.count() * BANDS, WIDE)), "loose")
+    grouped = sets.select("digest", "print").join(loose.withColumnRenamed("node", "print"), "print", "left").select(
+        "digest", F.coalesce("root", "print").alias("loose")
+    )
+    crowds = grouped.groupBy("loose").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "loose", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")
+    )
+    suspects = written(grouped.join(crowds, "loose"), "suspects")
+    texts = rows.select(F.col(digest).alias("digest"), F.col(text).alias("text")).join(suspects, "digest").groupBy(
+        "digest", "loose", "chunks"
+    ).agg(F.first("text").alias("text"))
+    own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
+    each = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    units = each.select(
+        "digest", "text", "loose", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+
+    def linked(unit: pa.Table) -> pa.Table:
+        found = [shingle_set(t, shingle) for t in unit.column("text").to_pylist()]
+        roots = exact_links(found, unit.column("side").to_numpy(), share)
+        moved = np.flatnonzero(roots != np.arange(roots.size))
+        known = unit.column("digest").to_numpy()
+        return pa.table({"a": pa.array(known[moved]), "b": pa.array(known[roots[moved]])})
+
+    links = spread(units, "loose", "low", "high").groupBy("loose", "low", "high").applyInArrow(linked, "a long, b long")
+    roots = written(components(links), "roots")
+    rooted = sets.select(F.col("digest").alias("print"), "first").join(
+        roots.withColumnRenamed("node", "print"), "print", "left"
+    ).withColumn("root", F.coalesce("root", "print"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(smallest, "root").select("print", "root", "component_id")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of every component: that with the smallest id, null ids last; all columns as they were.
 
@@ -249,7 +392,26 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     name = free_name(docs, "print")
     rows = written(with_fingerprint(docs, name, text), "fingerprinted")
-    found = print_components(rows, name, doc_id, **options)
+    return _smallest(docs, rows, name, print_components(rows, name, doc_id, **options), doc_id)
+
+
+def keep_one_similar(
+    docs: DataFrame, share: float, shingle: int, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """One row of every group of texts whose sets of ``shingle``-word runs have at least ``share`` Jaccard similarity.
+
+    Chains connect. What stays is as in :func:`keep_one`. No pair below
+    ``share`` is linked; one at or above it can be missed if it shares no band
+    of minimum hashes or differs in more than ``WIDE`` bits.
+    """
+    names = tuple(free_name(docs, n) for n in ("digest", "set_print", "bands"))
+    rows = written(with_sketch(docs, *names, text, shingle), "sketched")
+    found = similar_components(rows, names, doc_id, text, share, shingle, **options)
+    return _smallest(docs, rows.drop(*names[1:]), names[0], found, doc_id)
+
+
+def _smallest(docs: DataFrame, rows: DataFrame, name: str, found: DataFrame, doc_id: str) -> DataFrame:
+    """Of every component the row of ``rows`` with the smallest id, with the columns of ``docs``."""
     root, best = free_name(rows, "root_print"), free_name(rows, "best_id")
     chosen = rows.join(
         found.select(F.col("print").alias(name), F.col("root").alias(root), F.col("component_id").alias(best)), name
