@@ -112,3 +112,16 @@ def test_a_file_is_mapped_as_it_was_written(tmp_path):
         found = ngram_trie.load(uri)
         assert all((found[k] == v).all() and found[k].dtype == v.dtype for k, v in arrays.items())
     assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "two"]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_a_context_that_is_frequent_only_late_in_the_texts_is_spread(spark, order):
+    texts = [" ".join(f"filler{i}x{j}" for j in range(450)) + "".join(f" very late w{i}x{j}" for j in range(100)) for i in range(30)]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    trie = ngram_trie.train(docs, F.lit(True), order=order, shard_bytes=20_000)
+    late = np.array([ngram_trie.word_hash(b"late")], np.uint64)
+    assert trie.shards > 8 and trie.hot[2][int(late[0])] == (3000, 3000)
+    if order == 3:
+        pair = ngram_trie.mixed(np.array([ngram_trie.word_hash(b"very")], np.uint64), late)
+        assert trie.hot[3][int(pair[0])] == (3000, 3000)
+    assert all(len(level) <= 8 * trie.shards + 1 for level in trie.hot.values())

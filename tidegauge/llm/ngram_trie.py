@@ -9,8 +9,9 @@ Discounted probabilities are quantised to eight bits. The files are written to
 the shared folder and memory-mapped by the tasks that score.
 
 Counts are made from all training texts, without pruning. A task counts its
-texts piece by piece and sends each shard one compact row per piece; contexts
-known to be very frequent are spread over all shards by their successors.
+texts piece by piece and sends each shard one compact row per piece. Contexts
+that are very frequent in all training texts, as a pass before finds them, are
+spread over all shards by their successors.
 """
 
 from __future__ import annotations
@@ -41,8 +42,6 @@ DISCOUNT = 0.75
 #: Bytes of text for one shard, and tokens that are counted or scored at once.
 SHARD_BYTES = 16 << 20
 TOKENS_AT_ONCE = 1_000_000
-#: Texts looked at to find very frequent words; they decide only where counts are kept, not what they are.
-GLANCE = 2_000
 U64 = np.uint64
 KEEP = U64(24)
 #: Quantised log10 of a probability: steps of 1/32 from 0 downward.
@@ -145,6 +144,41 @@ def count_rows(texts: list, order: int, hot: np.ndarray, shards: int) -> Iterato
         yield shard, pickle.dumps(part, protocol=5)
 
 
+def frequent(texts: list, order: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Contexts that are at least ``share`` of the grams of their level in some texts, how often they come, and the number of tokens."""
+    grams = Grams(texts, order - 1)
+    hashes, counts = [grams.hash], [grams.word_counts]
+    for level in range(2, order):
+        hashes.append(mixed(grams.context[level], grams.hash[grams.follows[level]]))
+        counts.append(grams.counts[level])
+    found, often = np.concatenate(hashes), np.concatenate(counts)
+    many = often >= share * len(grams.word)
+    return found[many], often[many], len(grams.word)
+
+
+def hot_contexts(texts: DataFrame, order: int, shards: int) -> np.ndarray:
+    """Every context with a share of ``1 / (4 * shards)`` or more of all tokens, and none with less than half of it.
+
+    A piece reports contexts from half that share on. What pieces leave out of
+    a context is less than half the share of all tokens, so the reported sum of
+    one that has the share reaches the other half. At most ``8 * shards``
+    contexts of a level come to the driver.
+    """
+    half = 1 / (8 * shards)
+
+    def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, _ in pieces(batches, 0):
+            found, often, tokens = frequent(some, order, half)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([tokens, *often.tolist()], pa.int64())
+            ], ["context", "n"])
+
+    sums = written(texts.mapInArrow(reported, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")), "frequent")
+    tokens = sums.filter("context is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = sums.filter(F.col("context").isNotNull() & (F.col("n") >= half * tokens)).select("context").collect()
+    return np.unique(np.append(np.array([r[0] for r in rows], np.int64).view(U64), U64(word_hash(START))))
+
+
 def _groups(of: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.lexsort((key, of))
     for chosen in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
@@ -182,7 +216,7 @@ def build_shard(rows: list[bytes], order: int, discount: float, hot: np.ndarray)
     arrays |= _named("words", encode(words[0], 2**64))
     codebook, codes = np.unique(counts, return_inverse=True)
     arrays |= {"counts.values": codebook, "counts.codes": _narrow(codes)}
-    totals: dict = {"tokens": int(counts.sum()), "words": len(counts), "hot": []}
+    totals: dict = {"tokens": int(counts.sum()), "words": len(counts), "hot": {}}
     for level in range(2, order + 1):
         own = [p[level] for p in parts if level in p]
         context = _joined([np.repeat(k, n.astype(np.int64)) for k, n, *_ in own], U64)
@@ -200,7 +234,7 @@ def build_shard(rows: list[bytes], order: int, discount: float, hot: np.ndarray)
         arrays |= _named(f"successors{level}", encode((number << U64(40)) | low, max(1, len(keys)) << 40))
         arrays |= {f"shares{level}": steps, f"sums{level}.values": book, f"sums{level}.codes": _narrow(codes)}
         spread = np.isin(keys, hot)
-        totals["hot"] += [[level, int(k), int(s), int(n)] for k, s, n in zip(keys[spread], sums[spread], sizes[spread])]
+        totals["hot"][level] = keys[spread], sums[spread], sizes[spread]
     return arrays, totals
 
 
@@ -366,9 +400,8 @@ def train(
     texts = docs.filter(training).select(F.col(text).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
-    glance = Grams([r["text"] for r in texts.select(F.substring("text", 1, 4000).alias("text")).limit(GLANCE).collect()], 1)
-    often = glance.word_counts * (4 * shards) > max(1, len(glance.word))
-    hot = np.unique(np.append(glance.hash[often], U64(word_hash(START))))
+    # with one shard there is nothing to spread over
+    hot = hot_contexts(texts, order, shards) if shards > 1 else np.array([word_hash(START)], U64)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, _ in pieces(batches, 0):
@@ -381,20 +414,28 @@ def train(
         shard = table.column("shard")[0].as_py()
         arrays, totals = build_shard(table.column("counts").to_pylist(), order, discount, hot)
         save(f"{folder}/{shard}", arrays)
-        return pa.table({"shard": [shard], "totals": [json.dumps(totals)]}, pa.schema([("shard", pa.int32()), ("totals", pa.string())]))
+        rows = [(0, np.zeros(1, U64), np.array([totals["tokens"]]), np.array([totals["words"]]))]
+        rows += [(level, *hot_rows) for level, hot_rows in totals["hot"].items()]
+        return pa.table({
+            "shard": pa.array(np.full(sum(len(r[1]) for r in rows), shard, np.int32)),
+            "level": pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(np.int32)),
+            "key": pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)),
+            "sums": pa.array(np.concatenate([r[2] for r in rows]).astype(np.int64)),
+            "fan": pa.array(np.concatenate([r[3] for r in rows]).astype(np.int64)),
+        })
 
     made = written(
-        texts.mapInArrow(counted, "shard int, counts binary").groupBy("shard").applyInArrow(built, "shard int, totals string"),
+        texts.mapInArrow(counted, "shard int, counts binary").groupBy("shard")
+        .applyInArrow(built, "shard int, level int, key long, sums long, fan long"),
         "trie-totals",
-    ).collect()
+    )
     hot_totals: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
-    tokens = words = 0
-    for totals in (json.loads(r["totals"]) for r in made):
-        tokens, words = tokens + totals["tokens"], words + totals["words"]
-        for level, key, sums, fan in totals["hot"]:
-            a, b = hot_totals[level].get(key, (0, 0))
-            hot_totals[level][key] = a + sums, b + fan
-    return Model(folder, shards, order, discount, tokens, words, dict(hot_totals), frozenset(r["shard"] for r in made))
+    hot_sums = made.filter("level > 0").groupBy("level", "key").agg(F.sum("sums").alias("sums"), F.sum("fan").alias("fan"))
+    for r in hot_sums.collect():
+        hot_totals[r["level"]][r["key"] % 2**64] = r["sums"], r["fan"]
+    per_shard = made.filter("level = 0").collect()
+    tokens, words = sum(r["sums"] for r in per_shard), sum(r["fan"] for r in per_shard)
+    return Model(folder, shards, order, discount, tokens, words, dict(hot_totals), frozenset(r["shard"] for r in per_shard))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
