@@ -10,7 +10,7 @@ from tidegauge.llm.catalog import ORACLES, QUERIES
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run and set(ORACLES) <= set(QUERIES)
 
 

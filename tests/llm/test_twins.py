@@ -11,7 +11,7 @@ from tidegauge.llm.catalog import ORACLES, QUERIES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_matches_sql(spark, data, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     want = duck.sql(ORACLES[name]).to_arrow_table()
     got = QUERIES[name](spark, data).toArrow()

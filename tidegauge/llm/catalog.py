@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import (
-    archives, benchmark_hits, byte_bpe, collision_search, factorisation, jump_shards, ngram_trie, simhash, token_counts,
-    toxicity, twins,
+    archives, benchmark_hits, byte_bpe, collision_search, factorisation, jump_shards, language_mixture, mean_order,
+    ngram_trie, pivot_codes, simhash, token_counts, toxicity, twins,
 )
 from tidegauge.llm.frames import skipped
 
@@ -75,11 +75,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), skipped(5, 0)
+    return language_mixture.identify(docs, language_mixture.train(docs, ~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "shares"
+    )
+
+
+def op12_mean_order_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mean_order.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_warc_revisits, op3_toxicity, op4_ngram_trie, op5_jump_shards, op6_byte_bpe,
-        op7_benchmark_hits, op8_collision_search, op9_quality, op10_token_counts,
+        op7_benchmark_hits, op8_collision_search, op9_quality, op10_token_counts, op11_language_mixture, op12_mean_order_clusters,
+        op13_pivot_codes,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_warc_revisits": twins.WARC_REVISITS, "op7_benchmark_hits": twins.BENCHMARK_HITS}
+ORACLES: dict[str, str] = {
+    "op2_warc_revisits": twins.WARC_REVISITS, "op7_benchmark_hits": twins.BENCHMARK_HITS,
+    "op12_mean_order_clusters": twins.MEAN_ORDER_CLUSTERS, "op13_pivot_codes": twins.PIVOT_CODES,
+}
