@@ -69,7 +69,17 @@ def test_broken_rates_have_no_curve_and_are_named(spark):
     low = F.expr("cast(least(floor(lam / mu) + 1, 2147483647) as int)")
     curve = capacity.capacity_curve(nodes, low, low.cast("bigint") + 8)
     assert {r.component for r in curve.collect()} == {"b"} and curve.count() == 9
-    assert [r.component for r in capacity.broken_nodes(nodes).collect()] == ["a"]
+    assert [r.component for r in capacity.without_curve(nodes, low, low.cast("bigint") + 8).collect()] == ["a"]
+    # a healthy node with room for a million executors has none either, and is named too
+    assert capacity.without_curve(nodes, low, low.cast("bigint") + 10**6).count() == 2
+
+
+def test_totals_without_an_allocation_are_named(spark):
+    totals = spark.createDataFrame([("j", t, c, 1) for t in range(1, 6) for c in "ab"] + [("k", 1, "a", 1)], "job string, tick int, component string, cnt int")
+    snaps = spark.createDataFrame([("j", 2, "a", "service", 1), ("j", 2, "b", "service", 1), ("j", 4, "a", "service", 1)],
+                                  "job string, tick int, component string, kind string, executors int")
+    got = {(r.job, r.tick, r.component) for r in timeline.unallocated_totals(totals, snaps).collect()}
+    assert got == {("j", 1, "a"), ("j", 1, "b"), ("j", 4, "b"), ("j", 5, "b"), ("k", 1, "a")}
 
 
 def test_each_path_has_its_own_service(spark):

@@ -32,10 +32,40 @@ def test_positions_match_row_number(skewed):
     assert got.join(want, ["key", "ts", "id"]).filter("position <> want").count() == 0
 
 
-def test_hot_key_and_hot_instant_are_cut(skewed, spark):
-    placed = ordering._placed(ordering._slices(skewed, ["key"], ["ts", "id"]), ["ts", "id"])
-    sizes = placed.groupBy("_key", "_a", "_b").count().agg(F.max("count"), F.count(F.lit(1))).first()
-    assert sizes[0] <= 3 * 1000 and sizes[1] > 60
+def test_hot_key_and_hot_instant_are_cut(skewed):
+    sizes = ordering._sliced(skewed, ["key"], ["ts", "id"]).groupBy("_cell", "_part").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] <= 3 * 1000 and sizes[1] >= 45
+
+
+@pytest.mark.parametrize("rows", [20_000, 80_000])
+def test_tables_of_slices_grow_with_the_rows_only(spark, rows):
+    """One key, and many small ones: one entry per slice is carried on, and counts are one per slice and key."""
+    slices = rows // ordering.ROWS_PER_SLICE
+    one = ordering._sliced(spark.range(rows).withColumn("key", F.lit(1)), ["key"], ["id"])
+    assert ordering._starts(one, ["id"]).count() <= 1.5 * slices
+    assert one.groupBy("_key", "_cell", "_part").count().count() <= 1.5 * slices
+    many = ordering._sliced(spark.range(rows).withColumn("key", F.col("id") % (rows // 20)), ["key"], ["id"])
+    assert ordering._starts(many, ["id"]).count() <= 1.5 * slices
+    assert many.groupBy("_key", "_cell", "_part").count().count() <= rows // 20 + 1.5 * slices
+
+
+@pytest.mark.parametrize(("kind", "value"), [
+    ("string", "concat('n', lpad(id, 9, '0'))"), ("decimal(20,3)", "cast(id as decimal(20,3)) / 7"), ("binary", "cast(lpad(id, 9, '0') as binary)"),
+    ("date", "date_add(DATE '2024-01-01', cast(id as int))"), ("array", "array(id, 1)"), ("double", "-cast(id as double)"),
+])
+def test_any_kind_of_order_column_cuts_a_hot_key(spark, kind, value):
+    rows = spark.range(20_000).select("id", F.expr(value).alias("at"), F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id")).alias("key"))
+    sliced = ordering._sliced(rows, ["key"], ["at"])
+    assert sliced.groupBy("_key", "_cell", "_part").count().agg(F.max("count")).first()[0] <= 3 * 1000
+    got = ordering.with_position(rows, ["key"], ["at"])
+    want = rows.withColumn("want", F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1).select("id", "want")
+    assert got.join(want, "id").filter("position = want").count() == 20_000
+
+
+def test_columns_with_names_used_inside(spark):
+    rows = spark.range(5000).select("id", *[(F.col("id") % 3).alias(c) for c in ("key", "at", "k0", "o0", "f0")])
+    got = ordering.with_position(rows, ["key"], ["id"])
+    assert got.columns == [*rows.columns, "position"] and got.filter("position <> floor(id / 3)").count() == 0
 
 
 def test_one_key_with_nine_tenths_of_the_rows(spark):

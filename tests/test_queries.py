@@ -55,7 +55,7 @@ def test_query_matches_sql(spark, duck, data, name):
 def test_shared_parameters_agree():
     from tidegauge.catalog import oracles, queries
 
-    for name in ("HISTORY", "BUDGET", "QOS_MS", "PATH_P", "LOOP_P", "PEEK", "RAW", "CURVE_MORE"):
+    for name in ("HISTORY", "BUDGET", "QOS_MS", "PATH_P", "LOOP_P", "PEEK", "RAW", "CURVE_MORE", "LONGEST"):
         assert getattr(oracles, name) == getattr(queries, name), name
 
 

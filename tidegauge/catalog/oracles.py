@@ -16,6 +16,7 @@ LOOP_P = 0.2
 PEEK = 100
 RAW = 200
 CURVE_MORE = 8
+LONGEST = 9
 LARGE_BUDGET = 128
 
 DAY_US = 86400 * 1000000
@@ -410,6 +411,8 @@ SELECT job, component, CASE component WHEN 'click' THEN 'view' WHEN 'error' THEN
          WHEN 'signup' THEN 'purchase' END || ':' || stream AS key,
        count(*) AS cnt, round(sum(ms), 6) AS s, round(sum(ms * ms), 6) AS ss
 FROM (SELECT *, trunc(elapsed_ms * 1e6) / 1e6 AS ms FROM te WHERE kind <> 'source') WHERE ms > 0 GROUP BY ALL""")
+oracle("positions_in_slices", (), """
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY props NULLS FIRST, event_id) - 1 AS position FROM events""")
 oracle("assign_sequence_id", (), """
 SELECT 's' || task || '-' || (row_number() OVER (PARTITION BY task ORDER BY conv_id, turn) - 1) AS sid, task, conv_id, turn,
        text AS sentence FROM (SELECT *, CAST(conv_id % 8 AS INTEGER) AS task FROM conversations)""")
@@ -564,6 +567,12 @@ SELECT a.job, a.task, a.tick, min(b.tick) AS oldest_tick, count(*) AS ticks_held
 FROM (SELECT DISTINCT job, task, tick FROM tm) a JOIN (SELECT DISTINCT job, task, tick FROM tm) b
   ON a.job = b.job AND a.task = b.task AND b.tick BETWEEN a.tick - {HISTORY - 1} AND a.tick GROUP BY ALL""")
 oracle("warmup_gate", ("tm",), f"SELECT DISTINCT job, component, tick FROM tm WHERE 1 + tick >= {HISTORY}")
+oracle("unallocated_totals", ("ct", "snap"), """
+SELECT c.job, c.tick, c.component, CAST(c.cnt AS BIGINT) AS cnt
+FROM ct c LEFT JOIN (SELECT c.job, c.tick, max(s.tick) AS at FROM (SELECT DISTINCT job, tick FROM ct) c JOIN snap s
+                     ON s.job = c.job AND s.tick <= c.tick AND s.tick >= 3 GROUP BY ALL) l ON c.job = l.job AND c.tick = l.tick
+LEFT JOIN snap s ON s.job = c.job AND s.component = c.component AND s.tick = l.at AND NOT (s.job = 'job1' AND s.component = 'error')
+WHERE s.job IS NULL""")
 oracle("allocation_epoch", ("epochs",), "SELECT * FROM epochs")
 oracle("adjust_gate", ("tm",), "SELECT DISTINCT job, tick FROM tm WHERE (tick + 1)::BIGINT * 86400000 >= 6::BIGINT * 86400000 - 50")
 
@@ -634,6 +643,10 @@ FROM (SELECT *, (soj - lead(soj) OVER (PARTITION BY job, tick, component ORDER B
 oracle("best_gain", ("gain_mmk",), f"""
 SELECT job, tick, component, k, {r6('gain', 'gain')} FROM gain_mmk WHERE k = lo AND gain > -1 AND lam > 0
 QUALIFY row_number() OVER (PARTITION BY job, tick ORDER BY gain DESC, component) = 1""")
+oracle("broken_nodes", ("sv",), f"""
+SELECT job, tick, component, lo AS min_executors, CAST(room AS BIGINT) AS room
+FROM (SELECT *, {BUDGET} - sum(lo) OVER (PARTITION BY job, tick) AS room FROM (SELECT *, {FLOOR} AS lo FROM sv))
+WHERE lo + greatest(room, 0) >= {LONGEST}""")
 for _m in ("mmk", "ggk_simple", "ggk_complex"):
     oracle("allocate_greedy" if _m == "mmk" else f"allocate_greedy_{_m}", (f"gain_{_m}", f"loop_{_m}"), f"""
 SELECT g.job, g.tick, g.component, g.lo AS min_executors, l.k AS executors

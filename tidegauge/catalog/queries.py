@@ -32,6 +32,8 @@ LOOP_P = 0.2
 PEEK = 100
 RAW = 200
 CURVE_MORE = 8
+LONGEST = 9
+SLICE = 200
 GRID_MODELS = ("mmk", "ggk_simple", "ggk_complex")
 PARAMS = Params(
     interval_seconds=d.DAY, history_size=HISTORY, start=d.START, qos_ms=QOS_MS, max_executors=BUDGET + 4,
@@ -269,6 +271,13 @@ def service_key(spark, sf):
     return moments.cmv_aggregate(keyed, ["job", "component", "key"], "ms").select(*cmv("job", "component", "key"))
 
 
+@query("positions_in_slices")
+def positions_in_slices(spark, sf):
+    """A hot key and an order by text, in slices far shorter than the key's rows."""
+    rows = d.table(spark, sf, "events").select("event_id", "event_type", "props")
+    return ordering.with_position(rows, ["event_type"], ["props", "event_id"], each=SLICE).select("event_id", "event_type", "position")
+
+
 @query("assign_sequence_id")
 def assign_sequence_id(spark, sf):
     records = d.text_records(spark, sf).withColumn("task", (F.col("conv_id") % 8).cast("int")).drop("sid")
@@ -619,6 +628,13 @@ def warmup_gate(spark, sf):
     return timeline.warmup_gate(ticks, params, "tick")
 
 
+@query("unallocated_totals")
+def unallocated_totals(spark, sf):
+    # no snapshot before tick 3, and one component never in any
+    lacking = _snapshots(spark, sf).filter("tick >= 3 AND NOT (job = 'job1' AND component = 'error')")
+    return timeline.unallocated_totals(d.totals(spark, sf), lacking).select("job", "tick", "component", "cnt")
+
+
 @query("allocation_epoch")
 def allocation_epoch(spark, sf):
     return timeline.allocation_epochs(_allocations(spark, sf))
@@ -782,6 +798,12 @@ def best_gain(spark, sf):
     return allocate.best_gain(_services(spark, sf)).select("job", "tick", "component", "k", r6("gain"))
 
 
+@query("broken_nodes")
+def broken_nodes(spark, sf):
+    rows = allocate.broken_nodes(_services(spark, sf), F.lit(BUDGET), plan.SCOPE, LONGEST)
+    return rows.select("job", "tick", "component", "min_executors", "room")
+
+
 def _greedy_query(model: str) -> Query:
     def run(spark, sf):
         return allocate.allocate_greedy(_services(spark, sf), F.lit(BUDGET), plan.SCOPE, model)

@@ -1,10 +1,4 @@
-"""Executor allocation as one ranked table.
-
-Handing out executors one at a time to the component with the largest gain is a
-merge of the components' gain lists by their heads. A gain behind a smaller one
-is released only together with it, so each list may be read at its prefix
-minimum, and the merge is a sort. Every job and tick is ranked in the same plan.
-"""
+"""Executor allocation by a threshold of gain, for all jobs, ticks and goals in one plan."""
 
 from __future__ import annotations
 
@@ -14,142 +8,93 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import queueing as q
-from tidegauge.operators.capacity import calibrate, capacity_curve, node_stable, visit_time, with_sojourn
-from tidegauge.session import spread
+from tidegauge.operators.capacity import calibrate, node_stable, visit_time, with_sojourn
+from tidegauge.operators.gains import LONGEST_CURVE, broken, gain_curves, steps_taken
+from tidegauge.session import spread, written
 
-# Gains are compared at so many significant digits, so equal components tie and go by name at any scale.
-GAIN_DIGITS = 12
-# Fixed value: a gain must lie above this to be taken.
-GAIN_FLOOR = -1.0
 
+def _floors(nodes: DataFrame, top: Column, scope: Sequence[str]) -> DataFrame:
+    """Add the smallest stable allocation, and the ``room`` that the scope has above it up to ``top``.
 
-def _open(gain: Column, lam: Column) -> Column:
-    return (lam > 0) & gain.isNotNull() & ~F.isnan(gain) & (gain > GAIN_FLOOR)
+    ``fits`` is false for a scope without room or with a broken node.
+    """
+    per_scope = Window.partitionBy(*scope)
+    floors = spread(nodes, *scope).withColumn("min_executors", q.min_servers(F.col("lam"), F.col("mu"))).withColumn(
+        "floor_total", F.sum("min_executors").over(per_scope)
+    ).withColumn("room", F.coalesce(top, F.lit(0)) - F.col("floor_total"))
+    fits = F.bool_and(~broken(F.col("min_executors"), F.col("room"))).over(per_scope) & (F.col("room") >= 0)
+    return floors.withColumn("fits", F.coalesce(fits, F.lit(False)))
+
+
+def _curves(floors: DataFrame, scope: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """Gain curves, each computed on its own, so one large job is spread too; none for a scope that does not fit."""
+    each = spread(floors, *scope, "component")
+    curves = gain_curves(each, F.when(F.col("fits"), F.col("room")).otherwise(F.lit(-1)), models)
+    arrays = [f"{a}_{m}" for m in models for a in ("head", "sojourn")]
+    whole = F.struct(*[c for c in curves.columns if c not in (*scope, "component", *arrays)]).alias("node")
+    return written(curves.select(*scope, "component", "ratio", *arrays, whole), "gain-curves")
+
+
+def _goal(name: str, model: str, steps: Column | None = None, floor_s: Column | None = None, adjust: Column | None = None,
+          target_s: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit(name).alias("goal"), F.lit(model).alias("model"),
+        (none if steps is None else F.when(steps >= 0, steps)).cast("bigint").alias("steps"),
+        (none if floor_s is None else floor_s).cast("double").alias("floor_s"),
+        (none if adjust is None else adjust).cast("double").alias("adjust"),
+        (none if target_s is None else target_s).cast("double").alias("target_s"),
+    )
 
 
-def significant(gain: Column) -> Column:
-    """``gain`` at :data:`GAIN_DIGITS` significant digits; what is not finite stays as it is."""
-    size = F.abs(gain)
-    scale = F.pow(F.lit(10.0), GAIN_DIGITS - 1 - F.floor(F.log10(size)))
-    scaled = F.rint(gain * scale) / scale
-    return F.when((size > 1e-290) & (size < 1e290), scaled).otherwise(gain)
+def _per_scope(curves: DataFrame, scope: Sequence[str], goals: Sequence[Column], extra: Sequence[Column]) -> DataFrame:
+    """One row per scope and goal; ``extra`` are the aggregates that the goals are made of."""
+    facts = curves.groupBy(*scope).agg(*extra)
+    return facts.select(*scope, F.explode(F.array(*goals)).alias("_goal")).select(*scope, "_goal.*")
 
 
-def ranked_grid(nodes: DataFrame, top: str | Column, scope: Sequence[str], models: Sequence[str] = ("mmk",)) -> DataFrame:
-    """Every step from the smallest stable allocation up to ``top`` executors, ranked.
+def _qos_goal(target_ms: Column, adjust: Column, delta_s: float) -> Column:
+    """Reach the target, if it can be reached at all with what the services take alone."""
+    target = target_ms / 1000.0
+    reachable = F.col("_fits") & (F.col("_service_s") * adjust + F.lit(delta_s) < target)
+    return _goal("min_qos", "mmk", floor_s=F.col("_floor_s"), adjust=adjust, target_s=F.when(reachable, target))
 
-    Per model: ``usable_<m>`` (the step can be taken), ``rank_<m>`` (when), and
-    ``saved_<m>`` (what all steps up to it take off the end-to-end time).
-    ``top`` must not vary inside a job. All windows partition by the job scope or
-    finer: spread the nodes by it before they unfold here, and nothing moves again.
-    """
-    per_scope = Window.partitionBy(*scope)
-    lam, mu = F.col("lam"), F.col("mu")
-    ceiling = F.col(top) if isinstance(top, str) else top
-    floors = (
-        nodes.withColumn("min_executors", q.min_servers(lam, mu))
-        .withColumn("floor_total", F.sum("min_executors").over(per_scope))
-        .withColumn("_room", F.coalesce(ceiling, F.lit(0)) - F.col("floor_total"))
-        # a job that does not fit needs no curve: one row stands for each component
-        .withColumn("_from", F.when(F.col("_room") >= 0, F.col("min_executors")).otherwise(F.lit(1)))
-    )
-    grid = capacity_curve(floors, F.col("_from"), F.col("_from") + F.greatest("_room", F.lit(0)), models)
 
-    steps = Window.partitionBy(*scope, "component").orderBy("k")
-    so_far = steps.rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumns({
-        f"gain_{m}": significant((F.col(f"sojourn_{m}") - F.lead(f"sojourn_{m}").over(steps)) * F.col("ratio"))
-        for m in models
-    })
-    # a step is open if its gain counts, and usable if every step before it is open too
-    grid = grid.withColumns({f"_open_{m}": _open(F.col(f"gain_{m}"), lam).cast("int") for m in models})
-    grid = grid.withColumns({f"usable_{m}": F.min(f"_open_{m}").over(so_far) == 1 for m in models})
-    grid = grid.withColumns({
-        f"_head_{m}": F.when(F.col(f"usable_{m}"), F.min(f"gain_{m}").over(so_far)) for m in models
-    })
-    turns = {
-        m: Window.partitionBy(*scope).orderBy(
-            F.desc(f"usable_{m}"), F.desc_nulls_last(f"_head_{m}"), F.asc("component"), F.asc("k")
-        ) for m in models
-    }
-    ranks = {f"rank_{m}": F.row_number().over(turns[m]) for m in models}
-    saved = {
-        f"saved_{m}": F.sum(F.when(F.col(f"usable_{m}"), F.col(f"gain_{m}")).otherwise(F.lit(0.0))).over(
-            turns[m].rowsBetween(Window.unboundedPreceding, 0)
-        ) for m in models
-    }
-    grid = grid.withColumns({**ranks, **saved}).drop(*[f"{c}_{m}" for c in ("_open", "_head") for m in models])
-    # steps beyond the ceiling are never taken; the first row of a component always stays
-    needed = F.col("k") == F.col("_from")
-    for model in models:
-        needed = needed | (F.col(f"usable_{model}") & (F.col(f"rank_{model}") <= F.col("_room")))
-    return grid.filter(needed).drop("_room", "_from")
-
-
-def _handed_out(model: str, steps: Column) -> Column:
-    """Executors beyond the minimum after ``steps`` steps."""
-    return F.count_if(F.col(f"usable_{model}") & (F.col(f"rank_{model}") <= steps))
-
-
-def _within_budget(model: str, budget: Column) -> Column:
-    """Allocation of a component for ``budget``; NULL if the minimum exceeds it."""
-    lowest, floor_total = F.max("min_executors"), F.max("floor_total")
-    return F.when(
-        F.max(budget) >= floor_total,
-        (lowest + _handed_out(model, budget - F.col("floor_total"))).cast("int"),
-    )
+def _qos_facts() -> list[Column]:
+    return [
+        F.sum(F.get("sojourn_mmk", F.lit(0)) * F.col("ratio")).alias("_floor_s"),
+        F.sum(1 / F.col("node.mu")).alias("_service_s"), F.first("node.fits").alias("_fits"),
+    ]
+
+
+def _executors(room: Column) -> Column:
+    """Executors of a component for a goal; NULL where the goal cannot be had, a latency goal within ``room``."""
+    within = F.col("target_s").isNotNull() & F.col("met") & (F.col("all_taken") <= room)
+    had = F.col("node.fits") & (F.col("steps").isNotNull() | within)
+    return F.when(had, F.col("node.min_executors") + F.col("taken")).cast("int")
 
 
 def best_gain(nodes: DataFrame, scope: Sequence[str] = ("job", "tick"), model: str = "mmk") -> DataFrame:
     """The component that gets the first executor beyond the minimum."""
-    one_more = spread(nodes, *scope).withColumn(
-        "_top", F.sum(q.min_servers(F.col("lam"), F.col("mu"))).over(Window.partitionBy(*scope)) + 1
-    )
-    grid = ranked_grid(one_more, "_top", scope, (model,))
-    return grid.filter(F.col(f"usable_{model}") & (F.col(f"rank_{model}") == 1)).select(
-        *scope, "component", "k", F.col(f"gain_{model}").alias("gain")
+    floors = nodes.withColumn("min_executors", q.min_servers(F.col("lam"), F.col("mu")))
+    head = F.get(f"head_{model}", F.lit(0))
+    curves = gain_curves(spread(floors, *scope, "component"), F.lit(1), (model,)).withColumn("gain", head)
+    # a component's first step has its gain as head
+    first = F.min(F.struct((-F.col("gain")).alias("_order"), "component", F.col("min_executors").alias("k"), "gain"))
+    return curves.filter("gain IS NOT NULL").groupBy(*scope).agg(first.alias("_best")).select(
+        *scope, "_best.component", "_best.k", "_best.gain"
     )
 
 
 def allocate_greedy(
     nodes: DataFrame, budget: str | Column, scope: Sequence[str] = ("job", "tick"), model: str = "mmk"
 ) -> DataFrame:
-    """Best use of ``budget`` executors; NULL executors where it is too small."""
+    """Best use of ``budget`` executors; NULL executors where it is too small, or a node is broken (see :func:`broken_nodes`)."""
     limit = F.col(budget) if isinstance(budget, str) else budget
-    grid = ranked_grid(spread(nodes, *scope).withColumn("_budget", limit), "_budget", scope, (model,))
-    return grid.groupBy(*scope, "component").agg(
-        F.max("min_executors").alias("min_executors"),
-        _within_budget(model, F.col("_budget")).alias("executors"),
-    )
-
-
-def _with_qos_steps(grid: DataFrame, scope: Sequence[str], target_ms: Column, adjust: Column, limit: Column,
-                    delta_s: float) -> DataFrame:
-    """Add ``_qos_steps``: how many steps reach the target, NULL if none does."""
-    per_scope = Window.partitionBy(*scope)
-    at_floor = F.when(F.col("k") == F.col("min_executors"), F.col("sojourn_mmk") * F.col("ratio"))
-    service = F.when(F.col("k") == F.col("min_executors"), 1 / F.col("mu"))
-    target = target_ms / 1000.0
-    staged = grid.withColumns({
-        "_floor_s": F.sum(at_floor).over(per_scope), "_service_s": F.sum(service).over(per_scope)
-    })
-    reachable = F.col("_service_s") * adjust + F.lit(delta_s) < target
-    at_rank = (F.col("_floor_s") - F.col("saved_mmk")) * adjust
-    enough = F.when(
-        F.col("usable_mmk") & (at_rank <= target) & (F.col("floor_total") + F.col("rank_mmk") + 1 <= limit),
-        F.col("rank_mmk"),
-    )
-    at_once = (F.col("_floor_s") * adjust <= target) & (F.col("floor_total") + 1 <= limit)
-    found = F.min(enough).over(per_scope)
-    return staged.withColumn(
-        "_qos_steps", F.when(reachable, F.when(at_once, F.lit(0)).otherwise(found))
-    ).drop("_floor_s", "_service_s")
-
-
-def _for_qos() -> Column:
-    steps = F.col("_qos_steps")
-    return F.when(
-        F.max(steps).isNotNull(), (F.max("min_executors") + _handed_out("mmk", steps)).cast("int")
+    curves = _curves(_floors(nodes, limit, scope), scope, (model,))
+    goals = _per_scope(curves, scope, [_goal("budget", model, steps=F.col("_room"))], [F.first("node.room").alias("_room")])
+    return steps_taken(curves, goals, scope, (model,)).select(
+        *scope, "component", "node.min_executors", _executors(F.col("node.room")).alias("executors")
     )
 
 
@@ -165,27 +110,45 @@ def allocate_min_qos(
 
     A solution of exactly ``limit`` executors does not count.
     """
-    ratio = adjust if adjust is not None else F.lit(1.0)
-    staged = spread(nodes, *scope).withColumn("_limit", limit).withColumn("_target", target_ms).withColumn("_adjust", ratio)
-    grid = ranked_grid(staged, F.col("_limit") - 1, scope, ("mmk",))
-    found = _with_qos_steps(grid, scope, F.col("_target"), F.col("_adjust"), F.col("_limit"), delta_s)
-    return found.groupBy(*scope, "component").agg(
-        F.max("min_executors").alias("min_executors"), _for_qos().alias("executors")
+    staged = nodes.withColumns({
+        "_limit": limit, "_target": target_ms, "_adjust": adjust if adjust is not None else F.lit(1.0)
+    })
+    curves = _curves(_floors(staged, F.col("_limit") - 1, scope), scope, ("mmk",))
+    facts = [*_qos_facts(), F.first("node._target").alias("_target"), F.first("node._adjust").alias("_adjust")]
+    goals = _per_scope(curves, scope, [_qos_goal(F.col("_target"), F.col("_adjust"), delta_s)], facts)
+    return steps_taken(curves, goals, scope, ("mmk",)).select(
+        *scope, "component", "node.min_executors", _executors(F.col("node.room")).alias("executors")
     )
 
 
+def broken_nodes(
+    nodes: DataFrame, top: Column, scope: Sequence[str] = ("job", "tick"), longest: int = LONGEST_CURVE
+) -> DataFrame:
+    """Nodes whose counts, up to ``top`` executors of the job, reach ``longest``.
+
+    At the default their jobs get no allocation: the rows are there, with NULL executors.
+    """
+    floors = _floors(nodes, top, scope)
+    return floors.filter(broken(F.col("min_executors"), F.col("room"), longest)).select(*nodes.columns, "min_executors", "room")
+
+
 OBJECTIVES = ("current", "max", "min_qos")
 
 
+def top_executors() -> Column:
+    """The most executors that any objective of :func:`check_optimized` can give a job's services."""
+    return F.greatest(F.col("current_budget"), F.col("max_budget"), F.col("max_budget") * 2 - 1)
+
+
 def check_optimized(
     nodes: DataFrame, qos_ms: float, scope: Sequence[str] = ("job", "tick"), model: str = "mmk"
 ) -> DataFrame:
-    """All three objectives of every job from one ranked grid.
+    """All three objectives of every job from one set of gain curves.
 
     ``nodes`` carry their current ``executors``, and per scope ``real_ms``,
     ``current_budget`` and ``max_budget``. Result: one row per service and
     objective, with the status and the calibration context. The latency target
-    is always searched with the M/M/k ranking; the other two follow ``model``.
+    is always searched with the M/M/k curves; the other two follow ``model``.
     """
     scope = list(scope)
     per_scope = Window.partitionBy(*scope)
@@ -196,23 +159,30 @@ def check_optimized(
         F.bool_and(node_stable()).over(per_scope).alias("network_stable"),
     )
     ratio, error = calibrate(F.col("real_ms"), F.col("_est_ms"))
-    limit = F.col("max_budget") * 2
     staged = estimated.select(
         *nodes.columns, "network_stable",
         F.when(F.col("_est_ms") < q.INFINITY, F.col("_est_ms")).alias("est_ms"),
         ratio.alias("ratio_real"), error.alias("error_pct"),
-        F.greatest(F.col("current_budget"), F.col("max_budget"), limit - 1).alias("_top"),
     )
-    grid = ranked_grid(staged, "_top", scope, ranking)
-    found = _with_qos_steps(grid, scope, F.lit(float(qos_ms)), F.col("ratio_real"), limit, 0.0)
+    curves = _curves(_floors(staged, top_executors(), scope), scope, ranking)
+    facts = [
+        *_qos_facts(), F.first("node.ratio_real").alias("_ratio"),
+        (F.first("node.current_budget") - F.first("node.floor_total")).alias("_current"),
+        (F.first("node.max_budget") - F.first("node.floor_total")).alias("_max"),
+    ]
+    goals = _per_scope(curves, scope, [
+        _goal("current", model, steps=F.col("_current")), _goal("max", model, steps=F.col("_max")),
+        _qos_goal(F.lit(float(qos_ms)), F.col("_ratio"), 0.0),
+    ], facts)
+    # the latency goal has a limit of its own
+    room = F.col("node.max_budget") * 2 - 1 - F.col("node.floor_total")
+    found = steps_taken(curves, goals, scope, ranking).withColumn("_given", _executors(room))
     carried = [c for c in ("executors", "sources") if c in nodes.columns]
     kept = ["real_ms", "est_ms", "ratio_real", "error_pct", "network_stable"]
     wide = found.groupBy(*scope, "component").agg(
-        *[F.first(c).alias(c) for c in kept],
-        *[F.first(c).alias(f"_{c}") for c in carried],
-        _within_budget(model, F.col("current_budget")).alias("_current"),
-        _within_budget(model, F.col("max_budget")).alias("_max"),
-        _for_qos().alias("_min_qos"),
+        *[F.first(f"node.{c}").alias(c) for c in kept],
+        *[F.first(f"node.{c}").alias(f"_{c}") for c in carried],
+        *[F.max(F.when(F.col("goal") == o, F.col("_given"))).alias(f"_{o}") for o in OBJECTIVES],
     )
     objectives = F.explode(F.array(*[
         F.struct(F.lit(o).alias("objective"), F.col(f"_{o}").alias("executors")) for o in OBJECTIVES

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import moments as m
 from tidegauge.functions import queueing as q
+from tidegauge.operators.gains import LONGEST_CURVE
 from tidegauge.schemas import Params
 
 
@@ -129,16 +130,12 @@ def with_sojourn(nodes: DataFrame, model: str, name: str, k: str = "executors")
     ).drop("_wait")
 
 
-#: Executor counts from which a rate counts as broken.
-LONGEST_CURVE = 1_000_000
-
-
 def capacity_curve(nodes: DataFrame, lo: Column, hi: Column, models: Sequence[str] = ("mmk",)) -> DataFrame:
     """One row per node and executor count ``k`` from ``lo`` to ``hi``.
 
     Adds ``k, rho, stable, wait_s`` and one ``sojourn_<model>`` per model. A node
     whose counts reach :data:`LONGEST_CURVE` has a broken rate and no curve; see
-    :func:`broken_nodes`.
+    :func:`without_curve`.
     """
     lam, mu, k = F.col("lam"), F.col("mu"), F.col("k")
     kept = [c for c in nodes.columns if c not in ("rho", "stable")]
@@ -160,9 +157,10 @@ def capacity_curve(nodes: DataFrame, lo: Column, hi: Column, models: Sequence[st
     }).drop("_lo", "_offset", "_blocked")
 
 
-def broken_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes that would need more executors than a curve can have."""
-    return nodes.filter(q.min_servers(F.col("lam"), F.col("mu")) >= LONGEST_CURVE)
+def without_curve(nodes: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """The nodes that :func:`capacity_curve` has no rows for."""
+    reached = (lo.cast("bigint") >= LONGEST_CURVE) | (hi.cast("bigint") >= LONGEST_CURVE)
+    return nodes.filter(F.coalesce(reached, F.lit(True)))
 
 
 def with_gain(curve: DataFrame, scope: Sequence[str], model: str = "mmk") -> DataFrame:

@@ -1,10 +1,13 @@
-"""Positions inside ordered groups, without one task per group and without a stored copy.
-
-A plain ``row_number`` window puts a whole group into one task. Here every group
-is cut along its order into slices that are narrow enough, one combining pass
-counts the rows of each slice, sums over that small table say where a slice
-starts, and the window numbers the rows inside a slice only. Keys are compared
-as structs, so NULL keys are groups like any other.
+"""Positions inside ordered groups, without one task per group.
+
+A plain ``row_number`` window puts a whole group into one task. Here all rows
+are seen in one order, by key and then by the order columns, and cut into
+slices of it that hold about the same number of rows. So a slice holds many
+small groups, or a part of a large one, and only the first group of a slice can
+have rows before it. One combining pass counts the rows of each group in each
+slice; the window then numbers the rows of a group inside a slice, from where
+the slices before left off. Keys are compared as structs, so NULL keys are
+groups like any other, and any kind of column that can be sorted can be cut.
 """
 
 from __future__ import annotations
@@ -13,127 +16,135 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegauge.session import written
 
-#: Rows that one slice should hold, if the order column is spread evenly.
+#: Rows that one slice should hold.
 ROWS_PER_SLICE = 500_000
-#: Quantiles of an order column that become cuts; what is between them is cut evenly.
-CUTS = 64
+#: Sampled rows per slice, from which cuts are chosen.
+SAMPLED = 20
+#: Cells of the first level at most, whose cuts are part of the plan; each has cuts of its own in a table.
+CELLS = 64
+SEED = 17
+_PLAIN = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
+def _place(keys: Sequence[str], order: Sequence[str]) -> tuple[Column, Column]:
+    """Key of a row, and its place in the order of all rows; fields have names of their own."""
+    key = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    return key, F.struct(key.alias("key"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("at"))
 
-def _number(df: DataFrame, column: str) -> Column | None:
-    """An order column as a number that rises with it; None for kinds that have none."""
-    kind = dict(df.dtypes)[column]
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double") if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") else None
 
+def _plain_fields(place: T.StructType) -> list[tuple[str, T.DataType]]:
+    """The leading fields of a place that a cut of the first level can have in the plan."""
+    fields = [(f"{part.name}.{f.name}", f.dataType) for part in place for f in part.dataType if f.name != "_"]
+    plain = []
+    for name, kind in fields:
+        if not isinstance(kind, _PLAIN):
+            break
+        plain.append((name, kind))
+    return plain
 
-def _below(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
-    """How many of the rising ``cuts`` lie below ``value``, as a tree of comparisons."""
+
+def _below(value: Column, cuts: Sequence[Column], first: int = 0) -> Column:
+    """How many of the rising ``cuts`` are at or below ``value``, as a tree of comparisons."""
     if not cuts:
         return F.lit(first)
     middle = len(cuts) // 2
     upper = _below(value, cuts[middle + 1 :], first + middle + 1)
-    return F.when(value > cuts[middle], upper).otherwise(_below(value, cuts[:middle], first))
+    return F.when(value >= cuts[middle], upper).otherwise(_below(value, cuts[:middle], first))
+
+
+def _cell(sample: DataFrame, total: int) -> Column:
+    """Cell of a place, by cuts that a bounded part of the sample is divided evenly by."""
+    plain = _plain_fields(sample.schema["_place"].dataType)
+    cells = min(CELLS, total // (8 * SAMPLED))
+    if not plain or cells < 2:
+        return F.lit(0)
+    fields = [F.col(f"_place.{name}").alias(f"f{i}") for i, (name, _) in enumerate(plain)]
+    some = sample.sample(min(1.0, 32.0 * CELLS / total), SEED).select(*fields).orderBy(*[f"f{i}" for i in range(len(plain))]).collect()
+    step = max(1, len(some) // cells)
+
+    def cut(row: Sequence) -> Column:
+        return F.struct(*[F.lit(v).cast(kind).alias(f"f{i}") for i, (v, (_, kind)) in enumerate(zip(row, plain))])
+
+    return _below(F.struct(*fields), [cut(r) for r in some[step::step]])
+
+
+def _bisected(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the rising ``cuts`` of an array are at or below ``value``."""
+    powers = F.array(*[F.lit(1 << b) for b in range(max(1, most).bit_length() - 1, -1, -1)])
+    return F.aggregate(powers, F.lit(0), lambda n, step: F.when(
+        (n + step <= F.size(cuts)) & (F.get(cuts, n + step - 1) <= value), n + step
+    ).otherwise(n))
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int | None = None) -> DataFrame:
+    """Rows with ``_key``, and ``_cell`` and ``_part`` as their slice: both rise along the place of a row."""
+    key, place = _place(keys, order)
+    each = each or ROWS_PER_SLICE
+    if df.count() <= each:
+        # all in one slice: no cut is needed
+        return df.select("*", key.alias("_key"), F.lit(0).alias("_cell"), F.lit(0).alias("_part"))
+    sample = written(df.select(place.alias("_place")).sample(min(1.0, SAMPLED / each), SEED), "places")
+    cell = _cell(sample, max(1, sample.count()))
+    # the sampled places of a cell, in their order, and every so many of them as a cut but near the end
+    places = sample.withColumn("_cell", cell).groupBy("_cell").agg(F.array_sort(F.collect_list("_place")).alias("_places"))
+    cut = lambda _, i: ((i + 1) % SAMPLED == 0) & (i + 1 <= F.size("_places") - SAMPLED // 2)
+    cuts = written(places.select("_cell", F.filter("_places", cut).alias("_cuts")), "cuts")
+    most = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    placed = df.select("*", key.alias("_key"), place.alias("_place")).withColumn("_cell", cell).join(cuts, "_cell", "left")
+    part = F.coalesce(_bisected(F.col("_cuts"), F.col("_place"), most), F.lit(0))
+    return placed.withColumn("_part", part).select(*df.columns, "_key", "_cell", "_part")
 
 
-def _cut(value: Column, at: Column, cuts: Sequence[float], parts: int) -> Column:
-    """Slice of a value: rises with it, and each cut is a slice of its own.
+def _starts(sliced: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Where a group goes on in a slice: how many of its rows are before it, and the last order values before it.
 
-    ``at`` is the number of cuts below it. A value that very many rows share is
-    a quantile, so it is such a cut. What lies between two cuts is divided
-    evenly.
+    That is at most one group per slice, however many there are. Only the
+    counts of slices meet per group, never its rows.
     """
-    inner = -(-parts // max(1, len(cuts)))
-    line = F.array(*[F.lit(float(c)) for c in cuts])
-    on = F.coalesce(F.get(line, at) == value, F.lit(False))
-    low, high = F.get(line, at - 1), F.get(line, at)
-    place = F.least(F.floor((value - low) / (high - low) * inner), F.lit(inner - 1))
-    fine = F.when(on | low.isNull() | high.isNull(), F.lit(0)).otherwise(place)
-    # NULL sorts first, and so does its slice
-    return F.when(value.isNull(), F.lit(-1)).otherwise((2 * at + on.cast("int")) * inner + fine).cast("long")
-
-
-def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
-    """Rows with ``_key``, and ``_a`` and ``_b`` as slices of the first two order columns; None if one slice is enough."""
-    numbers = [_number(df, c) for c in order[:2]]
-    if numbers[0] is None:
-        return None
-    second = numbers[1] if len(numbers) > 1 and numbers[1] is not None else F.lit(0.0)
-    steps = [i / CUTS for i in range(CUTS + 1)]
-    found = df.agg(F.count(F.lit(1)), *[F.percentile_approx(c, steps) for c in (numbers[0], second)]).first()
-    parts = -(-found[0] // ROWS_PER_SLICE)
-    if parts < 2:
-        return None
-    cuts = [sorted(set(c or ())) for c in found[1:]]
-    # in a step of its own, so that the tree of comparisons is there once and not at each use
-    placed = df.select(
-        "*", F.struct(F.lit(0).alias("_"), *keys).alias("_key"), numbers[0].alias("_first"), second.alias("_second"),
-        *[_below(c, own).alias(n) for c, own, n in zip((numbers[0], second), cuts, ("_at_a", "_at_b"))],
-    )
-    return placed.select(
-        *df.columns, "_key", "_first",
-        _cut(F.col("_first"), F.col("_at_a"), cuts[0], parts).alias("_a"),
-        _cut(F.col("_second"), F.col("_at_b"), cuts[1], parts).alias("_b"),
-    )
+    counts = sliced.groupBy("_key", "_cell", "_part").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*order)).alias("_last"))
+    before = Window.partitionBy("_key").orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("_start", F.sum("_rows").over(before)).withColumn("_carried", F.max("_last").over(before))
+    return written(rows.filter("_start IS NOT NULL").drop("_rows", "_last"), "starts")
 
 
-def _starts(sliced: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Per slice: how many rows of its group are before it, and the last order values before it.
+def _inside(order: Sequence[str]) -> Window:
+    return Window.partitionBy("_key", "_cell", "_part").orderBy(*order)
 
-    A slice of the first column is cut further by the second one only where all
-    its rows agree in the first (``_fine``); elsewhere that would break the order.
-    """
-    counts = sliced.groupBy("_key", "_a", "_b").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_first").alias("_low"), F.max("_first").alias("_high"),
-        F.max(F.struct(*order)).alias("_last"),
-    )
-    whole = Window.partitionBy("_key", "_a")
-    along = Window.partitionBy("_key").orderBy("_a", "_b")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        counts.withColumn("_fine", F.min("_low").over(whole).eqNullSafe(F.max("_high").over(whole)))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("_carried", F.max("_last").over(before))
-    )
-    head = Window.partitionBy("_key", "_a").orderBy("_b")
-    return rows.select(
-        "_key", "_a", "_b", "_fine",
-        F.when(F.col("_fine"), F.col("_start")).otherwise(F.first("_start").over(head)).alias("_start"),
-        F.when(F.col("_fine"), F.col("_carried")).otherwise(F.first("_carried").over(head)).alias("_carried"),
-    )
+
+def _continued(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int | None) -> DataFrame:
+    sliced = _sliced(df, keys, order, each)
+    return sliced.join(_starts(sliced, order), ["_key", "_cell", "_part"], "left")
 
 
-def _placed(sliced: DataFrame, order: Sequence[str]) -> DataFrame:
-    joined = sliced.join(_starts(sliced, order), ["_key", "_a", "_b"])
-    return joined.withColumn("_b", F.when(F.col("_fine"), F.col("_b")).otherwise(F.lit(0).cast("long")))
+def with_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", each: int | None = None
+) -> DataFrame:
+    """Add the 0-based position of each row inside its group; NULL order values come first.
 
+    ``each`` is how many rows a slice should hold, :data:`ROWS_PER_SLICE` by default.
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row inside its group; NULL order values come first."""
-    sliced = _slices(df, keys, order)
-    if sliced is None:
-        inside = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(inside).cast("long") - 1)
-    inside = Window.partitionBy("_key", "_a", "_b").orderBy(*order)
-    placed = _placed(sliced, order).withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-    return placed.select(*df.columns, name)
+    Rows that agree in the key and in every order column stay in one slice: give
+    an order column that tells them apart if there can be very many.
+    """
+    number = F.row_number().over(_inside(order)).cast("long") - 1
+    return _continued(df, keys, order, each).select(*df.columns, (F.coalesce("_start", F.lit(0)) + number).alias(name))
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+def with_previous(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, each: int | None = None
+) -> DataFrame:
     """Add ``value`` of the row before, inside the group; NULL for the first row.
 
     ``value`` must be one of the ``order`` columns.
     """
-    sliced = _slices(df, keys, order)
-    if sliced is None:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    inside = Window.partitionBy("_key", "_a", "_b").orderBy(*order)
+    inside = _inside(order)
     head = F.row_number().over(inside) == 1
-    placed = _placed(sliced, order).withColumn(
-        name, F.when(head, F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
-    )
-    return placed.select(*df.columns, name)
+    before = F.when(head, F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
+    return _continued(df, keys, order, each).select(*df.columns, before.alias(name))
 
 
 def one_in_n(rate: float) -> int:

@@ -129,6 +129,20 @@ def dense_epochs(totals: DataFrame, snapshots: DataFrame, reach: DataFrame | Non
     return _filled(frame, totals)
 
 
+def unallocated_totals(totals: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Totals that no allocation holds for, and which so have no part in :func:`dense_epochs`.
+
+    These are totals of ticks before the job's first snapshot, of a component
+    that the snapshot in force lacks, and of a job without any.
+    """
+    spans = allocation_spans(snapshots).select("job", "component", "start", F.coalesce("until", F.lit(2**31 - 1)).alias("until"))
+    held = (
+        (totals["job"] == spans["job"]) & (totals["component"] == spans["component"])
+        & totals["tick"].between(spans["start"], spans["until"])
+    )
+    return totals.join(spans, held, "left_anti")
+
+
 def allocation_epochs(allocation: DataFrame) -> DataFrame:
     """Number the stretches of constant allocation.
 
