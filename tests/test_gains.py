@@ -106,28 +106,34 @@ def test_budget_of_thousands_unfolds_few_rows(spark, large):
     assert sum(got.values()) == 8000 and got == merged(large, 8000)
 
 
-def test_more_executors_than_gain(spark):
+@pytest.fixture
+def narrow_brackets(monkeypatch):
+    """Brackets as narrow as those of a large job, so that small ones are searched as well."""
+    monkeypatch.setattr(gains, "AT_ALL", 0)
+
+
+def test_more_executors_than_gain(spark, narrow_brackets):
     """Beyond some count nothing is gained any more: the rest goes by name, in one run of equal steps."""
     nodes = [node(c, 3.0, 10.0, 400) for c in "abc"] + [node("d", 0.0, 10.0, 400)]
     got = by_job(allocate.allocate_greedy(table(spark, nodes), "budget").collect())["j"]
     assert got == greedy(nodes, 400) and sum(got.values()) == 400
 
 
-def test_all_equal_components(spark):
+def test_all_equal_components(spark, narrow_brackets):
     nodes = [node(f"c{i:02d}", 25.0, 10.0, 211) for i in range(40)]
     got = by_job(allocate.allocate_greedy(table(spark, nodes), "budget").collect())["j"]
     assert got == greedy(nodes, 211)
 
 
 @pytest.mark.parametrize("model", ["ggk_simple", "ggk_complex"])
-def test_other_models_over_wide_rates(spark, model):
+def test_other_models_over_wide_rates(spark, model, narrow_brackets):
     rng = random.Random(5)
     nodes = [node(f"c{i}", mu * rng.choice([0.5, 3.3, 12.2]), mu, 160, cs2=rng.uniform(0, 3)) for i, mu in enumerate(10.0 ** rng.uniform(0, 4) for _ in range(12))]
     got = by_job(allocate.allocate_greedy(table(spark, nodes), "budget", model=model).collect())["j"]
     assert got == greedy(nodes, 160, model)
 
 
-def test_latency_goal_with_many_steps(spark):
+def test_latency_goal_with_many_steps(spark, narrow_brackets):
     rng = random.Random(8)
     nodes = []
     for j in range(6):

@@ -278,7 +278,7 @@ cte("hist_e", ("dense_e",), "SELECT a.job, a.component, a.kind, a.executors, a.t
     + f""" FROM dense_e a JOIN dense_e b ON a.job = b.job AND a.component = b.component AND a.epoch = b.epoch
       AND b.tick BETWEEN a.tick - {HISTORY - 1} AND a.tick WHERE a.tick_in_epoch >= {HISTORY} GROUP BY ALL""")
 cte("src_e", ("hist_e",), f"""
-SELECT job, tick, {per('s', 'cnt')} AS real_ms, {per('recv_rate_s', 'recv_rate_cnt')} * executors AS external_rate
+SELECT job, tick, component, {per('s', 'cnt')} AS real_ms, {per('recv_rate_s', 'recv_rate_cnt')} * executors AS external_rate
 FROM hist_e WHERE kind = 'source'""")
 cte("sv_e", ("hist_e", "src_e"), service_sql("hist_e", "src_e"))
 allocation_ctes("epoch", "sv_e", str(2 * BUDGET - 1), "mmk", ("sv_e",))
@@ -704,13 +704,20 @@ def _chosen(objective: str, name: str) -> str:
             f"FILTER (WHERE objective = '{objective}' AND executors IS NOT NULL) AS {name}")
 
 
-ORACLES["alloc_record"] = checked((*CURRENT[0], "src"), CURRENT[1] + FULL + f""", record AS (
+RECORD = f""", record AS (
 SELECT job, tick, any_value(status) AS status, {_chosen('current', 'current')}, {_chosen('max', 'maximum')},
        {_chosen('min_qos', 'min_qos')}, any_value(real_ms) AS real_ms, any_value(est_ms) AS est_ms,
-       any_value(ratio_real) AS ratio_real, any_value(error_pct) AS error_pct FROM whole GROUP BY job, tick)""", f"""
+       any_value(ratio_real) AS ratio_real, any_value(error_pct) AS error_pct FROM whole GROUP BY job, tick)"""
+
+
+def record_sql(source: str, services: str) -> str:
+    return f"""
 SELECT r.*, s.component AS source, {r6('s.external_rate', 'external_rate')}, v.component, v.executors, {r6('v.lam', 'lam')},
        round(CASE WHEN v.mu < 1e308 THEN v.mu END, 6) AS mu, {r11('v.rho', 'rho')}, {r6('v.ratio', 'ratio')}, {r6('v.service_ms', 'service_ms')}
-FROM record r JOIN src s ON r.job = s.job AND r.tick = s.tick JOIN sv v ON r.job = v.job AND r.tick = v.tick""")
+FROM record r JOIN {source} s ON r.job = s.job AND r.tick = s.tick JOIN {services} v ON r.job = v.job AND r.tick = v.tick"""
+
+
+ORACLES["alloc_record"] = checked((*CURRENT[0], "src"), CURRENT[1] + FULL + RECORD, record_sql("src", "sv"))
 ORACLES["topology_record"] = ORACLES["topology_info"].replace("SELECT c.job, s.sources", "SELECT c.job, c.job AS id, s.sources")
 
 # --- streaming: a finite input is closed at its end, so live results are those of all events ---
@@ -724,7 +731,11 @@ oracle("stream_stateful_counter", ("te",), f"""
 SELECT job, task, event_id, p AS position, p % {SAMPLE_N} = 0 AS sampled
 FROM (SELECT *, row_number() OVER (PARTITION BY job, task ORDER BY ts, event_id) - 1 AS p FROM te)""")
 ORACLES["stream_optimise"] = ORACLES["optimise_current"]
-ORACLES["stream_rebalance"] = checked(
-    ("sv_e", "hist_e", "loop_epoch", "step_epoch"),
-    check_sql("sv_e", "mmk", BUDGET, "epoch", "epoch") + f", whole AS ({full_sql('hist_e')})", CHANGES,
-)
+EPOCHS = ("sv_e", "hist_e", "loop_epoch", "step_epoch")
+WHOLE_E = check_sql("sv_e", "mmk", BUDGET, "epoch", "epoch") + f", whole AS ({full_sql('hist_e')})"
+# reports that come twice count once, and those of unknown tasks do not count
+ORACLES["stream_metric_log"] = ORACLES["optimise_epochs"]
+ORACLES["stream_alloc_record"] = checked((*EPOCHS, "src_e"), WHOLE_E + RECORD, record_sql("src_e", "sv_e"))
+oracle("stream_unknown_tasks", ("mp", "alias"), f"""
+SELECT job, ts, component, CAST(task + 1000 AS INTEGER) AS task, n_values FROM ({NAMES}) WHERE component = 'error'""")
+ORACLES["stream_rebalance"] = checked(EPOCHS, WHOLE_E, CHANGES)

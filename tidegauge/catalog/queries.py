@@ -17,7 +17,7 @@ from tidegauge.plans import optimise as plan
 from tidegauge.schemas import APPROVED_NAMES, Params, queue_columns
 from tidegauge.session import fresh_path, in_utc, spread, written
 from tidegauge.sources import readers, writers
-from tidegauge.streaming import live
+from tidegauge.streaming import live, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -930,6 +930,11 @@ def alloc_record(spark, sf):
     sources = _sources(history)
     context = plan.record_context(sources, capacity.service_nodes(history, sources, PARAMS))
     lines = plan.alloc_record(_optimised(spark, sf), context)
+    return _records(spark, lines)
+
+
+def _records(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Records written to a log and read back, a row per service node."""
     # the tick travels in the job's name, since a record has no member for it
     named = lines.select(F.concat_ws("@", "job", F.col("tick").cast("string")).alias("job"), "value")
     one = readers.read_alloc_records(_recorded(spark, named)).select(
@@ -1047,6 +1052,56 @@ def stream_rebalance(spark, sf):
     return live.stream_changes(spark, folder)
 
 
+def _resent_log(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A log in which one job's reports stand twice, and some are of tasks that no executor has; and the executors."""
+    measured = written(_measured(spark, sf), "measured")
+    strange = measured.filter("component = 'error'").withColumn("task", F.col("task") + 1000)
+    path = fresh_path(spark, "resent-log")
+    writers.sink_metric_log(writers.report_lines(measured.unionByName(measured.filter("job = 'job1'")).unionByName(strange)), path)
+    return path, written(d.executors(spark, sf), "executors")
+
+
+def _live_reports(spark: SparkSession, sf: str, params: Params) -> str:
+    """Run the live tick over log lines and a stream of snapshots, and close it; returns its folder."""
+    path, execs = _resent_log(spark, sf)
+    base = fresh_path(spark, "stream-reports")
+    stamp = (d.start() + F.make_dt_interval(F.col("tick"))).alias("ts")
+    _snapshots(spark, sf).select(stamp, "job", F.col("tick").cast("int").alias("tick"), "component", "kind", "executors").write.parquet(f"{base}/snapshots")
+    kind = spark.read.parquet(f"{base}/snapshots").schema
+    measured, _, _ = readers.parse_metric_log(reports.read_log_stream(in_utc(spark), path))
+    told = live.closable(measured, f"{base}/end-of-reports")
+    held = live.closable(spark.readStream.schema(kind).parquet(f"{base}/snapshots"), f"{base}/end-of-snapshots")
+
+    def run() -> None:
+        reports.stream_tick(reports.closed_totals(told, execs, params), held, params, base).awaitTermination()
+
+    run()
+    live.close(spark, measured.schema, f"{base}/end-of-reports")
+    live.close(spark, kind, f"{base}/end-of-snapshots")
+    run()
+    return base
+
+
+@query("stream_metric_log")
+def stream_metric_log(spark, sf):
+    """Log lines and allocation snapshots as streams, to recommendations."""
+    return _result(live.stream_results(spark, _live_reports(spark, sf, PARAMS)))
+
+
+@query("stream_alloc_record")
+def stream_alloc_record(spark, sf):
+    return _records(spark, live.stream_records(spark, _live_reports(spark, sf, PARAMS)))
+
+
+@query("stream_unknown_tasks")
+def stream_unknown_tasks(spark, sf):
+    """The live reject stream beside the live tick."""
+    path, execs = _resent_log(spark, sf)
+    measured, _, _ = readers.parse_metric_log(reports.read_log_stream(in_utc(spark), path))
+    unknown = live.drained(spark, reports.unknown_reports(measured, execs), "stream-unknown")
+    return unknown.select("job", naive("ts"), "component", "task", F.size("data").alias("n_values"))
+
+
 @query("stream_stateful_counter")
 def stream_stateful_counter(spark, sf):
     folder = fresh_path(spark, "stream-counter")

@@ -30,9 +30,11 @@ GAIN_FLOOR = -1.0
 #: Executor counts from which a rate counts as broken.
 LONGEST_CURVE = 1_000_000
 #: Candidates per round of the search.
-WAYS = 24
+WAYS = 16
+#: Rounds at most; any bracket that is left is unfolded as it is. A double has not so many digits.
+MOST_ROUNDS = 24
 #: Steps of a job that are unfolded without a further round: so many per component, and so many at all.
-PER_COMPONENT, AT_ALL = 2, 32
+PER_COMPONENT, AT_ALL = 2, 256
 # Candidates lie evenly on a scale that is linear within this distance of zero and logarithmic beyond.
 _SMALLEST = 1e-20
 # Gains of GAIN_DIGITS digits that are closer than this on the scale are equal.
@@ -174,6 +176,11 @@ def _point(t: Column, n: Column, saved: Column) -> Column:
     return F.struct(t.cast("double").alias("t"), n.cast("bigint").alias("n"), saved.cast("double").alias("saved"))
 
 
+def _just_below(head: Column) -> Column:
+    """Below ``head`` and above every smaller one of :data:`GAIN_DIGITS` digits."""
+    return F.when(head == 0, F.lit(-_SMALLEST * _SMALLEST)).otherwise(head - F.abs(head) * 4e-13)
+
+
 def _open() -> Column:
     """Whether the bracket of a goal still holds too many steps, of more than one head."""
     rows = F.col("low.n") - F.col("high.n")
@@ -195,50 +202,58 @@ def brackets(curves: DataFrame, goals: DataFrame, scope: Sequence[str], models:
     size = F.size(heads)
     ends = curves.join(goals, scope).groupBy(*scope, *goal_columns).agg(
         F.count(F.lit(1)).alias("components"), F.max(F.get(heads, F.lit(0))).alias("_first"),
+        F.min(F.get(heads, size - 1)).alias("_last"),
         F.sum(size).alias("_n"), F.sum(_saved(times, size)).alias("_saved"),
     )
     none = _point(F.coalesce("_first", F.lit(GAIN_FLOOR)), F.lit(0), F.lit(0.0))
-    every = _point(F.lit(GAIN_FLOOR), F.col("_n"), F.col("_saved"))
+    every = _point(F.coalesce(_just_below(F.col("_last")), F.lit(GAIN_FLOOR)), F.col("_n"), F.col("_saved"))
     met = F.coalesce(_enough(F.lit(0), F.lit(0.0)), F.lit(True))
     state = ends.select(
         *scope, *goal_columns, "components",
         F.when(met | _enough(F.col("_n"), F.col("_saved")), none).otherwise(every).alias("high"),
         F.when(met, none).otherwise(every).alias("low"),
     )
-    while True:
-        state = written(state, "brackets")
+    state = written(state, "brackets")
+    for _ in range(MOST_ROUNDS):
         wide = state.filter(_open())
         if wide.isEmpty():
-            return state
-        state = state.filter(~_open()).unionByName(_narrowed(curves, wide, scope, heads, times))
+            break
+        state = written(state.filter(~_open()).unionByName(_narrowed(curves, wide, scope, heads, times)), "brackets")
+    return state
 
 
 def _narrowed(curves: DataFrame, wide: DataFrame, scope: Sequence[str], heads: Column, times: Column) -> DataFrame:
-    """One round: the two candidates next to the threshold become the new bracket."""
+    """One round: the two candidates next to the threshold become the new bracket.
+
+    Both are moved to heads that there are, as far as no step lies between, so
+    a bracket that holds one head only is seen at once, whatever its scale.
+    """
     columns = wide.columns
     top, bottom = _scaled(F.col("high.t")), _scaled(F.col("low.t"))
-    between = F.transform(
-        F.sequence(F.lit(1), F.lit(WAYS)), lambda i: _unscaled(top + (bottom - top) * i / F.lit(WAYS + 1.0))
-    )
-    # zero is a candidate of its own, and what is just below it: many steps may gain nothing at all
     tried = wide.withColumn("_tried", F.filter(
-        F.concat(between, F.array(F.lit(0.0), F.lit(-_SMALLEST / 1e5))),
+        F.transform(F.sequence(F.lit(1), F.lit(WAYS)), lambda i: _unscaled(top + (bottom - top) * i / F.lit(WAYS + 1.0))),
         lambda t: (t < F.col("high.t")) & (t > F.col("low.t")),
     ))
-    narrow = curves.join(tried.select(*scope, "goal", "model", "_tried"), scope)
-    counted = narrow.withColumn("_n", F.transform("_tried", lambda t: count_above(heads, t))).select(
-        *scope, "goal", "_n", F.transform("_n", lambda n: _saved(times, n)).alias("_saved")
+    narrow = curves.join(tried.select(*scope, "goal", "model", "_tried"), scope).withColumn("_heads", heads)
+    counted = narrow.withColumn("_n", F.transform("_tried", lambda t: count_above(F.col("_heads"), t))).select(
+        *scope, "goal", "_n", "_heads", F.transform("_n", lambda n: _saved(times, n)).alias("_saved")
     )
+    at = [F.get("_n", F.lit(i)) for i in range(WAYS)]
     summed = counted.groupBy(*scope, "goal").agg(
-        *[F.sum(F.get("_n", F.lit(i))).alias(f"_n{i}") for i in range(WAYS + 2)],
-        *[F.sum(F.get("_saved", F.lit(i))).alias(f"_s{i}") for i in range(WAYS + 2)],
+        *[F.sum(n).alias(f"_n{i}") for i, n in enumerate(at)],
+        *[F.sum(F.get("_saved", F.lit(i))).alias(f"_s{i}") for i in range(WAYS)],
+        *[F.max(F.get("_heads", n)).alias(f"_below{i}") for i, n in enumerate(at)],
+        *[F.min(F.get("_heads", n - 1)).alias(f"_above{i}") for i, n in enumerate(at)],
     )
-    points = F.array(*[_point(F.get("_tried", F.lit(i)), F.col(f"_n{i}"), F.col(f"_s{i}")) for i in range(WAYS + 2)])
-    found = tried.join(summed, [*scope, "goal"]).withColumn("_points", F.filter(points, lambda p: p["n"].isNotNull()))
-    met = lambda p: _enough(p["n"], p["saved"])
+    points = F.array(*[F.struct(
+        _point(F.coalesce(f"_below{i}", F.get("_tried", F.lit(i))), F.col(f"_n{i}"), F.col(f"_s{i}")).alias("high"),
+        _point(F.coalesce(_just_below(F.col(f"_above{i}")), F.get("_tried", F.lit(i))), F.col(f"_n{i}"), F.col(f"_s{i}")).alias("low"),
+    ) for i in range(WAYS)])
+    found = tried.join(summed, [*scope, "goal"]).withColumn("_points", F.filter(points, lambda p: p["high"]["n"].isNotNull()))
+    met = F.transform(F.filter("_points", lambda p: _enough(p["low"]["n"], p["low"]["saved"])), lambda p: p["low"])
+    unmet = F.transform(F.filter("_points", lambda p: ~_enough(p["high"]["n"], p["high"]["saved"])), lambda p: p["high"])
     return found.withColumns({
-        "high": F.array_min(F.concat(F.array("high"), F.filter("_points", lambda p: ~met(p)))),
-        "low": F.array_max(F.concat(F.array("low"), F.filter("_points", met))),
+        "high": F.array_min(F.concat(F.array("high"), unmet)), "low": F.array_max(F.concat(F.array("low"), met)),
     }).select(*columns)
 
 

@@ -88,6 +88,14 @@ def allocation_spans(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def continued_spans(spans: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Known ``spans`` and later ``snapshots`` as spans again; the first one known of a job keeps its number."""
+    base = spans.groupBy("job").agg(F.min("epoch").alias("_base"))
+    known = spans.select("job", F.col("start").alias("tick"), "component", "kind", "executors")
+    again = allocation_spans(known.unionByName(snapshots.select(*known.columns)))
+    return again.join(base, "job", "left").withColumn("epoch", F.col("epoch") + F.coalesce("_base", F.lit(0))).drop("_base")
+
+
 def _ends(totals: DataFrame, reach: DataFrame | None) -> DataFrame:
     ends = last_ticks(totals)
     return ends.withColumn("_first", F.lit(1)) if reach is None else ends.join(reach, "job")
@@ -117,7 +125,12 @@ def dense_epochs(totals: DataFrame, snapshots: DataFrame, reach: DataFrame | Non
     At each tick the last snapshot at or before it holds. The tick that sees a
     change is left out; the ticks after it count from one.
     """
-    spans = allocation_spans(snapshots).join(_ends(totals, reach), "job")
+    return dense_spans(totals, allocation_spans(snapshots), reach)
+
+
+def dense_spans(totals: DataFrame, spans: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """:func:`dense_epochs` from the spans of the snapshots; spans that no wanted tick lies in may be missing."""
+    spans = spans.join(_ends(totals, reach), "job")
     low = F.greatest(F.col("start") + (F.col("epoch") > 0).cast("int"), F.col("_first"))
     high = F.least(F.coalesce("until", "_last"), F.col("_last"))
     frame = (

@@ -46,11 +46,15 @@ def ready_history(
     """History per job, tick and component after the warm-up, with ``executors``.
 
     ``allocation`` is constant, or has snapshots at some ticks, of which the
-    last one holds; then every change drops its tick, clears the history and
-    restarts the warm-up. ``reach(job, _first)`` leaves out earlier ticks.
+    last one holds, or the spans of such snapshots
+    (:func:`~tidegauge.operators.timeline.allocation_spans`); then every change
+    drops its tick, clears the history and restarts the warm-up.
+    ``reach(job, _first)`` leaves out earlier ticks.
     """
     if "tick" in allocation.columns:
         dense = timeline.dense_epochs(totals, allocation, reach)
+    elif "start" in allocation.columns:
+        dense = timeline.dense_spans(totals, allocation, reach)
     else:
         dense = timeline.dense_ticks(totals, allocation, reach)
         dense = dense.withColumn("epoch", F.lit(0)).withColumn("tick_in_epoch", F.col("tick"))
@@ -58,19 +62,25 @@ def ready_history(
     return timeline.warmup_gate(history, params)
 
 
+def due_history(totals: DataFrame, allocation: DataFrame, params: Params, due: DataFrame | None = None) -> DataFrame:
+    """:func:`ready_history` of the ``due`` ticks of each job only, from no more totals than they need."""
+    if due is None:
+        return ready_history(totals, allocation, params)
+    # work of a live tick: only what the history of the due ticks covers
+    reach = due.select("job", (F.col("first_due") - (params.history_size - 1)).alias("_first"))
+    wanted = F.col("tick").between(F.col("first_due"), F.col("last_due"))
+    return ready_history(totals, allocation, params, reach).join(due, "job").filter(wanted).drop("first_due", "last_due")
+
+
 def nodes_of(
     totals: DataFrame, allocation: DataFrame, params: Params, due: DataFrame | None = None
 ) -> DataFrame:
     """Service nodes per tick with the budgets of their job."""
+    return nodes_of_history(due_history(totals, allocation, params, due), params)
+
+
+def nodes_of_history(history: DataFrame, params: Params) -> DataFrame:
     running = F.col("source_executors") + F.col("service_executors")
-    reach = None
-    if due is not None:
-        # work of a live tick: only what the history of the due ticks covers
-        reach = due.select("job", (F.col("first_due") - (params.history_size - 1)).alias("_first"))
-    history = ready_history(totals, allocation, params, reach)
-    if due is not None:
-        wanted = F.col("tick").between(F.col("first_due"), F.col("last_due"))
-        history = history.join(due, "job").filter(wanted).drop("first_due", "last_due")
     return capacity.network_nodes(history, params, SCOPE).withColumns({
         "current_budget": F.col("service_executors"),
         "max_budget": (max_executors(params, running) - F.col("source_executors")).cast("int"),
@@ -94,8 +104,12 @@ def optimise(
     input. They are written once, since their last tick is needed beside them.
     ``due`` (``job, first_due, last_due``) restricts the ticks that get a result.
     """
-    nodes = nodes_of(written(totals, "totals"), allocation, params, due)
-    return full_allocation(allocate.check_optimized(nodes, params.qos_ms, SCOPE, params.model))
+    return optimise_history(due_history(written(totals, "totals"), allocation, params, due), params)
+
+
+def optimise_history(history: DataFrame, params: Params) -> DataFrame:
+    """:func:`optimise` from the history on."""
+    return full_allocation(allocate.check_optimized(nodes_of_history(history, params), params.qos_ms, SCOPE, params.model))
 
 
 def full_allocation(suggested: DataFrame) -> DataFrame:
@@ -178,6 +192,12 @@ def record_context(sources: DataFrame, services: DataFrame) -> DataFrame:
     return bolt.join(topology.pick_source(spout.select("*", "spout.component"), SCOPE).drop("component"), list(SCOPE), "left")
 
 
+def history_context(history: DataFrame, params: Params) -> DataFrame:
+    """:func:`record_context` of every tick in ``history``; hand in a written table."""
+    sources = capacity.source_nodes(history, params)
+    return record_context(sources, capacity.service_nodes(history, topology.pick_source(sources, SCOPE), params))
+
+
 def alloc_record(result: DataFrame, context: DataFrame | None = None, record: str = "alloc") -> DataFrame:
     """One log line ``record->{json}`` per job and tick; ``context`` adds the nodes (see :func:`record_context`)."""
     def chosen(objective: str) -> Column:

@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.moments import cmv_aggregate
 from tidegauge.operators.ordering import one_in_n, with_position
-from tidegauge.plans.optimise import CHANGE_SCHEMA, RESULT_SCHEMA, alloc_record, decide, optimise, rebalance_plan
+from tidegauge.plans.optimise import (
+    CHANGE_SCHEMA, RESULT_SCHEMA, alloc_record, decide, due_history, history_context, optimise_history, rebalance_plan,
+)
 from tidegauge.schemas import CMV, Params, total_columns
-from tidegauge.session import fresh_path
+from tidegauge.session import fresh_path, written
 
 # Later than any event.
 FAR = "9000-01-01 00:00:00"
@@ -74,7 +76,11 @@ def close(spark: SparkSession, schema: T.StructType, folder: str, ts: str = "ts"
     It has no NULL, so that no filter below the watermark takes it away.
     """
     kinds = {"string": "''", "timestamp": f"TIMESTAMP '{FAR}'", "timestamp_ntz": f"TIMESTAMP_NTZ '{FAR}'"}
-    values = [f"CAST({kinds.get(f.dataType.simpleString(), '0')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema]
+
+    def value(kind: T.DataType) -> str:
+        return "map()" if isinstance(kind, T.MapType) else kinds.get(kind.simpleString(), "0")
+
+    values = [f"CAST({value(f.dataType)} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema]
     spark.range(1).selectExpr(*values).write.mode("append").parquet(folder)
 
 
@@ -145,7 +151,8 @@ def stream_optimise(
     ``allocation`` is constant or the snapshots so far, read anew for each batch.
     A batch keeps the totals that the history of later ticks can still reach and
     optimises the ticks it touched, so its work does not grow with the age of
-    the stream. Results, changes and records are keyed by batch id and written
+    the stream; for snapshots as a stream of their own see
+    :func:`~tidegauge.streaming.reports.stream_tick`. Results, changes and records are keyed by batch id and written
     whole, so a repeated batch leaves the same rows.
     """
     spark = closed.sparkSession
@@ -161,29 +168,51 @@ def stream_optimise(
         if fresh.isEmpty():
             # most micro-batches close no interval
             return
-        # one tick may close in several batches: the first covers two intervals
-        merged = states[0].before(batch_id).unionByName(fresh).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
-        due = fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
-        newest = F.max("tick").over(Window.partitionBy("job"))
-        result = optimise(merged, allocation() if callable(allocation) else allocation, params, due)
-        target = f"{folder}/results/batch={batch_id}"
-        result.write.mode("overwrite").parquet(target)
-        result = spark.read.schema(RESULT_SCHEMA).parquet(target)
-        rebalance_plan(decide(result, params), params).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
-        alloc_record(result).write.mode("overwrite").parquet(f"{folder}/records/batch={batch_id}")
-        near = merged.withColumn("_newest", newest).filter(F.col("tick") > F.col("_newest") - params.history_size)
-        states[0].save(near.drop("_newest"), batch_id)
+        merged, due = with_earlier(states[0], fresh, batch_id, params)
+        recommend(merged, allocation() if callable(allocation) else allocation, params, due, folder, batch_id)
 
     return each_batch(closed, work, f"{folder}/checkpoint")
 
 
-def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """The changes to make, of the latest result of every job and tick."""
-    latest = spark.read.schema(f"{RESULT_SCHEMA}, batch int").parquet(f"{folder}/results").groupBy("job", "tick").agg(
+def with_earlier(state: States, fresh: DataFrame, batch_id: int, params: Params) -> tuple[DataFrame, DataFrame]:
+    """The totals that the ticks of a batch and their history need, saved for the next one, and the ticks that are due."""
+    keys, columns = ["job", "tick", "component", "kind"], total_columns()
+    newest = F.max("tick").over(Window.partitionBy("job"))
+    near = state.before(batch_id).withColumn("_newest", newest).filter(F.col("tick") > F.col("_newest") - params.history_size)
+    # one tick may close in several batches: the first covers two intervals
+    merged = near.drop("_newest").unionByName(fresh).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+    due = fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
+    return state.save(merged, batch_id), due
+
+
+def recommend(totals: DataFrame, allocation: DataFrame, params: Params, due: DataFrame, folder: str, batch_id: int) -> None:
+    """Write result, changes and records of the due ticks, each under the batch's number."""
+    spark = totals.sparkSession
+    history = written(due_history(totals, allocation, params, due), "live-history")
+    target = f"{folder}/results/batch={batch_id}"
+    optimise_history(history, params).write.mode("overwrite").parquet(target)
+    result = spark.read.schema(RESULT_SCHEMA).parquet(target)
+    rebalance_plan(decide(result, params), params).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+    records = alloc_record(result, history_context(history, params))
+    records.write.mode("overwrite").parquet(f"{folder}/records/batch={batch_id}")
+
+
+def _latest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{RESULT_SCHEMA}, batch int").parquet(f"{folder}/results").groupBy("job", "tick").agg(
         F.max("batch").alias("batch")
     )
+
+
+def stream_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The allocation records, of the latest result of every job and tick."""
+    records = spark.read.schema("job string, tick int, value string, batch int").parquet(f"{folder}/records")
+    return records.join(_latest(spark, folder), ["job", "tick", "batch"], "left_semi").drop("batch")
+
+
+def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes to make, of the latest result of every job and tick."""
     changes = spark.read.schema(f"{CHANGE_SCHEMA}, batch int").parquet(f"{folder}/changes")
-    return changes.join(latest, ["job", "tick", "batch"], "left_semi").drop("batch")
+    return changes.join(_latest(spark, folder), ["job", "tick", "batch"], "left_semi").drop("batch")
 
 
 def stream_results(spark: SparkSession, folder: str) -> DataFrame:
