@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.catalog import datasets, queries
 from tidegauge.catalog.queries import QUERIES
+from tidegauge.operators import dataflow
 
 BATCH = [n for n in QUERIES if not n.startswith("stream_") and n != "scan_text_queue"]
 CHEAP = ["cmv_aggregate", "latency_histogram", "latency_histogram_text", "tumbling_bucket", "qos_miss", "check_optimized",
@@ -69,3 +71,34 @@ def test_raw_events_are_scanned_once(spark, data, name, tmp_path, monkeypatch):
     plans.append(text(QUERIES[name](spark, data)))
     scans = sum(len(re.findall(r"FileScan parquet .*?Location: [^,]*events\.parquet", p)) for p in plans)
     assert scans == 1
+
+
+def test_several_outputs_take_one_scan(spark, data, tmp_path):
+    spark.createDataFrame([("a", "xx"), ("b", "xxx"), ("c", None), ("d", "y")], "sid string, word string").write.parquet(str(tmp_path / "r"))
+    records = spark.read.parquet(str(tmp_path / "r"))
+    emitted = dataflow.emit(records, {"p": (F.col("word").startswith("x"), F.col("word")), "q": (F.length("word") == 2, F.col("word"))})
+    out = dataflow.consume(emitted, {"p": F.upper, "q": lambda w: F.concat(w, F.lit("!"))})
+    assert sorted(map(tuple, out.collect())) == [("a", "p", "XX"), ("a", "q", "xx!"), ("b", "p", "XXX")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_loop_touches_only_what_is_inside(spark, monkeypatch):
+    touched = []
+    real = dataflow.written
+
+    def counted(df, tag):
+        table = real(df, tag)
+        touched.append(table.count())
+        return table
+
+    monkeypatch.setattr(dataflow, "written", counted)
+    records = spark.range(2000).select(F.concat(F.lit("s"), "id").alias("sid"), F.lit("w").alias("word"))
+    got = dataflow.loop_through(records, lambda rows, j: rows.withColumn("word", F.concat("word", F.lit(str(j)))), 0.5)
+    rows = got.collect()
+    assert len(rows) == 2000 and all(r.word == "w" + "".join(map(str, range(1, r.passes + 1))) for r in rows)
+    assert sum(touched) == sum(r.passes for r in rows) and touched == sorted(touched, reverse=True)
+    closed_form = {r.sid: r.passes for r in dataflow.loop_back(records, 0.5).collect()}
+    assert {r.sid: r.passes for r in rows} == closed_form
+    nobody = spark.createDataFrame([(None, "w")], "sid string, word string")
+    assert [tuple(r) for r in dataflow.loop_through(nobody, lambda rows, j: rows, 0.5).collect()] == [(None, "w", 1)]
+    assert dataflow.loop_through(records.limit(0), lambda rows, j: rows, 0.5).count() == 0

@@ -11,7 +11,7 @@ from tidegauge.operators import moments, ordering, topology
 from tidegauge.plans import optimise as plan
 from tidegauge.session import fresh_path
 from tidegauge.sources import readers
-from tidegauge.streaming import live
+from tidegauge.streaming import live, reports
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +89,44 @@ def test_stream_optimise_over_batches(spark, data, days):
     same(got.select(*pick), want.select(*pick))
 
 
+def test_reports_and_snapshots_over_batches(spark, data):
+    """Five micro-batches of reports and of snapshots; a report comes again in the next file, a task is unknown, and a job grows."""
+    base = fresh_path(spark, "t-reports")
+    execs = d.written(d.executors(spark, data), "t-executors")
+    measured = d.written(Q._measured(spark, data), "t-measured")
+    snapshots = d.written(d.allocation_snapshots(spark, data).select(
+        (d.start() + F.make_dt_interval("tick")).alias("ts"), "job", F.col("tick").cast("int").alias("tick"), "component", "kind", "executors"
+    ), "t-snapshots")
+    day = (F.unix_micros("ts") - F.unix_micros(d.start())) / (d.DAY * 1000000)
+    for i in range(5):
+        own = measured.filter(F.floor(day / 6) == i)
+        again = measured.filter((F.floor(day) == 6 * i - 1) & (F.col("job") == "job1"))
+        strange = own.filter("job = 'job2'").withColumn("task", F.col("task") + 1000)
+        own.unionByName(again).unionByName(strange).coalesce(1).write.mode("append").parquet(f"{base}/in/reports")
+        snapshots.filter(F.floor(day / 6) == i).coalesce(1).write.mode("append").parquet(f"{base}/in/snapshots")
+
+    def read(what, schema):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/{what}")
+        return live.closable(rows, f"{base}/end/{what}")
+
+    def run():
+        totals = reports.closed_totals(read("reports", measured.schema), execs, Q.PARAMS, "2 days")
+        reports.stream_tick(totals, read("snapshots", snapshots.schema), Q.PARAMS, base, "2 days").awaitTermination()
+
+    run()
+    totals = d.totals(spark, data)
+    want = plan.optimise(totals, d.written(d.allocation_snapshots(spark, data), "t-whole"), Q.PARAMS)
+    # each job's table of spans and the waiting snapshots are bounded, however many snapshots came
+    assert spark.read.parquet(f"{base}/spans").groupBy("batch", "job", "component").count().agg(F.max("count")).first()[0] <= 2
+    pick = ["job", "tick", "component", "objective", "executors", "current", "status", "stable", F.round("real_ms", 6).alias("real_ms")]
+    got = live.stream_results(spark, base).select(*pick)
+    last = got.agg(F.max("tick")).first()[0]
+    assert last >= 24 and spark.read.parquet(f"{base}/results").select("batch").distinct().count() >= 3
+    same(got, want.filter(F.col("tick") <= last).select(*pick))
+    seen = {(r.job, r.tick) for r in live.stream_records(spark, base).collect()}
+    assert seen == {(r.job, r.tick) for r in got.select("job", "tick").distinct().collect()}
+
+
 def test_text_queue_reads_each_record_once(spark):
     folder = fresh_path(spark, "t-queue")
     base = fresh_path(spark, "t-queue-out")

@@ -581,6 +581,9 @@ HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 SPLIT = f"SELECT sid, sentence, CASE WHEN {HASH.format(chr(39).join(['sid || ', ':0', '']))} / 4294967296.0 < {PATH_P} THEN 'P-Stream' ELSE 'NotP-Stream' END AS stream FROM rec"
 cte("routed", ("rec",), SPLIT)
 oracle("split_stream", ("routed",), "SELECT * FROM routed")
+oracle("named_outputs", ("rec",), """
+SELECT sid, 'long' AS stream, upper(sentence) || '+' AS word FROM rec WHERE length(sentence) > 60
+UNION ALL SELECT sid, 'even', '-' || substr(sentence, 1, 10) FROM rec WHERE length(sentence) % 2 = 0""")
 oracle("merge_streams", ("routed",), """
 SELECT sid, CASE WHEN stream = 'P-Stream' THEN 'P:' ELSE '' END || sentence AS sentence, stream FROM routed""")
 oracle("shuffle_grouping", ("rec",), "SELECT sid, sentence FROM rec")
@@ -590,6 +593,9 @@ cte("looping", ("loop0",), f"""
 SELECT sid, sentence AS word, u, 1 AS passes FROM loop0
 UNION ALL SELECT sid, word || '!', u, passes + 1 FROM looping WHERE u < pow({LOOP_P}, passes)""")
 cte("finished", ("looping",), f"SELECT sid, word, CAST(passes AS INTEGER) AS passes FROM looping WHERE u >= pow({LOOP_P}, passes)")
+oracle("loop_through", ("finished", "rec"), """
+SELECT f.sid, r.sentence || array_to_string(list_transform(range(1, f.passes + 1), lambda i: ':' || i), '') AS word, f.passes
+FROM finished f JOIN rec r ON f.sid = r.sid""")
 oracle("loop_back", ("finished",), "SELECT * FROM finished")
 oracle("dataflow_chain", ("rec",), "SELECT sid, sentence || '!!' AS word FROM rec")
 oracle("dataflow_two_path", ("routed",), """

@@ -658,6 +658,24 @@ def split_stream(spark, sf):
     return dataflow.split_stream(_records(spark, sf), PATH_P)
 
 
+@query("named_outputs")
+def named_outputs(spark, sf):
+    """One service that sends a record to none, one or two streams, and a consumer for each of them."""
+    text = F.col("sentence")
+    emitted = dataflow.emit(_records(spark, sf), {
+        "long": (F.length(text) > 60, F.upper(text)), "even": (F.length(text) % 2 == 0, F.substring(text, 1, 10)),
+        "unheard": (F.lit(True), text),
+    })
+    return dataflow.consume(emitted, {"long": lambda w: F.concat(w, F.lit("+")), "even": lambda w: F.concat(F.lit("-"), w)})
+
+
+@query("loop_through")
+def loop_through(spark, sf):
+    """A loop whose service adds the number of the pass to the word."""
+    words = dataflow.forward_words(_records(spark, sf))
+    return dataflow.loop_through(words, lambda rows, j: rows.withColumn("word", F.concat("word", F.lit(f":{j}"))), LOOP_P)
+
+
 @query("merge_streams")
 def merge_streams(spark, sf):
     parts = written(dataflow.split_stream(_records(spark, sf), PATH_P), "routed")
@@ -930,10 +948,10 @@ def alloc_record(spark, sf):
     sources = _sources(history)
     context = plan.record_context(sources, capacity.service_nodes(history, sources, PARAMS))
     lines = plan.alloc_record(_optimised(spark, sf), context)
-    return _records(spark, lines)
+    return _record_rows(spark, lines)
 
 
-def _records(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def _record_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """Records written to a log and read back, a row per service node."""
     # the tick travels in the job's name, since a record has no member for it
     named = lines.select(F.concat_ws("@", "job", F.col("tick").cast("string")).alias("job"), "value")
@@ -1090,7 +1108,7 @@ def stream_metric_log(spark, sf):
 
 @query("stream_alloc_record")
 def stream_alloc_record(spark, sf):
-    return _records(spark, live.stream_records(spark, _live_reports(spark, sf, PARAMS)))
+    return _record_rows(spark, live.stream_records(spark, _live_reports(spark, sf, PARAMS)))
 
 
 @query("stream_unknown_tasks")
