@@ -582,7 +582,7 @@ SPLIT = f"SELECT sid, sentence, CASE WHEN {HASH.format(chr(39).join(['sid || ',
 cte("routed", ("rec",), SPLIT)
 oracle("split_stream", ("routed",), "SELECT * FROM routed")
 oracle("named_outputs", ("rec",), """
-SELECT sid, 'long' AS stream, upper(sentence) || '+' AS word FROM rec WHERE length(sentence) > 60
+SELECT sid, 'long' AS stream, sentence || '+' AS word FROM rec WHERE length(sentence) > 60
 UNION ALL SELECT sid, 'even', '-' || substr(sentence, 1, 10) FROM rec WHERE length(sentence) % 2 = 0""")
 oracle("merge_streams", ("routed",), """
 SELECT sid, CASE WHEN stream = 'P-Stream' THEN 'P:' ELSE '' END || sentence AS sentence, stream FROM routed""")

@@ -663,7 +663,7 @@ def named_outputs(spark, sf):
     """One service that sends a record to none, one or two streams, and a consumer for each of them."""
     text = F.col("sentence")
     emitted = dataflow.emit(_records(spark, sf), {
-        "long": (F.length(text) > 60, F.upper(text)), "even": (F.length(text) % 2 == 0, F.substring(text, 1, 10)),
+        "long": (F.length(text) > 60, text), "even": (F.length(text) % 2 == 0, F.substring(text, 1, 10)),
         "unheard": (F.lit(True), text),
     })
     return dataflow.consume(emitted, {"long": lambda w: F.concat(w, F.lit("+")), "even": lambda w: F.concat(F.lit("-"), w)})

@@ -84,9 +84,6 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int
     """Rows with ``_key``, and ``_cell`` and ``_part`` as their slice: both rise along the place of a row."""
     key, place = _place(keys, order)
     each = each or ROWS_PER_SLICE
-    if df.count() <= each:
-        # all in one slice: no cut is needed
-        return df.select("*", key.alias("_key"), F.lit(0).alias("_cell"), F.lit(0).alias("_part"))
     sample = written(df.select(place.alias("_place")).sample(min(1.0, SAMPLED / each), SEED), "places")
     cell = _cell(sample, max(1, sample.count()))
     # the sampled places of a cell, in their order, and every so many of them as a cut but near the end
@@ -116,6 +113,11 @@ def _inside(order: Sequence[str]) -> Window:
 
 
 def _continued(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int | None) -> DataFrame:
+    if df.count() <= (each or ROWS_PER_SLICE):
+        # one slice holds all rows: no cut is needed, and no group goes on in another
+        last = df.select(F.struct(*order).alias("_last")).schema["_last"].dataType
+        whole = [F.lit(0).alias("_cell"), F.lit(0).alias("_part"), F.lit(None).cast("bigint").alias("_start"), F.lit(None).cast(last).alias("_carried")]
+        return df.select("*", _place(keys, order)[0].alias("_key"), *whole)
     sliced = _sliced(df, keys, order, each)
     return sliced.join(_starts(sliced, order), ["_key", "_cell", "_part"], "left")
 

@@ -175,14 +175,18 @@ def stream_optimise(
 
 
 def with_earlier(state: States, fresh: DataFrame, batch_id: int, params: Params) -> tuple[DataFrame, DataFrame]:
-    """The totals that the ticks of a batch and their history need, saved for the next one, and the ticks that are due."""
+    """The totals that the ticks of a batch and their history need, and the ticks that are due.
+
+    What the history of later ticks can reach is saved for the next batch.
+    """
     keys, columns = ["job", "tick", "component", "kind"], total_columns()
-    newest = F.max("tick").over(Window.partitionBy("job"))
-    near = state.before(batch_id).withColumn("_newest", newest).filter(F.col("tick") > F.col("_newest") - params.history_size)
     # one tick may close in several batches: the first covers two intervals
-    merged = near.drop("_newest").unionByName(fresh).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
-    due = fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
-    return state.save(merged, batch_id), due
+    both = state.before(batch_id).unionByName(fresh)
+    merged = written(both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns]), "live-totals")
+    newest = F.max("tick").over(Window.partitionBy("job"))
+    near = merged.withColumn("_newest", newest).filter(F.col("tick") > F.col("_newest") - params.history_size)
+    state.save(near.drop("_newest"), batch_id)
+    return merged, fresh.groupBy("job").agg(F.min("tick").alias("first_due"), F.max("tick").alias("last_due"))
 
 
 def recommend(totals: DataFrame, allocation: DataFrame, params: Params, due: DataFrame, folder: str, batch_id: int) -> None:
