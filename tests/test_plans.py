@@ -11,7 +11,7 @@ from tidegauge.catalog import datasets, queries
 from tidegauge.catalog.queries import QUERIES
 from tidegauge.operators import dataflow
 
-BATCH = [n for n in QUERIES if not n.startswith("stream_") and n != "scan_text_queue"]
+BATCH = [n for n in QUERIES if not n.startswith("stream_") and n not in ("scan_text_queue", "consume_text_queue")]
 CHEAP = ["cmv_aggregate", "latency_histogram", "latency_histogram_text", "tumbling_bucket", "qos_miss", "check_optimized",
          "optimise", "cmv_merge", "loop_back", "dataflow_two_path", "sample_one_in_n", "service_nodes"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from tidegauge.catalog import queries as Q
 from tidegauge.operators import moments, ordering, topology
 from tidegauge.plans import optimise as plan
 from tidegauge.session import fresh_path
-from tidegauge.sources import readers
-from tidegauge.streaming import live, reports
+from tidegauge.sources import queue, readers
+from tidegauge.streaming import counters, live, reports
 
 
 @pytest.fixture(scope="module")
@@ -141,6 +143,112 @@ def test_text_queue_reads_each_record_once(spark):
     assert run() == ["a", "b", "c"]
 
 
+def test_a_consumed_queue_holds_only_what_is_unread(spark):
+    base = fresh_path(spark, "t-consumed")
+
+    def put(*texts):
+        for t in texts:
+            spark.createDataFrame([(t,)], "value string").coalesce(1).write.mode("append").text(f"{base}/in")
+
+    def take():
+        rows = queue.take_all(spark, f"{base}/in", f"{base}/rows", f"{base}/checkpoint", "archive", f"{base}/read", 1)
+        return sorted(r.text for r in rows.collect())
+
+    def held(folder):
+        return sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(f"{base}/{folder}").collect())
+
+    put("a", "b", "a")
+    assert take() == ["a", "a", "b"] == held("read") and held("in") == []
+    put("c")
+    assert held("in") == ["c"]
+    # a run with the same checkpoint reads none again
+    assert take() == ["a", "a", "b", "c"] == held("read") and held("in") == []
+    assert take() == ["a", "a", "b", "c"]
+    assert queue.prune_archive(spark, f"{base}/read", 3600) == 0
+    assert queue.prune_archive(spark, f"{base}/read", -3600) >= 4 and held("read") == []
+    assert queue.prune_archive(spark, f"{base}/nothing", 0) == 0
+    with pytest.raises(ValueError):
+        readers.scan_text_queue(spark, f"{base}/in", consume="archive")
+
+
+def _counted(spark, folder, day, files):
+    """Run the counter over the files so far; each ``(job, task)`` of a file is one row."""
+    for i, rows in files:
+        made = spark.createDataFrame([(k, i, j) for j, k in enumerate(rows)], "k string, i int, j int")
+        made.coalesce(1).write.mode("append").parquet(day)
+    rows = spark.readStream.schema("k string, i int, j int").option("maxFilesPerTrigger", 1).parquet(day)
+    live.stream_stateful_counter(rows, ["k"], ["i", "j"], folder, 0.5).awaitTermination()
+
+
+def _placed(spark, folder):
+    return sorted((r.k or "", r.i, r.j, r.position) for r in spark.read.parquet(f"{folder}/rows").collect())
+
+
+def test_a_batch_writes_the_counters_it_touched(spark, monkeypatch):
+    monkeypatch.setattr(counters, "FAN", 3)
+    folder, day = fresh_path(spark, "t-log"), fresh_path(spark, "t-log-in")
+    many = [f"k{j}" for j in range(3000)]
+    files = [(0, many), *[(i, ["k1", None, "k1", f"new{i}"]) for i in range(1, 8)]]
+    written_rows = {}
+    write = counters.CounterLog._write
+
+    def watched(self, rows, run):
+        write(self, rows, run)
+        written_rows[run] = self._read([run]).count()
+
+    monkeypatch.setattr(counters.CounterLog, "_write", watched)
+    for f in files:
+        _counted(spark, folder, day, [f])
+    assert [written_rows[counters.Run(0, i, i)] for i in range(8)] == [3000] + [3] * 7
+    merged = {r: n for r, n in written_rows.items() if r.level}
+    # a counter is written again once per level, and the first table by one merge in eight batches
+    assert sorted(merged) == [(1, 0, 2), (1, 3, 5)] and merged[counters.Run(1, 3, 5)] == 5
+    log = counters.CounterLog(spark, f"{folder}/counters", spark.read.parquet(day).select("k").schema)
+    assert [tuple(r) for r in log.runs(8)] == [(0, 6, 6), (0, 7, 7), (1, 0, 2), (1, 3, 5)]
+    seen = {r["_key"]["k"]: r["_seen"] for r in log.before(8, spark.createDataFrame([("k1",), (None,)], "k string")).collect()}
+    assert seen["k1"] == 15 and seen[None] == 7
+    # only the buckets of the two keys are read
+    assert len(seen) < 3000 / 4
+    expect, at = [], {}
+    for i, rows in files:
+        for j, k in enumerate(rows):
+            expect.append((k or "", i, j, at.get(k, 0)))
+            at[k] = at.get(k, 0) + 1
+    assert _placed(spark, folder) == sorted(expect)
+
+
+def test_a_repeated_batch_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(counters, "FAN", 2)
+    folder, day = fresh_path(spark, "t-again"), fresh_path(spark, "t-again-in")
+    _counted(spark, folder, day, [(i, ["a", "a", "b"]) for i in range(5)])
+    before = _placed(spark, folder)
+    assert [p for k, _, _, p in before if k == "a"] == list(range(10))
+    # as if the driver had gone after the work of the last batch and before its commit
+    for name in ("4", ".4.crc"):
+        os.remove(f"{folder}/checkpoint/commits/{name}")
+    _counted(spark, folder, day, [])
+    assert _placed(spark, folder) == before
+    _counted(spark, folder, day, [(5, ["b"])])
+    assert [p for k, _, _, p in _placed(spark, folder) if k == "b"] == list(range(6))
+
+
+def test_a_broken_merge_is_made_again(spark, monkeypatch):
+    monkeypatch.setattr(counters, "FAN", 2)
+    folder = fresh_path(spark, "t-broken")
+    log = counters.CounterLog(spark, folder, spark.createDataFrame([], "k string").schema)
+    for i in range(2):
+        log.add(spark.createDataFrame([("a", i + 1), (f"b{i}", 1)], "k string, _seen long"), i)
+    # a merged table that was not finished does not count, one that was finished replaces what is not yet deleted
+    os.makedirs(f"{folder}/run=1-0-1")
+    assert [r.level for r in log.runs(2)] == [0, 0]
+    log._write(log._read(log.runs(2)).groupBy("k", "_bucket").agg(F.max("_seen").alias("_seen")), counters.Run(1, 0, 1))
+    assert [tuple(r) for r in log.runs(2)] == [(1, 0, 1)]
+    log.compact(2)
+    assert sorted(os.listdir(folder)) == ["run=1-0-1"]
+    keys = spark.createDataFrame([("a",), ("b0",), ("b1",)], "k string")
+    assert {r["_key"]["k"]: r["_seen"] for r in log.before(2, keys).collect()} == {"a": 2, "b0": 1, "b1": 1}
+
+
 def test_text_queue_binary(spark):
     folder = fresh_path(spark, "t-queue-bin")
     spark.createDataFrame([("a",)], "value string").coalesce(1).write.text(folder)

@@ -384,6 +384,8 @@ SELECT job, value, count(*) AS n FROM (
   SELECT job, unnest(['task.' || component || '.99999999999->{{}}', name || '->not json', 'no arrow ' || component,
                       name || '->{{"timestamp":9999999999999999}}']) AS value FROM ({MIXED})) GROUP BY ALL""")
 oracle("scan_text_queue", ("lines",), "SELECT value AS text, count(*) AS n FROM lines GROUP BY value")
+oracle("consume_text_queue", ("lines",), """
+SELECT value AS text, count(*) AS n, count(*) AS n_archived, CAST(0 AS BIGINT) AS n_left FROM lines GROUP BY value""")
 oracle("scan_peek", ("lines",), f"SELECT * FROM lines ORDER BY conv_id, turn, line LIMIT {PEEK}")
 oracle("sink_raw_lines", ("lines",), f"""
 SELECT value, count(*) AS n FROM (SELECT value FROM lines ORDER BY conv_id, turn, line LIMIT {RAW}) GROUP BY value""")

@@ -16,7 +16,7 @@ from tidegauge.plans import dataflows, measure
 from tidegauge.plans import optimise as plan
 from tidegauge.schemas import APPROVED_NAMES, Params, queue_columns
 from tidegauge.session import fresh_path, in_utc, spread, written
-from tidegauge.sources import readers, writers
+from tidegauge.sources import queue, readers, writers
 from tidegauge.streaming import live, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +181,20 @@ def scan_text_queue(spark, sf):
     return read.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("consume_text_queue")
+def consume_text_queue(spark, sf):
+    """What was taken out of the queue, what the archive holds of it, and what is left in the queue."""
+    base = fresh_path(spark, "queue-taken")
+    _lines(spark, sf).select("value").repartition(4).write.text(f"{base}/in")
+    taken = queue.take_all(spark, f"{base}/in", f"{base}/rows", f"{base}/checkpoint", "archive", f"{base}/read", 1)
+    archived = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(f"{base}/read")
+    left = spark.read.option("lineSep", "\n").text(f"{base}/in")
+    places = [taken.select("text", F.lit("n").alias("place"))]
+    places += [x.select(F.col("value").alias("text"), F.lit(p).alias("place")) for x, p in ((archived, "n_archived"), (left, "n_left"))]
+    count = [F.count_if(F.col("place") == p).alias(p) for p in ("n", "n_archived", "n_left")]
+    return places[0].unionByName(places[1]).unionByName(places[2]).groupBy("text").agg(*count)
+
+
 @query("scan_peek")
 def scan_peek(spark, sf):
     return readers.scan_peek(_lines(spark, sf), ["conv_id", "turn", "line"], PEEK)

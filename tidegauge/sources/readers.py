@@ -113,12 +113,24 @@ def read_topology_records(others: DataFrame, name: str = "topology.info") -> Dat
     return others.filter(F.col("name") == name).select("job", F.from_json("body", schema).alias("record"))
 
 
-def scan_text_queue(spark: SparkSession, folder: str, binary: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+def scan_text_queue(
+    spark: SparkSession, folder: str, binary: bool = False, files_per_trigger: int | None = None,
+    consume: str = "off", archive: str | None = None,
+) -> DataFrame:
     """Text records as a stream; files dropped into ``folder`` are the queue.
 
-    The stream's checkpoint takes the place of popping: each record is read once.
+    The stream's checkpoint takes the place of popping: each record is read
+    once. With ``consume`` at ``delete`` or ``archive`` a file leaves the folder
+    once the batch after its own begins, that is when its records are committed;
+    ``archive`` moves it below that folder, which must lie outside the queue.
+    What the newest batch has read stays until there is another one, see
+    :func:`~tidegauge.sources.queue.take_all`.
     """
-    reader = spark.readStream.option("lineSep", "\n")
+    if consume not in ("off", "delete", "archive") or (consume == "archive") != (archive is not None):
+        raise ValueError(f"consume is off, delete, or archive with its folder: {consume}, {archive}")
+    reader = spark.readStream.option("lineSep", "\n").option("cleanSource", consume)
+    if archive:
+        reader = reader.option("sourceArchiveDir", archive)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     text = reader.text(folder).withColumnRenamed("value", "text")

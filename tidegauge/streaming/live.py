@@ -16,6 +16,7 @@ from tidegauge.plans.optimise import (
 )
 from tidegauge.schemas import CMV, Params, total_columns
 from tidegauge.session import fresh_path, written
+from tidegauge.streaming.counters import CounterLog
 
 # Later than any event.
 FAR = "9000-01-01 00:00:00"
@@ -233,29 +234,29 @@ def stream_stateful_counter(
 ) -> StreamingQuery:
     """Number the rows of each key across micro-batches, and mark the sampled ones.
 
-    State is one counter per key, of which the two newest tables are kept.
+    State is one counter per key in a :class:`~tidegauge.streaming.counters.CounterLog`:
+    a batch reads the buckets of its own keys and writes the counters of its own keys.
     Positions inside a batch come from slices, so one busy key does not land in
-    one task. NULL keys are counted like any other.
+    one task. NULL keys are counted like any other. A repeated batch reads the
+    same counters and leaves the same rows.
     """
     spark = rows.sparkSession
     keys, n = list(keys), one_in_n(rate)
+    log = CounterLog(spark, f"{folder}/counters", rows.select(*keys).schema)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        key = F.struct(F.lit(0).alias("_"), *keys)
-        placed = with_position(batch, keys, order, "_position").withColumn("_key", key)
-        schema = batch.select(*keys).schema.add("_seen", T.LongType())
-        counters = States(spark, f"{folder}/counters", schema)
-        before = counters.before(batch_id).select(key.alias("_key"), "_seen")
+        log.compact(batch_id)
+        placed = written(with_position(batch, keys, order, "_position"), "placed")
+        before = log.before(batch_id, placed.select(*keys))
         numbered = (
-            placed.join(before, "_key", "left")
+            placed.withColumn("_key", log.key()).join(before, "_key", "left")
             .withColumn("position", F.coalesce("_seen", F.lit(0)) + F.col("_position"))
             .withColumn("sampled", F.col("position") % n == 0)
             .drop("_seen", "_position", "_key")
         )
         target = f"{folder}/rows/batch={batch_id}"
         numbered.write.mode("overwrite").parquet(target)
-        counts = spark.read.schema(numbered.schema).parquet(target).groupBy(*keys).agg((F.max("position") + 1).alias("_seen"))
-        both = counters.before(batch_id).unionByName(counts)
-        counters.save(both.groupBy(*keys).agg(F.max("_seen").alias("_seen")), batch_id)
+        counts = spark.read.schema(numbered.schema).parquet(target).groupBy(*keys)
+        log.add(counts.agg((F.max("position") + 1).alias("_seen")), batch_id)
 
     return each_batch(rows, work, f"{folder}/checkpoint")
