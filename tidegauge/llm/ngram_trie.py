@@ -37,7 +37,7 @@ from tidegauge.llm.elias_fano import Sequence, encode
 from tidegauge.llm.words import word_lists
 from tidegauge.session import fresh_path, written
 
-ORDER = 3
+ORDER = 2
 DISCOUNT = 0.75
 #: Bytes of text for one shard, and tokens that are counted or scored at once.
 SHARD_BYTES = 16 << 20
