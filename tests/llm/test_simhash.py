@@ -3,10 +3,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from tidegauge.llm import components as components_module
 from tidegauge.llm import simhash
 from tidegauge.llm.components import components
+from tidegauge.session import written
 
 
 def literal_print(text):
@@ -130,6 +133,22 @@ def test_contraction(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("turn", [1, -1, 7])
+def test_a_long_chain_needs_few_rounds(spark, monkeypatch, turn):
+    """In id order, against it, and with ids in another order; taking the smallest id would need 399 rounds for the first."""
+    rounds = []
+
+    def counted(df, tag):
+        rounds.append(tag)
+        return written(df, tag)
+
+    monkeypatch.setattr(components_module, "written", counted)
+    ids = [(turn * i) % 401 for i in range(401)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
+    assert len(got) == 401 and len(set(got.values())) == 1
+    assert rounds.count("labels") <= 10
+
+
 def edited(rng, words, changes):
     out = list(words)
     for at in rng.sample(range(len(out)), changes):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.session import written
@@ -13,9 +13,12 @@ from tidegauge.session import written
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; the root is one node of the component.
 
-    Every round each node takes the smallest node next to it as its label, and
-    the links between equal labels vanish. Minima combine before the shuffle,
-    so a node with very many links sends one row per task. Each round is
+    Every round gives the nodes a fresh order, by a hash of node and round. Each
+    node takes the first of itself and the nodes next to it as its label, and
+    the links between equal labels vanish. Under a random order the labels left
+    are a constant share of the nodes, so the rounds are a logarithm of the
+    longest chain, in whatever order its ids are. First nodes combine before the
+    shuffle, so a node with very many links sends one row per task. Each round is
     written to the shared folder, which also cuts the lineage. An empty table
     of links gives an empty result; loops and repeated links do no harm.
     """
@@ -25,9 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
             edges.select(F.col("b").alias("node"), F.col("a").alias("near"))
         )
+
+        def placed(name: str, turn: int = len(rounds)) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), name).alias("place"), F.col(name).alias("root"))
+
         labels = written(
-            both.groupBy("node").agg(F.min("near").alias("near"))
-            .select("node", F.least("node", "near").alias("root")),
+            both.groupBy("node").agg(F.min(placed("near")).alias("near"))
+            .select("node", F.least(placed("node"), "near")["root"].alias("root")),
             "labels",
         )
         rounds.append(labels)
