@@ -68,3 +68,39 @@ def test_windows_widen_until_enough_is_found():
     few, many = block.collide(units[0], 5), block.collide(units[0], 200)
     assert 0 in few and 5 <= few.size <= many.size and many.size >= 200
     assert block.collide(units[0], 10**9).size == 500
+
+
+def test_several_full_blocks_stop_early_and_find_nine_tenths(spark, monkeypatch):
+    """Unrelated directions with some near ones each, as in the given table, in three blocks that are as full as a block gets."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4000, 64))
+    vectors = np.concatenate([centres + rng.normal(size=centres.shape) * s for s in (0.9, 1.1, 1.3)])
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = found(collision_search.neighbours(table, every=100))
+    asked = np.arange(0, len(vectors), 100)
+    cosine = vectors[asked] @ vectors.T
+    cosine[np.arange(asked.size), asked] = -2
+    want = np.argsort(-cosine, axis=1)[:, :5]
+    hits = sum(len({i for i, _ in got[int(q)]} & set(near.tolist())) for q, near in zip(asked, want))
+    assert hits >= 0.9 * want.size and all(len(v) == 5 for v in got.values())
+    block = collision_search.Block(vectors[: collision_search.BLOCK], collision_search.LINES)
+    verified = [block.collide(vectors[q], 6 * collision_search.ENOUGH).size for q in asked]
+    assert max(verified) < collision_search.BLOCK and np.mean(verified) < 0.5 * collision_search.BLOCK
+
+
+def test_finite_extremes_have_finite_cosines(spark):
+    rows = [(0, [2.0**600, 0.0]), (1, [2.0**-600, 0.0]), (2, [3.0, 4.0]), (3, [5e-324, 5e-324]), (50, [1.7e308, 1.7e308]), (5, [-1e300, 1e-300])]
+    got = found(collision_search.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got[0] == [(1, 1.0), (3, pytest.approx(0.5**0.5)), (50, pytest.approx(0.5**0.5)), (2, pytest.approx(0.6)), (5, -1.0)]
+    assert [i for i, _ in got[50]] == [3, 2, 0, 1, 5] and got[50][0][1] == pytest.approx(1.0)
+
+
+def test_scaling_changes_no_cosine():
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(50, 8)) * 10.0 ** rng.integers(-3, 4, size=(50, 1))
+    s = collision_search.scaled(v)
+    assert ((np.abs(s).max(axis=1) >= 0.5) & (np.abs(s).max(axis=1) < 1)).all()
+    def cosines(x):
+        return (x @ x[0]) / (np.sqrt((x * x).sum(1)) * np.sqrt((x[0] * x[0]).sum()))
+    assert (cosines(v) == cosines(s)).all()

@@ -74,10 +74,18 @@ class Block:
             half *= GROW
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component to [0.5, 1): directions stay exact, squares finite."""
+    if not vectors.size:
+        return vectors
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def search_block(
     ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, keep: int, lines: int
 ) -> pa.Table:
     """``(query, point, score)`` of the nearest ``keep`` verified points for each query, ties to the smaller id."""
+    vectors, queries = scaled(vectors), scaled(queries)
     norms = np.sqrt((vectors * vectors).sum(1))
     block = Block(vectors / norms[:, None], lines)
     out: tuple[list, list, list] = ([], [], [])
@@ -118,7 +126,8 @@ def neighbours(
     null, zero or hold null or non-finite components, take no part; vectors of
     different lengths never meet. A query with fewer than ``k`` candidates gets
     them all. If an id occurs more than once, its rows with equal vectors count
-    as one. Other columns play no part. An empty table gives none.
+    as one. Components may be as large or as small as a double can be: a vector
+    is scaled by a power of two first. Other columns play no part. An empty table gives none.
     """
     valid = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(
         F.col("id").isNotNull() & usable("vector")
