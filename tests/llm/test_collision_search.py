@@ -90,7 +90,7 @@ def test_several_full_blocks_stop_early_and_find_nine_tenths(spark, monkeypatch)
 
 
 def test_finite_extremes_have_finite_cosines(spark):
-    rows = [(0, [2.0**600, 0.0]), (1, [2.0**-600, 0.0]), (2, [3.0, 4.0]), (3, [5e-324, 5e-324]), (50, [1.7e308, 1.7e308]), (5, [-1e300, 1e-300])]
+    rows = [(0, [2.0**600, 0.0]), (1, [2.0**-600, 0.0]), (2, [3.0, 4.0]), (3, [5e-324, 5e-324]), (50, [2.0**1023, 2.0**1023]), (5, [-1e300, 1e-300])]
     got = found(collision_search.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
     assert got[0] == [(1, 1.0), (3, pytest.approx(0.5**0.5)), (50, pytest.approx(0.5**0.5)), (2, pytest.approx(0.6)), (5, -1.0)]
     assert [i for i, _ in got[50]] == [3, 2, 0, 1, 5] and got[50][0][1] == pytest.approx(1.0)
