@@ -187,9 +187,9 @@ def test_keep_one_similar_equals_brute_force_also_in_chunks(spark):
     texts = [texts[i] for i in order]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(set(literal_similar(texts)))
-    for chunk in (512, 7):
-        got = simhash.keep_one_similar(docs, 0.8, 5, chunk=chunk)
-        assert got.schema == docs.schema and sorted(r["doc_id"] for r in got.collect()) == want, chunk
+    for options in ({}, {"chunk": 7}, {"sizes": 500}):
+        got = simhash.keep_one_similar(docs, 0.8, 5, **options)
+        assert got.schema == docs.schema and sorted(r["doc_id"] for r in got.collect()) == want, options
     assert len(want) < simhash.keep_one(docs).count()
 
 
@@ -200,3 +200,44 @@ def test_keep_one_similar_messy_rows(messy, no_docs):
         (False, 1), (False, 3), (False, 6), (False, 7), (False, 8), (False, 10), (True, 0)
     ]
     assert simhash.keep_one_similar(no_docs, 0.8, 5).count() == 0
+
+
+def test_pivots_of_sets_discard_pairs_without_loss():
+    """Forty families of copies in one unit: pivots leave few pairs of different families, and no link goes."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64)
+        for _ in range(8):
+            own = base.copy()
+            own[rng.random(base.size) < rng.choice([0.02, 0.1, 0.12])] += np.uint64(1 + rng.integers(1 << 40))
+            sets.append(np.unique(own))
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    own = [set(s.tolist()) for s in sets]
+
+    def literal(pairs):
+        forest = simhash.Forest(len(sets))
+        for i, j in pairs:
+            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                forest.join(np.array([i]), np.array([j]))
+        return forest.root.tolist()
+
+    n = len(sets)
+    counts = {}
+    for pivots in (0, 32):
+        roots, counts[pivots] = simhash.exact_links(sets, np.zeros(n, int), 0.8, pivots)
+        assert roots.tolist() == literal((i, j) for i in range(n) for j in range(i))
+    assert counts[32] < counts[0] / 2 < n * n / 4
+    sides = np.where(np.arange(n) % 3 == 0, 1, 2)
+    roots, _ = simhash.exact_links(sets, sides, 0.8)
+    assert roots.tolist() == literal((i, j) for i in range(n) for j in range(i) if sides[i] != sides[j])
+
+
+def test_a_large_loose_group_is_dealt_to_many_places(spark):
+    rows = [(i, 10, 7) for i in range(2000)] + [(5000 + i, 3, 100 + i // 2) for i in range(100)] + [(9000, 1, 900)]
+    grouped = spark.createDataFrame(rows, "digest long, size long, loose long")
+    got = simhash.crowded_groups(grouped, 512, 4000).collect()
+    assert sorted(r["digest"] for r in got) == [r[0] for r in rows[:-1]]
+    assert {r["loose"]: r["chunks"] for r in got} == {7: 5} | {100 + i: 1 for i in range(50)}
+    plan = simhash.crowded_groups(grouped, 512, 4000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "salt" in plan.split("Join Inner")[1].split("\n")[0]

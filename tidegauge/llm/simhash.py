@@ -14,9 +14,13 @@ of chunks is one unit of work, so no group lands in one task whole.
 
 Blocks of bits cannot bring pairs together that differ in ten bits or more, as
 texts at a similarity of 0.8 do. For a threshold on the Jaccard similarity of
-the sets of shingles, texts meet by equal bands of minimum hashes instead; the
-pivot tables and a wide radius discard, and every pair inside the loose groups
-that are left is decided by its exact similarity.
+the sets of shingles, texts meet by equal bands of minimum hashes and a wide
+radius instead, and the pivot tables of such a loose group are those of the
+whole sets: the Hamming distance of two sets, as vectors of bits over all
+shingles, is the number of shingles that only one of them has. Two sets of at
+least ``share`` similarity are at most ``1 / share - 1`` times the smaller one
+apart, so pairs that differ by more in any coordinate are discarded without
+loss, and the survivors are decided by their exact similarity.
 """
 
 from __future__ import annotations
@@ -48,8 +52,13 @@ BANDS = 24
 IN_BAND = 5
 #: Differing bits from which texts that share a band are not compared; at similarity 0.8 they differ in about ten.
 WIDE = 24
-#: Texts whose sets of shingles are compared with each other at once.
+#: Texts whose sets of shingles are compared with each other at once, and shingles they have together.
 TEXTS = 512
+SET_SIZES = 1 << 21
+#: Places that the rows of one loose group are dealt to.
+SALTS = 16
+#: Sets of a unit for each set among them that is a pivot.
+SETS_PER_PIVOT = 8
 HASHES_AT_ONCE = 4096
 
 
@@ -112,7 +121,7 @@ def block_masks(bits: int, blocks: int) -> list[int]:
 def pivot_table(prints: np.ndarray, pivots: int) -> np.ndarray:
     """Distances of each fingerprint to the reference fingerprints, one row per pivot."""
     references = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(pivots)], np.uint64)
-    return np.stack([np.bitwise_count(prints ^ r).astype(np.int8) for r in references])
+    return np.array([np.bitwise_count(prints ^ r) for r in references], np.int8).reshape(pivots, prints.size)
 
 
 class Forest:
@@ -289,76 +298,134 @@ def _minima_keys() -> tuple[np.ndarray, np.ndarray]:
 MINIMA = _minima_keys()
 
 
-def sketch(text: str | None, shingle: int) -> tuple[int, int, np.ndarray]:
-    """``(digest, print, bands)`` of the set of shingles: equal sets have equal digests; all signed."""
+def sketch(text: str | None, shingle: int) -> tuple[int, int, int, np.ndarray]:
+    """``(digest, print, size, bands)`` of the set of shingles: equal sets have equal digests; all signed."""
     own = shingle_set(text, shingle)
     turned, times = MINIMA
     parts = [own[i : i + HASHES_AT_ONCE] for i in range(0, own.size, HASHES_AT_ONCE)]
     least = np.min([(((p ^ turned) * times).min(axis=1)) for p in parts], axis=0)
     bands = [xxhash.xxh64_intdigest(least[i : i + IN_BAND].tobytes(), i) for i in range(0, least.size, IN_BAND)]
     signed = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(iter(parts)), *bands], np.uint64).view(np.int64)
-    return int(signed[0]), int(signed[1]), signed[2:]
+    return int(signed[0]), int(signed[1]), own.size, signed[2:]
 
 
-def with_sketch(docs: DataFrame, digest: str, name: str, bands: str, text: str, shingle: int) -> DataFrame:
+def with_sketch(docs: DataFrame, digest: str, name: str, size: str, bands: str, text: str, shingle: int) -> DataFrame:
     """Add what :func:`sketch` gives; all other columns stay as they are."""
 
     def sketches(texts: pa.Array) -> list[pa.Array]:
         made = [sketch(t, shingle) for t in texts.to_pylist()]
-        flat = np.concatenate([m[2] for m in made]) if made else np.zeros(0, np.int64)
+        flat = np.concatenate([m[3] for m in made]) if made else np.zeros(0, np.int64)
         return [
-            pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
+            *(pa.array([m[i] for m in made], pa.int64()) for i in range(3)),
             pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * BANDS), pa.array(flat)),
         ]
 
     copy = free_name(docs, "text_in")
-    makes = f"`{digest}` long, `{name}` long, `{bands}` array<long>"
+    makes = f"`{digest}` long, `{name}` long, `{size}` long, `{bands}` array<long>"
     return map_column(docs.withColumn(copy, F.col(text)), copy, makes, sketches)
 
 
-def exact_links(sets: list[np.ndarray], sides: np.ndarray, share: float) -> np.ndarray:
+class SetTable:
+    """Sets of one unit of work, with their sizes and the numbers of values in common."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([x.size for x in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        values, self.place = np.unique(np.concatenate(sets), return_inverse=True)
+        self.has = np.zeros(values.size, bool)
+
+    def own(self, i: int) -> np.ndarray:
+        return self.place[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def common(self, i: int, other: np.ndarray | None = None) -> np.ndarray:
+        """How many values set ``i`` shares with each of ``other`` (all sets by default)."""
+        sizes = self.sizes if other is None else self.sizes[other]
+        place = self.place if other is None else np.concatenate([self.own(j) for j in other])
+        self.has[self.own(i)] = True
+        found = np.add.reduceat(self.has[place], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.has[self.own(i)] = False
+        return found
+
+    def distances(self, pivots: int) -> list[np.ndarray]:
+        """Hamming distances of all sets to the empty set and to ``pivots`` of the sets, each far from those before it."""
+        table, gap, at = [self.sizes], np.full(self.sizes.size, np.inf), int(np.argmax(self.sizes))
+        for _ in range(pivots):
+            both = self.sizes + self.sizes[at]
+            table.append(both - 2 * self.common(at))
+            gap = np.minimum(gap, table[-1] / both)
+            at = int(np.argmax(gap))
+        return table
+
+
+def exact_links(sets: list[np.ndarray], sides: np.ndarray, share: float, pivots: int = PIVOTS) -> tuple[np.ndarray, int]:
     """For each set the first of those that it is connected to by pairs of at least ``share`` exact Jaccard similarity.
 
-    Sets of side 0 are compared with each other, those of side 1 with those of side 2.
+    Sets of side 0 are compared with each other, those of side 1 with those of
+    side 2. The second value is the number of pairs whose similarity was
+    counted: those that no pivot discards and that are not connected yet.
     """
     forest = Forest(len(sets))
-    sizes = np.array([s.size for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    table = SetTable(sets)
+    coordinates = table.distances(min(pivots, len(sets) // SETS_PER_PIVOT))
+    counted = 0
     for i in np.flatnonzero(sides != 2):
-        has = np.zeros(values.size, np.int32)
-        has[place[starts[i] : starts[i] + sizes[i]]] = 1
-        common = np.add.reduceat(has[place], starts)
-        near = common >= share * (sizes + sizes[i] - common) - 1e-9
-        other = np.flatnonzero(near & (sides == (2 if sides[i] else 0)))
+        other = np.flatnonzero((sides == (2 if sides[i] else 0)) & (forest.root != forest.root[i]))
+        if not sides[i]:
+            other = other[other > i]
+        reach = (1 / share - 1) * np.minimum(table.sizes[other], table.sizes[i]) + 1e-6
+        for distances in coordinates:
+            near = np.abs(distances[other] - distances[i]) <= reach
+            other, reach = other[near], reach[near]
+        if not other.size:
+            continue
+        counted += other.size
+        common = table.common(i, other)
+        other = other[common >= share * (table.sizes[other] + table.sizes[i] - common) - 1e-9]
         forest.join(np.full(other.size, i), other)
-    return forest.root
+    return forest.root, counted
+
+
+def crowded_groups(grouped: DataFrame, chunk: int, sizes: int) -> DataFrame:
+    """``(digest, loose, chunks)`` of ``grouped(digest, size, loose)`` without groups of one row.
+
+    The rows of a group are dealt to ``SALTS`` places, so a large one does not
+    meet in one task; the table of groups is repeated as often.
+    """
+    crowds = grouped.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).filter("n > 1").select(
+        "loose", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("sizes") / sizes)).cast("int").alias("chunks"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+    )
+    salt = F.pmod(F.xxhash64("digest", F.lit("salt")), F.lit(SALTS)).cast("int")
+    return grouped.withColumn("salt", salt).join(crowds, ["loose", "salt"]).select("digest", "loose", "chunks")
 
 
 def similar_components(
-    rows: DataFrame, names: tuple[str, str, str], doc_id: str, text: str, share: float, shingle: int, chunk: int = TEXTS
+    rows: DataFrame, names: tuple[str, str, str, str], doc_id: str, text: str, share: float, shingle: int,
+    chunk: int = TEXTS, sizes: int = SET_SIZES,
 ) -> DataFrame:
     """``(print, root, component_id)`` as of :func:`print_components`, with the digest of the set of shingles as ``print``.
 
     Components join pairs of at least ``share`` exact Jaccard similarity. One
     text stands for all with the same set. A loose group of more than
-    ``chunk`` sets is compared by pairs of chunks, each a group of its own.
+    ``chunk`` sets, or of more than ``sizes`` shingles, is compared by pairs of
+    chunks, each a group of its own. The texts themselves travel: a set of
+    hashes is larger than the words it was made from.
     """
-    digest, name, bands = names
+    digest, name, size, bands = names
     sets = written(
         rows.groupBy(F.col(digest).alias("digest"), F.col(name).alias("print"))
-        .agg(F.min(doc_id).alias("first"), F.first(bands).alias("bands")),
+        .agg(F.min(doc_id).alias("first"), F.first(size).alias("size"), F.first(bands).alias("bands")),
         "sets",
     )
     keyed = sets.select("print", F.lit(0).alias("which"), F.explode("bands").alias("value"))
-    loose = written(components(link_keyed(keyed, sets.count() * BANDS, WIDE)), "loose")
-    grouped = sets.select("digest", "print").join(loose.withColumnRenamed("node", "print"), "print", "left").select(
-        "digest", F.coalesce("root", "print").alias("loose")
-    )
-    crowds = grouped.groupBy("loose").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "loose", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")
+    # so far apart, pivots of single fingerprints discard nothing; those of the sets follow inside the groups
+    loose = written(components(link_keyed(keyed, sets.count() * BANDS, WIDE, pivots=0)), "loose")
+    grouped = written(
+        sets.select("digest", "print", "size").join(loose.withColumnRenamed("node", "print"), "print", "left")
+        .select("digest", "size", F.coalesce("root", "print").alias("loose")),
+        "grouped",
     )
-    suspects = written(grouped.join(crowds, "loose"), "suspects")
+    suspects = written(crowded_groups(grouped, chunk, sizes), "suspects")
     texts = rows.select(F.col(digest).alias("digest"), F.col(text).alias("text")).join(suspects, "digest").groupBy(
         "digest", "loose", "chunks"
     ).agg(F.first("text").alias("text"))
@@ -371,7 +438,7 @@ def similar_components(
 
     def linked(unit: pa.Table) -> pa.Table:
         found = [shingle_set(t, shingle) for t in unit.column("text").to_pylist()]
-        roots = exact_links(found, unit.column("side").to_numpy(), share)
+        roots, _ = exact_links(found, unit.column("side").to_numpy(), share)
         moved = np.flatnonzero(roots != np.arange(roots.size))
         known = unit.column("digest").to_numpy()
         return pa.table({"a": pa.array(known[moved]), "b": pa.array(known[roots[moved]])})
@@ -404,7 +471,7 @@ def keep_one_similar(
     ``share`` is linked; one at or above it can be missed if it shares no band
     of minimum hashes or differs in more than ``WIDE`` bits.
     """
-    names = tuple(free_name(docs, n) for n in ("digest", "set_print", "bands"))
+    names = tuple(free_name(docs, n) for n in ("digest", "set_print", "set_size", "bands"))
     rows = written(with_sketch(docs, *names, text, shingle), "sketched")
     found = similar_components(rows, names, doc_id, text, share, shingle, **options)
     return _smallest(docs, rows.drop(*names[1:]), names[0], found, doc_id)
