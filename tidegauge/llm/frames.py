@@ -38,13 +38,15 @@ def map_column(df: DataFrame, source: str, makes: str, per_batch: Callable[[pa.A
     return df.select(*keep, source).mapInArrow(run, passed)
 
 
-def keep_rows(df: DataFrame, column: str, wanted: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """Rows for which ``wanted``, over ``column`` of a batch, is true; all columns as they are."""
+def keep_rows(df: DataFrame, column: str, wanted: Callable[[pa.Array], pa.Array], rows: int = 256) -> DataFrame:
+    """Rows for which ``wanted`` is true, over ``column`` of ``rows`` rows of a batch at a time; all columns as they are."""
     place = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(wanted(batch.column(place)))
+            found = [wanted(batch.column(place).slice(i, rows)) for i in range(0, batch.num_rows, rows)]
+            if found:
+                yield batch.filter(pa.concat_arrays(found))
 
     return df.mapInArrow(run, df.schema)
 
