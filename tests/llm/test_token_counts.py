@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.errors import AnalysisException
 
 from tidegauge.llm import token_counts
 
@@ -48,3 +50,12 @@ def test_counts_of_another_tokenizer_are_not_used(spark, tmp_path):
     content = docs.select(token_counts.content_digest().alias("content")).first()["content"]
     spark.createDataFrame([(content, "other", 99)], token_counts.CACHE).write.parquet(cache)
     check(token_counts.token_counts(docs, PATH, cache).collect(), docs)
+
+
+def test_only_an_absent_cache_counts_as_empty(spark, tmp_path, monkeypatch):
+    assert token_counts.open_cache(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "begun").mkdir()
+    assert token_counts.open_cache(spark, str(tmp_path / "begun")).count() == 0
+    monkeypatch.setattr(token_counts, "CACHE", "content binary, content string")
+    with pytest.raises(AnalysisException):
+        token_counts.open_cache(spark, str(tmp_path / "begun"))

@@ -35,7 +35,9 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts; an absent or still empty folder holds none."""
     try:
         return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
 
 
