@@ -426,9 +426,8 @@ def similar_components(
         "grouped",
     )
     suspects = written(crowded_groups(grouped, chunk, sizes), "suspects")
-    texts = rows.select(F.col(digest).alias("digest"), F.col(text).alias("text")).join(suspects, "digest").groupBy(
-        "digest", "loose", "chunks"
-    ).agg(F.first("text").alias("text"))
+    # copies combine in each task before they are shuffled
+    texts = rows.groupBy(F.col(digest).alias("digest")).agg(F.first(text).alias("text")).join(suspects, "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
     each = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = each.select(
