@@ -62,6 +62,38 @@ def test_any_kind_of_order_column_cuts_a_hot_key(spark, kind, value):
     assert got.join(want, "id").filter("position = want").count() == 20_000
 
 
+def test_what_a_row_is_compared_with_does_not_grow(spark, monkeypatch):
+    """Some 125 cuts in a cell: no array that rows are joined with holds them all, and slices stay as short."""
+    longest, plain = [], ordering.written
+
+    def spied(df, tag):
+        table = plain(df, tag)
+        arrays = [f.name for f in table.schema if f.dataType.typeName() == "array"]
+        longest.extend(table.agg(F.max(F.size(c))).first()[0] or 0 for c in arrays)
+        return table
+
+    monkeypatch.setattr(ordering, "written", spied)
+    sliced = ordering._sliced(spark.range(400_000).withColumn("key", F.col("id") % 3), ["key"], ["id"], 50)
+    sizes = sliced.groupBy("_cell", "_part").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert max(longest) <= 64
+    assert sizes[0] <= 5 * 50 and sizes[1] >= 6000
+
+
+@pytest.mark.parametrize("fan", [2, 3, 8])
+def test_many_levels_of_cuts(skewed, monkeypatch, fan):
+    monkeypatch.setattr(ordering, "FAN", fan)
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    want = skewed.select("id", (F.row_number().over(w) - 1).alias("want"), F.lag("id").over(w).alias("lagged"))
+    got = ordering.with_position(skewed, ["key"], ["ts", "id"], each=40)
+    assert got.join(want, "id").filter("position = want").count() == 60000
+    before = ordering.with_previous(skewed, ["key"], ["ts", "id"], "id", "before", each=40)
+    assert before.join(want, "id").filter("before <=> lagged").count() == 60000
+    placed = ordering._sliced(skewed, ["key"], ["ts", "id"], 40).groupBy("_cell", "_part").agg(
+        F.min(F.struct("key", "ts", "id")).alias("low"), F.max(F.struct("key", "ts", "id")).alias("high"))
+    rising = placed.withColumn("next", F.lead("low").over(Window.orderBy("_cell", "_part")))
+    assert rising.count() >= 1000 and rising.filter("next <= high").count() == 0
+
+
 def test_columns_with_names_used_inside(spark):
     rows = spark.range(5000).select("id", *[(F.col("id") % 3).alias(c) for c in ("key", "at", "k0", "o0", "f0")])
     got = ordering.with_position(rows, ["key"], ["id"])

@@ -26,7 +26,11 @@ ROWS_PER_SLICE = 500_000
 SAMPLED = 20
 #: Cells of the first level at most, whose cuts are part of the plan; each has cuts of its own in a table.
 CELLS = 64
+#: A row looks at fewer cuts than this in one array; more levels of arrays are there for cells with more cuts.
+FAN = 64
 SEED = 17
+#: A group's rows in a slice; the number that tells most slices apart is compared first.
+SLICE = ["_part", "_cell", "_key"]
 _PLAIN = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -47,37 +51,61 @@ def _plain_fields(place: T.StructType) -> list[tuple[str, T.DataType]]:
     return plain
 
 
-def _below(value: Column, cuts: Sequence[Column], first: int = 0) -> Column:
-    """How many of the rising ``cuts`` are at or below ``value``, as a tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    upper = _below(value, cuts[middle + 1 :], first + middle + 1)
-    return F.when(value >= cuts[middle], upper).otherwise(_below(value, cuts[:middle], first))
+def _counted(df: DataFrame, cuts: Column, value: Column, most: int, name: str) -> DataFrame:
+    """Add how many of the rising ``cuts``, ``most`` at most, are at or below ``value``; without cuts that is none.
+
+    Every halving is a projection of its own, so that Spark compiles it: cuts are looked at in place, never copied to a row.
+    Cuts should have the very type of ``value``, or each comparison casts both.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for b in reversed(range(most.bit_length())):
+        found = F.get(cuts, F.col(name) + ((1 << b) - 1)) <= value
+        df = df.withColumn(name, F.col(name) + F.when(found, 1 << b).otherwise(0))
+    return df
 
 
-def _cell(sample: DataFrame, total: int) -> Column:
-    """Cell of a place, by cuts that a bounded part of the sample is divided evenly by."""
+def _heads(sample: DataFrame, total: int) -> list[Column]:
+    """First places of the cells but one, on the leading plain fields: a bounded part of the sample is divided evenly by them."""
     plain = _plain_fields(sample.schema["_place"].dataType)
     cells = min(CELLS, total // (8 * SAMPLED))
     if not plain or cells < 2:
-        return F.lit(0)
+        return []
     fields = [F.col(f"_place.{name}").alias(f"f{i}") for i, (name, _) in enumerate(plain)]
     some = sample.sample(min(1.0, 32.0 * CELLS / total), SEED).select(*fields).orderBy(*[f"f{i}" for i in range(len(plain))]).collect()
     step = max(1, len(some) // cells)
+    return [F.struct(*[F.lit(v).cast(kind).alias(f"f{i}") for i, (v, (_, kind)) in enumerate(zip(r, plain))]) for r in some[step::step]]
 
-    def cut(row: Sequence) -> Column:
-        return F.struct(*[F.lit(v).cast(kind).alias(f"f{i}") for i, (v, (_, kind)) in enumerate(zip(row, plain))])
 
-    return _below(F.struct(*fields), [cut(r) for r in some[step::step]])
+def _in_cells(df: DataFrame, heads: Sequence[Column]) -> DataFrame:
+    """Add ``_cell``, the cell of a place."""
+    if not heads:
+        return df.withColumn("_cell", F.lit(0))
+    plain = _plain_fields(df.schema["_place"].dataType)
+    kind = T.StructType([T.StructField(f"f{i}", kind) for i, (_, kind) in enumerate(plain)])
+    df = df.withColumn("_head", F.struct(*[F.col(f"_place.{name}").alias(f"f{i}") for i, (name, _) in enumerate(plain)]).cast(kind))
+    return _counted(df, F.array(*heads).cast(T.ArrayType(kind)), F.col("_head"), len(heads), "_cell").drop("_head")
 
 
-def _bisected(cuts: Column, value: Column, most: int) -> Column:
-    """How many of the rising ``cuts`` of an array are at or below ``value``."""
-    powers = F.array(*[F.lit(1 << b) for b in range(max(1, most).bit_length() - 1, -1, -1)])
-    return F.aggregate(powers, F.lit(0), lambda n, step: F.when(
-        (n + step <= F.size(cuts)) & (F.get(cuts, n + step - 1) <= value), n + step
-    ).otherwise(n))
+def _runs(sample: DataFrame) -> list[DataFrame]:
+    """The cuts of the cells as tables of short arrays, coarsest first.
+
+    In a cell every so many sampled places, but near the end, one is a cut. Cuts
+    are numbered from 1, and with numbers in base :data:`FAN` a table holds those
+    that end in as many zeros, by the digits before their last other one: whoever
+    knows the leading digits of a slice finds the next in one array.
+    """
+    inside = Window.partitionBy("_cell").orderBy("_place")
+    numbered = sample.withColumn("_n", F.row_number().over(inside)).withColumn("_more", F.lead(F.lit(True), SAMPLED // 2).over(inside))
+    chosen = numbered.filter((F.col("_n") % SAMPLED == 0) & F.col("_more").isNotNull())
+    cuts = written(chosen.select("_cell", (F.col("_n") / SAMPLED).cast("int").alias("_n"), "_place"), "cuts")
+    most = cuts.agg(F.max("_n")).first()[0] or 0
+    tables, unit = [], 1
+    while unit <= most:
+        own = cuts.filter((F.col("_n") % unit == 0) & (F.col("_n") % (unit * FAN) != 0))
+        run = F.floor(F.col("_n") / (unit * FAN)).cast("int").alias("_part")
+        tables.insert(0, written(own.groupBy("_cell", run).agg(F.sort_array(F.collect_list("_place")).alias("_cuts")), "runs"))
+        unit *= FAN
+    return tables
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int | None = None) -> DataFrame:
@@ -85,41 +113,42 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int
     key, place = _place(keys, order)
     each = each or ROWS_PER_SLICE
     sample = written(df.select(place.alias("_place")).sample(min(1.0, SAMPLED / each), SEED), "places")
-    cell = _cell(sample, max(1, sample.count()))
-    # the sampled places of a cell, in their order, and every so many of them as a cut but near the end
-    places = sample.withColumn("_cell", cell).groupBy("_cell").agg(F.array_sort(F.collect_list("_place")).alias("_places"))
-    cut = lambda _, i: ((i + 1) % SAMPLED == 0) & (i + 1 <= F.size("_places") - SAMPLED // 2)
-    cuts = written(places.select("_cell", F.filter("_places", cut).alias("_cuts")), "cuts")
-    most = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
-    placed = df.select("*", key.alias("_key"), place.alias("_place")).withColumn("_cell", cell).join(cuts, "_cell", "left")
-    part = F.coalesce(_bisected(F.col("_cuts"), F.col("_place"), most), F.lit(0))
-    return placed.withColumn("_part", part).select(*df.columns, "_key", "_cell", "_part")
+    heads = _heads(sample, max(1, sample.count()))
+    place = place.cast(sample.schema["_place"].dataType)
+    placed = _in_cells(df.select("*", key.alias("_key"), place.alias("_place")), heads).withColumn("_part", F.lit(0))
+    for runs in _runs(_in_cells(sample, heads)):
+        found = _counted(placed.join(runs, ["_cell", "_part"], "left"), F.col("_cuts"), F.col("_place"), FAN - 1, "_digit")
+        placed = found.withColumn("_part", F.col("_part") * FAN + F.col("_digit")).drop("_cuts", "_digit")
+    return placed.select(*df.columns, "_key", "_cell", "_part")
 
 
-def _starts(sliced: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Where a group goes on in a slice: how many of its rows are before it, and the last order values before it.
+def _starts(sliced: DataFrame, order: Sequence[str], carry: bool = True) -> DataFrame:
+    """Where a group goes on in a slice: how many of its rows are before it and, to ``carry``, the last order values before it.
 
     That is at most one group per slice, however many there are. Only the
     counts of slices meet per group, never its rows.
     """
-    counts = sliced.groupBy("_key", "_cell", "_part").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*order)).alias("_last"))
+    last = [F.max(F.struct(*order)).alias("_last")] if carry else []
+    counts = sliced.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("_rows"), *last)
     before = Window.partitionBy("_key").orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("_start", F.sum("_rows").over(before)).withColumn("_carried", F.max("_last").over(before))
-    return written(rows.filter("_start IS NOT NULL").drop("_rows", "_last"), "starts")
+    rows = counts.withColumn("_start", F.sum("_rows").over(before))
+    if carry:
+        rows = rows.withColumn("_carried", F.max("_last").over(before)).drop("_last")
+    return written(rows.filter("_start IS NOT NULL").drop("_rows"), "starts")
 
 
 def _inside(order: Sequence[str]) -> Window:
-    return Window.partitionBy("_key", "_cell", "_part").orderBy(*order)
+    return Window.partitionBy(*SLICE).orderBy(*order)
 
 
-def _continued(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int | None) -> DataFrame:
+def _continued(df: DataFrame, keys: Sequence[str], order: Sequence[str], each: int | None, carry: bool) -> DataFrame:
     if df.count() <= (each or ROWS_PER_SLICE):
         # one slice holds all rows: no cut is needed, and no group goes on in another
         last = df.select(F.struct(*order).alias("_last")).schema["_last"].dataType
         whole = [F.lit(0).alias("_cell"), F.lit(0).alias("_part"), F.lit(None).cast("bigint").alias("_start"), F.lit(None).cast(last).alias("_carried")]
         return df.select("*", _place(keys, order)[0].alias("_key"), *whole)
     sliced = _sliced(df, keys, order, each)
-    return sliced.join(_starts(sliced, order), ["_key", "_cell", "_part"], "left")
+    return sliced.join(_starts(sliced, order, carry), SLICE, "left")
 
 
 def with_position(
@@ -133,7 +162,7 @@ def with_position(
     an order column that tells them apart if there can be very many.
     """
     number = F.row_number().over(_inside(order)).cast("long") - 1
-    return _continued(df, keys, order, each).select(*df.columns, (F.coalesce("_start", F.lit(0)) + number).alias(name))
+    return _continued(df, keys, order, each, carry=False).select(*df.columns, (F.coalesce("_start", F.lit(0)) + number).alias(name))
 
 
 def with_previous(
@@ -146,7 +175,7 @@ def with_previous(
     inside = _inside(order)
     head = F.row_number().over(inside) == 1
     before = F.when(head, F.col(f"_carried.{value}")).otherwise(F.lag(value).over(inside))
-    return _continued(df, keys, order, each).select(*df.columns, before.alias(name))
+    return _continued(df, keys, order, each, carry=True).select(*df.columns, before.alias(name))
 
 
 def one_in_n(rate: float) -> int:
